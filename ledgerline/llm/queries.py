@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunked_bpe, packing, token_counts, wavelet
+from . import chunked_bpe, packing, quality_model, quality_rules, token_counts, wavelet
 from .tables import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2, size=1024)
 
@@ -25,12 +29,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_two_fit, op4_wavelet_shards, op7_token_counts, op10_chunk_reuse)}
+    return {f.__name__: f for f in (op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op7_token_counts, op9_line_frequency, op10_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
