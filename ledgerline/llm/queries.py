@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, neighbours, packing, quality_model, quality_rules, token_counts, wavelet
+from . import chunked_bpe, neighbours, packing, quality_model, quality_rules, suffix_dedup, token_counts, wavelet
 from .tables import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(read(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op5_pruned_graph, op7_token_counts, op9_line_frequency, op10_chunk_reuse)}
+    return {f.__name__: f for f in (op1_deep_shallow, op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op5_pruned_graph, op7_token_counts, op9_line_frequency, op10_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
