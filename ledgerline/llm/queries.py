@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, neighbours, packing, quality_model, quality_rules, suffix_dedup, token_counts, wavelet
+from . import chunked_bpe, neighbours, packing, page_text, quality_model, quality_rules, suffix_dedup, token_counts, wavelet
 from .tables import read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deep_shallow, op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op5_pruned_graph, op7_token_counts, op9_line_frequency, op10_chunk_reuse)}
+    return {f.__name__: f for f in (op1_deep_shallow, op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op5_pruned_graph, op7_token_counts, op8_page_differencing, op9_line_frequency, op10_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
