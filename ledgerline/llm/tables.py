@@ -50,3 +50,30 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, key: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, rows: int = 5_000) -> DataFrame:
+    """Apply work to tables of whole groups, sorted by key; as many groups at a time as give about ``rows`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = 0
+            for at in range(n - 1, 0, -1):
+                if any(table.column(k)[at] != table.column(k)[at - 1] for k in key):
+                    last = at
+                    break
+            if last:
+                if (out := work(table.slice(0, last).combine_chunks())) is not None:
+                    yield out
+                table = table.slice(last)
+            held, n = table.to_batches(), table.num_rows
+        if n and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
+
+    return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
