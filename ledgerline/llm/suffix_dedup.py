@@ -42,10 +42,12 @@ from .tables import kept, map_batches
 
 LENGTH = 400
 #: Distinct contexts of a gram that are sorted together at most.
-HOT = 5_000
+HOT = 50_000
 SHALLOW_BYTES = 32
 BLOCK_BYTES = 1_000_000
 SORT_ROWS = 20_000
+#: Contexts whose windows are hashed at a time.
+EXPAND_ROWS = 1_000
 
 
 def _sliding(values: np.ndarray, width: int, of: np.ufunc, fill) -> np.ndarray:
@@ -321,7 +323,12 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 def _hot_windows(cuts: DataFrame, length: int) -> DataFrame:
     """The same for grams with very many contexts: their windows are counted by hash, none is gathered."""
 
-    def expand(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, EXPAND_ROWS):
+                yield windows(batch.slice(k, EXPAND_ROWS))
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         text = pa.array([a + b for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], pa.binary())
         data, offsets = from_arrow(text)
         before = np.diff(from_arrow(batch.column(6))[1])
@@ -333,7 +340,7 @@ def _hot_windows(cuts: DataFrame, length: int) -> DataFrame:
         d = before[row] - (start - offsets[row])
         return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 2, 3, 4)), pa.array(d), pa.array(h.view(np.int64))], ["gram", "_d", "_c", "at", "alone", "d", "h"])
 
-    rows = kept(map_batches(cuts, expand, "gram long, _d long, _c long, at long, alone boolean, d long, h long").filter("d >= 0"), "windows")
+    rows = kept(cuts.mapInArrow(expand, "gram long, _d long, _c long, at long, alone boolean, d long, h long").filter("d >= 0"), "windows")
     twice = rows.groupBy("gram", "d", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     hit = rows.filter("alone").join(twice, ["gram", "d", "h"]).groupBy("_d", "_c", "at").agg(F.min("d").alias("least"), F.max("d").alias("most"))
     return hit.select("_d", "_c", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("end"))
