@@ -71,7 +71,7 @@ def risk_manager_id(manager: Column | str) -> Column:
 
 
 def ticker_list(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(text), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(_c(text), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def currency(text: Column | str, default: float = 100000.0) -> Column:
@@ -96,7 +96,7 @@ def sentences(text: Column | str) -> Column:
     t = _c(text)
     found = F.regexp_extract_all(t, F.lit("[^.!?]+[.!?]*"), 0)
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / 3), F.lit(0)).cast("int")), lambda i: F.trim(F.array_join(F.slice(found, i * 3 + 1, 3), "")))
-    return F.filter(F.when(F.contains(t, F.lit("\n")), F.transform(F.split(t, "\n+"), F.trim)).otherwise(groups), lambda x: x != "")
+    return F.filter(F.when(F.contains(t, F.lit("\n")), F.transform(F.split(t, "\n+"), lambda x: F.trim(x))).otherwise(groups), lambda x: x != "")
 
 
 def clock_text(ts: Column | str) -> Column:
