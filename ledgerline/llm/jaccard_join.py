@@ -8,10 +8,11 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
    miss them with a probability under exp(-14).
 2. Every member of a bucket is compared with the bucket's first by a sketch (the
    smallest hashes). Members that are very like the first need nothing else: what
-   is similar to them is linked to the first as well. Of the others, a bucket of
-   at most ``BUCKET`` is compared pair by pair; a larger one is split by the tokens
-   that its sets choose in the next run, and so on, and after the last run in
-   blocks. Sketches let pass everything that can be similar, and leave stars of
+   is similar to them is like the first as well, by the triangle inequality of the
+   Jaccard distance. Of the others, a bucket of at most ``BUCKET`` is compared pair
+   by pair; a larger one is split by the tokens that its sets choose in the next
+   run (``DEEPER / size``, so that only sets with most tokens in common stay
+   together), and so on, and after the last run in blocks. Sketches let pass everything that can be similar, and leave stars of
    edges, not pairs.
 3. Connected candidates are then compared exactly, all with all, by their whole
    sets: a component of more than ``BLOCK`` in pairs of blocks. Links are counted in
@@ -35,12 +36,13 @@ from .ragged import U64, blocks, from_arrow, gather, mix, prefix_hash, span_hash
 from .tables import kept, map_batches, map_groups
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5
-RUNS, CHOSEN = 6, 3.0
+RUNS, CHOSEN, DEEPER = 6, 3.0, 1.5
 SKETCH = 64
 #: Of SKETCH smallest hashes, the share that two candidates have in common at least (similar sets have 0.8 or
-#: more, give or take 0.05), and the share from which a member counts as very like its bucket's first.
-LOOSE, STRONG = 0.56, 0.9
-BUCKET = BLOCK = 256
+#: more, give or take 0.05), and the share from which a member counts as very like its bucket's first (a
+#: similarity of 0.56; what is similar to such a member has about 0.5 with the first, and 0.64 of the hashes).
+LOOSE, STRONG = 0.5, 0.72
+BUCKET, BLOCK = 512, 256
 BLOCK_BYTES = 2_000_000
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 63, RUNS, dtype=np.uint64)
 _STEP = U64(0x9FB21C651E98DF25)
@@ -97,20 +99,21 @@ def described(docs: DataFrame) -> DataFrame:
             few = np.minimum(size[rows], SKETCH)
             sketch, _ = gather((h >> U64(32)).astype(np.uint32), at[:-1][rows], few)
             owner = np.repeat(np.arange(len(size)), size)
-            limit = np.minimum(CHOSEN / np.maximum(size, 1), 1.0)[owner]
+            limit = (CHOSEN / np.maximum(size, 1))[owner]
             chosen = [np.flatnonzero((mix(h ^ s) >> U64(11)).astype(np.float64) * 2.0**-53 < limit) for s in _SEEDS]
             token = np.concatenate([h[c] for c in chosen])
             run, own = np.repeat(np.arange(RUNS), [len(c) for c in chosen]), np.concatenate([owner[c] for c in chosen])
             order = np.lexsort((run, own))
             paths = mix(token + (run + 1).astype(U64) * _STEP)[order]
             per_row = np.bincount(own, minlength=len(size))[rows]
-            pairs = pa.StructArray.from_arrays([pa.array(run[order].astype(np.int32)), pa.array(paths.view(np.int64))], ["run", "path"])
+            deep = np.concatenate([(mix(h[c] ^ s) >> U64(11)).astype(np.float64) * 2.0**-53 < limit[c] * (DEEPER / CHOSEN) for c, s in zip(chosen, _SEEDS, strict=True)])[order]
+            pairs = pa.StructArray.from_arrays([pa.array(run[order].astype(np.int32)), pa.array(paths.view(np.int64)), pa.array(deep)], ["run", "path", "deep"])
             take = pa.array(rows + i)
             parts.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(cid.view(np.int64)), pa.array(size[rows].astype(np.int32)), _lists(pa.array(sketch.view(np.int32)), few), _lists(pairs, per_row)], ["doc_id", "_c", "cid", "n", "sketch", "chosen"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c"))
-    return map_batches(rows, work, "doc_id long, _c long, cid long, n int, sketch array<int>, chosen array<struct<run: int, path: long>>")
+    return map_batches(rows, work, "doc_id long, _c long, cid long, n int, sketch array<int>, chosen array<struct<run: int, path: long, deep: boolean>>")
 
 
 def _overlap(a: str, b: str) -> tuple:
@@ -213,7 +216,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         if more is None or not more.take(1):
             break
         # split what is left of large buckets by the tokens that their members choose in the next run
-        members = more.join(nodes.select("cid", F.explode("chosen").alias("c")), "cid").filter(F.col("c.run") == (F.col("run") + 1) % RUNS).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
+        members = more.join(nodes.select("cid", F.explode("chosen").alias("c")), "cid").filter((F.col("c.run") == (F.col("run") + 1) % RUNS) & F.col("c.deep")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
     return edges
 
 
