@@ -1 +1,81 @@
-QUERIES = {}
+"""Streams over the events and conversations tables, drained to batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import windows
+from ..sources import files
+from ..sources import fixtures as fx
+from ..streaming import events as E
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    status = F.create_map(*(F.lit(x) for x in ("signup", E.START, "click", "IN_PROGRESS", "view", "IN_PROGRESS", "purchase", "COMPLETE", "error", "ERROR")))
+    return df.select(F.col("user_id").alias("flow_id"), F.concat(F.lit("agent_"), (F.col("event_id") % 5).cast("string")).alias("agent"), status[F.col("event_type")].alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+def _stream(spark, d) -> DataFrame:
+    schema = fx.table(spark, d, "events").schema
+    return _columns(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+
+
+def t04(spark, d):
+    return E.final_rows(E.drained(E.latest_state(_stream(spark, d)), "state", "update")).select("flow_id", "agent", "status", "n", "last_id")
+
+
+def t08(spark, d):
+    return E.final_rows(E.drained(E.latest_state(_stream(spark, d), keep=5), "history", "update")).select("flow_id", "agent", "history")
+
+
+def t05(spark, d):
+    once = E.distinct_events(_stream(spark, d), ["flow_id", "agent", "ts"], "1 hour")
+    return E.drained(once, "distinct").groupBy("flow_id").agg(F.count("*").alias("n"))
+
+
+def t07(spark, d):
+    e = _columns(fx.table(spark, d, "events"))
+    return e.groupBy("flow_id", "agent").agg(F.max_by("status", "event_id").alias("status"), F.min(F.when(F.col("status") == "IN_PROGRESS", F.col("event_id"))).alias("first_running"))
+
+
+def t09(spark, d):
+    e = _columns(fx.table(spark, d, "events")).withColumnsRenamed({"flow_id": "run_id", "event_id": "seq"})
+    return windows.progress(e).select("run_id", "seq", F.round("progress", 8).alias("progress"))
+
+
+def u11(spark, d):
+    m = fx.messages(spark, d)
+    return m.dropDuplicates(["conv_id", "role", "text"]).groupBy("role").agg(F.count("*").alias("n"))
+
+
+def a31(spark, d):
+    """The last message of each role with any text, newer over older."""
+    return fx.messages(spark, d).filter("text is not null").groupBy("conv_id", "role").agg(F.max("turn").alias("turn"), F.max_by(F.length("text"), "turn").alias("n_chars"))
+
+
+def l13(spark, d):
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role")
+    return fx.messages(spark, d).select("conv_id", "turn", "role", F.row_number().over(w).alias("place"))
+
+
+def sc09(spark, d):
+    """Events written as event text and read back."""
+    e = fx.table(spark, d, "events").withColumn("e", F.struct(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("agent")))
+    text = e.groupBy((F.col("event_id") % 50).alias("g")).agg(F.concat_ws("", F.collect_list(files.event_text(F.col("event_type"), F.col("e")))).alias("value"))
+    return files.events_of_text(text).groupBy("event", "agent").agg(F.count("*").alias("n"))
+
+
+_EV = """ev AS (SELECT user_id AS flow_id, 'agent_' || (event_id % 5) AS agent, CASE event_type WHEN 'signup' THEN 'START' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'COMPLETE' WHEN 'error' THEN 'ERROR' END AS status, ts, event_id FROM events)"""
+_RUNS = f"""{_EV}, r AS (SELECT *, count(*) FILTER (status = 'START') OVER (PARTITION BY flow_id, agent ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM ev), m AS (SELECT *, max(run) OVER (PARTITION BY flow_id, agent) AS last FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY flow_id, agent ORDER BY event_id DESC) AS k FROM m WHERE run = last)"""
+QUERIES = {
+    "t04_latest_state": (t04, f"WITH {_RUNS} SELECT flow_id, agent, arg_max(status, event_id) AS status, count(*) AS n, max(event_id) AS last_id FROM s GROUP BY 1, 2"),
+    "t05_distinct_events": (t05, f"WITH {_EV} SELECT flow_id, count(DISTINCT (agent, ts)) AS n FROM ev GROUP BY 1"),
+    "t07_status": (t07, f"WITH {_EV} SELECT flow_id, agent, arg_max(status, event_id) AS status, min(event_id) FILTER (status = 'IN_PROGRESS') AS first_running FROM ev GROUP BY 1, 2"),
+    "t08_bounded_history": (t08, f"WITH {_RUNS} SELECT flow_id, agent, string_agg(status, ',' ORDER BY event_id) AS history FROM s WHERE k <= 5 GROUP BY 1, 2"),
+    "t09_progress": (t09, f"WITH {_EV} SELECT flow_id AS run_id, event_id AS seq, round(row_number() OVER (PARTITION BY flow_id ORDER BY event_id) / CAST(count(*) OVER (PARTITION BY flow_id) AS DOUBLE), 8) AS progress FROM ev"),
+    "u11_dedup_events": (u11, "SELECT role, count(DISTINCT (conv_id, text)) AS n FROM conversations GROUP BY 1"),
+    "a31_last_values": (a31, "SELECT conv_id, role, max(turn) AS turn, arg_max(length(text), turn) AS n_chars FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2"),
+    "l13_log_order": (l13, "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS place FROM conversations"),
+    "sc09_event_text": (sc09, "SELECT event_type AS event, CAST(user_id AS VARCHAR) AS agent, count(*) AS n FROM events GROUP BY 1, 2"),
+}
