@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .quality_model import _spans
 from .ragged import U64, blocks, from_arrow, gather, mix, prefix_hash, span_hash
-from .tables import kept, map_batches, map_groups
+from .tables import folded, kept, map_batches, map_groups, unfolded
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5
 RUNS, CHOSEN, DEEPER = 6, 3.0, 1.5
@@ -296,6 +296,6 @@ def links(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of every class of docs the row with the smallest doc_id; rows without any word, or without an id, all stay."""
     found = links(docs).filter(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id", "_c").distinct()
-    rows = docs.withColumn("_c", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = folded(docs, "doc_id", "text").withColumn("_c", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r._c") == F.col("f._c"))
-    return rows.alias("r").join(found.alias("f"), same, "left_semi").dropDuplicates(["doc_id", "_c"]).select(*docs.columns)
+    return unfolded(rows.alias("r").join(found.alias("f"), same, "left_semi").dropDuplicates(["doc_id", "_c"]), docs, "doc_id", "text")

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .ragged import blocks, from_arrow, prefix_hash, span_hash
-from .tables import map_batches
+from .tables import folded, map_batches, unfolded
 
 WORD_BITS, RANK = 15, 8
 #: Labelled documents that the fit uses at most.
@@ -182,30 +183,28 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     return fit(per_row, np.asarray(found.column("_y"), dtype=np.float32))
 
 
-def scored(docs: DataFrame, model: Machine, columns: list[str]) -> DataFrame:
-    """The given columns of docs and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in columns if c != "text"]
+def scored(rows: DataFrame, model: Machine) -> DataFrame:
+    """rows(text, …) with _score."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    names = rows.columns
+    at = names.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = from_arrow(batch.column(0))
+        data, offsets = from_arrow(batch.column(at))
         out = np.zeros(batch.num_rows)
         for i, j in blocks(offsets, BLOCK_BYTES):
             out[i:j] = held.value.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-        kept = [batch.column(0)] * ("text" in columns) + batch.columns[1:]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(out)], [*["text"] * ("text" in columns), *names, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "_score"])
 
-    source = docs.select("text", *names)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text" or "text" in columns]
-    return map_batches(source, work, ", ".join([*fields, "score double"]))
+    return map_batches(rows, work, StructType([*rows.schema.fields, StructField("_score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text, ...)."""
-    out = scored(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    out = scored(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the model predicts to be good, with the columns of docs."""
-    return scored(docs, train(docs, labels), docs.columns).filter(F.col("score") >= threshold).select(*docs.columns)
+    return unfolded(scored(folded(docs, "text"), train(docs, labels)).filter(F.col("_score") >= threshold), docs, "text")

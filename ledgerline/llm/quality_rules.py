@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import folded, unfolded
 from .tables import kept as kept_table
 
 _SPACES = " \t\n\x0b\f\r"
@@ -113,8 +114,8 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     # a filter on the verdict would be pushed into the arrays' lambdas, so the verdicts are written first
     verdicts = kept_table(_keyed(judged(docs.select("doc_id", "text", host), host), host).select("doc_id", "_host", "_content", "kept", "_bad"), "verdicts")
     good = verdicts.filter("kept").drop("kept").dropDuplicates(["doc_id", "_host", "_content"]).alias("v")
-    rows = _keyed(docs, host).alias("r")
+    rows = _keyed(folded(docs, "doc_id", "text", host), host).alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("r._host") == F.col("v._host")) & (F.col("r._content") == F.col("v._content"))
-    out = rows.join(good, same).select(*(F.col(f"r.`{c}`") for c in docs.columns), "v._bad")
+    out = rows.join(good, same).select("r.doc_id", "r.text", f"r.{host}", "r._rest", "v._bad")
     text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", line_hash(x))), "\n"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return unfolded(out.withColumn("text", text), docs, "doc_id", "text", host, n_chars=F.length("text").cast("long"))

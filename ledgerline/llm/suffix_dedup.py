@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import U64, blocks, from_arrow, mix, prefix_hash, powers, span_hash
-from .tables import kept, map_batches
+from .tables import folded, kept, map_batches, unfolded
 
 LENGTH = 400
 #: Distinct contexts of a gram that are sorted together at most.
@@ -397,21 +397,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Rows keep all their columns; a text of which nothing is left is the empty string, a null text stays null.
     """
-    names = docs.columns
+    rows = folded(docs, "doc_id", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = names.index("text")
-        data, offsets = from_arrow(batch.column(at))
-        raw, runs, texts = data.tobytes(), _runs(batch, len(names)), []
+        data, offsets = from_arrow(batch.column(1))
+        raw, runs, texts = data.tobytes(), _runs(batch, 3), []
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         lead = np.append(lead, len(data))
         for k, (s, e) in enumerate(runs):
             a, b = int(offsets[k]), int(offsets[k + 1])
             s, e = lead[np.searchsorted(lead, s + a)] - a, lead[np.searchsorted(lead, e + a, "right") - 1] - a
             texts.append(_rest(raw[a:b], (s[s < e], e[s < e])).decode())
-        texts = pa.array(texts, pa.string(), mask=np.asarray(batch.column(at).is_null()))
-        return pa.RecordBatch.from_arrays([texts if c == at else batch.column(c) for c in range(len(names))], names)
+        texts = pa.array(texts, pa.string(), mask=np.asarray(batch.column(1).is_null()))
+        return pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], ["doc_id", "text", "_rest"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_batches(_with_runs(docs, length, names), work, fields)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
+    out = map_batches(_with_runs(rows, length, ["doc_id", "text", "_rest"]), work, rows.schema)
+    return unfolded(out, docs, "doc_id", "text", n_chars=F.length("text").cast("long"))

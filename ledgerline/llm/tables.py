@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,7 +43,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply work to every Arrow batch of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,3 +79,15 @@ def map_groups(df: DataFrame, key: list[str], work: Callable[[pa.Table], pa.Reco
             yield out
 
     return df.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def folded(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others as one column _rest, so that no other name of docs can clash."""
+    others = [c for c in docs.columns if c not in names]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("string")
+    return docs.select(*names, rest.alias("_rest"))
+
+
+def unfolded(df: DataFrame, docs: DataFrame, *names: str, **changed: Column) -> DataFrame:
+    """The columns of docs from a folded frame; ``changed`` gives new values for some, if docs has them."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(c) if c in names else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
