@@ -9,7 +9,7 @@ FRAME = '<html><head><title>t</title></head><body><div>Menu one</div><div>{0}</d
 
 def test_blocks_and_furniture():
     page = '<nav><a href="/">Home</a></nav><article><h1>A  &lt;b&gt;</h1><p>x <b>y</b>z<br>w<p>v</p><div class="comments"><p>no</p></div><form>no</form><script>"</p>"</script></article><footer>&copy; no</footer>'
-    assert page_text.main_text(page_text.lines(page), None) == "A <b>\nx yz w\nv"
+    assert page_text.article_of(page_text.lines(page)) == "A <b>\nx yz w\nv"
 
 
 def test_lcs_matches_brute_force():
@@ -31,7 +31,7 @@ def test_pages_without_article_lose_what_the_nearest_shares(spark):
     assert page_text.extract(pages).count() == len(rows)
     assert all(got[i] == (f"Own text {i}", len(f"Own text {i}")) for i in [0, *range(3, 19)])
     assert got[50][0] == "Menu one\nOnly\nShared & legal" and got[51][0].startswith("Menu one")
-    assert got[52] == ("", 0) and got[53] == ("", 0) and got[54] == got[55] == ("Menu one\nCopy\nShared & legal", 29)
+    assert got[52] == ("", 0) and got[53] == ("", 0) and got[54] == got[55] == ("Menu one\nCopy\nShared & legal", 28)
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
