@@ -71,26 +71,26 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
     return docs.withColumns({"_host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")), "_content": F.xxhash64(_text())})
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", line_docs: int = 20, line_share: float = 0.005) -> DataFrame:
-    """host and hash of the lines over the limits, with the number of distinct texts that have them."""
-    keyed = _keyed(docs, host)
-    rows = keyed.select("_host", "_content", F.explode(F.array_distinct(F.transform(lines(_text()), line_hash))).alias("_line"))
-    often = rows.groupBy("_host", "_line").agg(F.count_distinct("_content").alias("n_docs")).filter(F.col("n_docs") > line_docs)
-    hosts = keyed.groupBy("_host").agg(F.count_distinct("_content").alias("host_docs"))
+def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
+    """A row for every line with a word: its document's key, its place, hash and number of words; written once."""
+    each = F.transform(lines(_text()), lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n")))
+    rows = _keyed(docs, host).select("doc_id", "_host", "_content", F.posexplode(each).alias("_at", "_l"))
+    return kept_table(rows.select("doc_id", "_host", "_content", "_at", F.col("_l.h").alias("_line"), F.col("_l.n").alias("_n")), "lines")
+
+
+def frequent_lines(table: DataFrame, line_docs: int = 20, line_share: float = 0.005) -> DataFrame:
+    """host and hash of the lines of a line table that are over the limits, with the number of distinct texts that have them."""
+    often = table.groupBy("_host", "_line").agg(F.count_distinct("_content").alias("n_docs")).filter(F.col("n_docs") > line_docs)
+    hosts = table.groupBy("_host").agg(F.count_distinct("_content").alias("host_docs"))
     return often.join(hosts, "_host").filter(F.col("n_docs") > line_share * F.col("host_docs")).select("_host", "_line", "n_docs")
 
 
 def removed_lines(docs: DataFrame, host: str, line_docs: int, line_share: float) -> DataFrame:
     """For every document with lines over the limits: the words in them, and their hashes."""
-    each = _keyed(docs, host).select("doc_id", "_host", "_content", F.explode(F.transform(lines(_text()), lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n")))).alias("_l"))
-    each = each.select("doc_id", "_host", "_content", F.col("_l.h").alias("_line"), F.col("_l.n").alias("_n"))
-    # repeated rows would add up, so a row's lines are summed before rows with one key meet
-    each = each.groupBy("doc_id", "_host", "_content", "_line").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c"))
-    rows = _keyed(docs, host).groupBy("doc_id", "_host", "_content").agg(F.count("*").alias("_rows"))
-    bad = each.join(frequent_lines(docs, host, line_docs, line_share).drop("n_docs"), ["_host", "_line"])
-    found = bad.groupBy("doc_id", "_host", "_content").agg(F.sum("_n").alias("_n"), F.collect_set("_line").alias("_bad"))
-    same = F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("f._host") == F.col("r._host")) & (F.col("f._content") == F.col("r._content"))
-    return found.alias("f").join(rows.alias("r"), same).select("f.doc_id", "f._host", "f._content", (F.col("f._n") / F.col("r._rows")).cast("long").alias("n_removed_words"), "f._bad")
+    table = line_table(docs, host)
+    bad = table.join(frequent_lines(table, line_docs, line_share).drop("n_docs"), ["_host", "_line"])
+    once = bad.dropDuplicates(["doc_id", "_host", "_content", "_at"])  # repeated rows have the same lines
+    return once.groupBy("doc_id", "_host", "_content").agg(F.sum("_n").cast("long").alias("n_removed_words"), F.collect_set("_line").alias("_bad"))
 
 
 def judged(docs: DataFrame, host: str = "source", line_docs: int = 20, line_share: float = 0.005, words_left: float = 0.3) -> DataFrame:
