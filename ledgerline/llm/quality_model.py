@@ -27,9 +27,10 @@ from .tables import folded, map_batches, unfolded
 WORD_BITS, RANK = 15, 8
 #: Labelled documents that the fit uses at most.
 TRAIN_ROWS = 10_000
-EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.02, 1e-5
+#: Passes over the rows, and steps that are taken at least where the rows are few.
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 8, 400, 128, 0.02, 1e-5
 BLOCK_BYTES = 2_000_000
-STATISTICS = ("symbols", "upper", "digits", "marks", "exclaims", "high_bytes", "log_bytes", "log_words", "word_length", "distinct_words", "lines", "repeated_lines", "bias")
+STATISTICS = ("symbols", "upper", "digits", "marks", "exclaims", "high_bytes", "log_bytes", "log_words", "word_length", "distinct_words", "same_as_previous", "lines", "repeated_lines", "bias")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -69,7 +70,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     prefix = prefix_hash(data)
     begin, end = _spans(~space, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
     row = np.searchsorted(offsets, begin, "right") - 1
-    bucket = (span_hash(prefix, begin, end) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = span_hash(prefix, begin, end)
+    bucket = (word >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    same = np.bincount(row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])], minlength=n)
     key, count = np.unique(row << WORD_BITS | bucket, return_counts=True)
     owner = key >> WORD_BITS
     norm = np.sqrt(np.bincount(owner, count.astype(np.float64) ** 2, n))
@@ -95,6 +98,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
         np.log1p(n_words) / 10,
         np.minimum(size / np.maximum(n_words, 1), 40) / 10,
         np.diff(at) / np.maximum(n_words, 1),
+        3 * same / np.maximum(n_words, 1),
         np.minimum(n_lines / np.maximum(n_words, 1), 1),
         again / np.maximum(n_lines, 1),
         np.ones(n),
@@ -141,7 +145,7 @@ def fit(rows: list[Features], labels: np.ndarray, seed: int = 11) -> Machine:
     model.statistics[:, 1:] = rng.normal(0, 0.05, (len(STATISTICS), RANK))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.words, model.statistics)]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // max(len(rows), BATCH))):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             part = [rows[k] for k in order[i : i + BATCH]]
