@@ -23,6 +23,8 @@ from .tables import kept as kept_table
 _SPACES = " \t\n\x0b\f\r"
 _GAP = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
+#: Distinct repeated windows of a text up to which each window is looked up among them.
+FEW_WINDOWS = 64
 
 
 def words(text: Column) -> Column:
@@ -48,10 +50,16 @@ def base_statistics(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
     # each step reads the arrays of the one before; inlined into a lambda they would be built for every element
     step = docs.withColumns({"_words": words(_text()), "_lines": lines(_text())})
     n = F.size("_words")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(*(F.get("_words", i + k) for k in range(3))).alias("h"), i.alias("i")))
-    step = step.withColumn("_windows", F.when(n >= 3, F.array_sort(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    again = F.filter("_windows", lambda x, k: (F.get("_windows", k - 1)["h"] == x["h"]) | F.coalesce(F.get("_windows", k + 1)["h"] == x["h"], F.lit(False)))
-    step = step.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["i"])))
+    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(3))))
+    step = step.withColumn("_h", F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")))
+    step = step.withColumn("_sorted", F.sort_array("_h"))
+    step = step.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda x, k: F.get("_sorted", k - 1) == x)))
+    # few repeated windows are looked up; where there are many, sorted pairs of window and place keep the cost near-linear
+    many = F.size("_twice") > FEW_WINDOWS
+    step = step.withColumn("_pairs", F.when(many, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    repeated = F.filter("_pairs", lambda x, k: (F.get("_pairs", k - 1)["h"] == x["h"]) | F.coalesce(F.get("_pairs", k + 1)["h"] == x["h"], F.lit(False)))
+    found = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains("_twice", F.get("_h", i)))
+    step = step.withColumn("_again", F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(many, F.sort_array(F.transform(repeated, lambda x: x["i"]))).otherwise(found))
     m = F.size("_again")
     covered = F.aggregate(F.zip_with(F.slice("_again", F.lit(1), m - 1), F.slice("_again", F.lit(2), m - 1), lambda a, b: F.least(F.lit(3), b - a)), F.lit(0), lambda s, x: s + x) + 3
     step = step.withColumns(
@@ -64,7 +72,7 @@ def base_statistics(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
         }
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return step.withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_again")
+    return step.withColumn("base_failed", failed).drop("_words", "_lines", "_h", "_sorted", "_twice", "_pairs", "_again")
 
 
 def _keyed(docs: DataFrame, host: str) -> DataFrame:

@@ -2,12 +2,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import quality_model, quality_rules
 
 
-def test_base_statistics(docs):
+@pytest.mark.parametrize("few", [0, 64])
+def test_base_statistics(docs, few, monkeypatch):
+    monkeypatch.setattr(quality_rules, "FEW_WINDOWS", few)
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(docs).collect())
     want = Counter()
     for r in docs.collect():
