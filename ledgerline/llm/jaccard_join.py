@@ -211,12 +211,13 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         more = rest.filter(F.col("size") > BUCKET) if depth < RUNS - 1 else None
         small = rest.filter(F.col("size") <= BUCKET) if depth < RUNS - 1 else rest
         tiles = _in_blocks(small, "path", "size", BUCKET).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch")
-        found = judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"))
+        found = judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found"))
         edges = found if edges is None else edges.unionByName(found)
         if more is None or not more.take(1):
             break
         # split what is left of large buckets by the tokens that their members choose in the next run
-        members = more.join(nodes.select("cid", F.explode("chosen").alias("c")), "cid").filter((F.col("c.run") == (F.col("run") + 1) % RUNS) & F.col("c.deep")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
+        following = F.filter("chosen", lambda c: (c["run"] == (F.col("run") + 1) % RUNS) & c["deep"])
+        members = more.join(nodes.select("cid", "chosen"), "cid").select("path", "cid", F.explode(following).alias("c")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
     return edges
 
 
