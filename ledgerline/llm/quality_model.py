@@ -13,6 +13,7 @@ out take no part in the fit; without any labelled row all scores are 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,11 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, pa.array(x.bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(x.value)), stats], ["doc_id", "_y", "bucket", "value", "stats"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
-    found = map_batches(chosen, work, "doc_id long, _y int, bucket array<int>, value array<float>, stats array<float>").toArrow().combine_chunks().sort_by("doc_id")
-    bucket, value, stats = (found.column(c).combine_chunks() for c in ("bucket", "value", "stats"))
-    one = lambda a, i, t: np.asarray(a[i].values, dtype=t)
-    per_row = [Features(np.array([0, len(bucket[i])]), one(bucket, i, np.int64), one(value, i, np.float32), one(stats, i, np.float32)[None, :]) for i in range(found.num_rows)]
-    return fit(per_row, np.asarray(found.column("_y"), dtype=np.float32))
+    rows_of = map_batches(chosen, work, "doc_id long, _y int, bucket array<int>, value array<float>, stats array<float>")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(batches)
+        model = Machine.untrained()
+        if tables:
+            found = pa.Table.from_batches(tables).combine_chunks().sort_by([("doc_id", "ascending"), ("_y", "ascending")])
+            bucket, value, stats = (found.column(c).combine_chunks() for c in ("bucket", "value", "stats"))
+            one = lambda a, i, t: np.asarray(a[i].values, dtype=t)
+            per_row = [Features(np.array([0, len(bucket[i])]), one(bucket, i, np.int64), one(value, i, np.float32), one(stats, i, np.float32)[None, :]) for i in range(found.num_rows)]
+            model = fit(per_row, np.asarray(found.column("_y"), dtype=np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([model.words.astype("<f4").tobytes()]), pa.array([model.statistics.astype("<f4").tobytes()])], ["words", "statistics"])
+
+    # the sample is bounded, so one task fits the model; only its weights come to the driver
+    found = rows_of.repartition(1).mapInArrow(learn, "words binary, statistics binary").first()
+    return Machine(*(np.frombuffer(x, "<f4").reshape(-1, 1 + RANK) for x in found))
 
 
 def scored(rows: DataFrame, model: Machine) -> DataFrame:
