@@ -10,6 +10,7 @@ own for every text.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -96,12 +97,11 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, style: st
     quote = quote[(kind[quote + 1] == LETTER) & ~row_start[quote + 1]]
     if style == "byte":
         quote = quote[row_start[quote] | (data[quote - 1] != 32)]
-    if style == "byte":
         last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])  # last white space before something else
         start[last] = True
         start[last[data[last] == 32] + 1] = False
     if quote.size:
-        one, two, three = data[quote + 1], np.minimum(quote + 2, n - 1), np.minimum(quote + 3, n - 1)
+        one, two = data[quote + 1], np.minimum(quote + 2, n - 1)
         single = np.isin(one, list(_SHORT))
         inside = (quote + 2 < n) & ~first[np.minimum(quote + 2, n)]
         double = np.zeros(len(quote), bool)
@@ -112,7 +112,6 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, style: st
         after = (quote + np.where(single, 2, 3))[taken]
         after = after[after < n]
         start[after] = True
-        _ = three
     begin = np.flatnonzero(start)
     end = np.append(begin[1:], n)
     if style == "word":
@@ -187,23 +186,33 @@ class Encoder:
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = classes(data)
-        odd = plain_rows(data, offsets, kind)
-        if odd.all():
+        plain = plain_rows(data, offsets, kind)
+        if plain.all():
             return self._plain(data, offsets, kind)
         parts, sizes = [], []
-        for i, plain in enumerate(odd):  # a run of plain rows would also do; odd rows are rare
-            a, b = offsets[i], offsets[i + 1]
-            if plain:
-                ids = self._plain(data[a:b], np.array([0, b - a]), kind[a:b])[0]
+        for i, j, easy in runs(plain):
+            a, b = offsets[i], offsets[j]
+            if easy:
+                ids, at = self._plain(data[a:b], offsets[i : j + 1] - a, kind[a:b])
+                parts.append(ids)
+                sizes += np.diff(at).tolist()
             else:
-                ids = np.array(self.tokenizer.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
-            parts.append(ids)
-            sizes.append(len(ids))
+                for k in range(i, j):
+                    parts.append(np.array(self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32))
+                    sizes.append(len(parts[-1]))
         at = np.zeros(len(offsets), np.int64)
         np.cumsum(sizes, out=at[1:])
         return np.concatenate(parts), at
 
 
+def runs(flags: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Maximal ranges of equal flags."""
+    edge = [0, *(np.flatnonzero(np.diff(flags)) + 1).tolist(), len(flags)]
+    for i, j in zip(edge, edge[1:], strict=False):
+        if j > i:
+            yield i, j, bool(flags[i])
+
+
 def plain_rows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Which rows have only characters of ``PLAIN`` and no ``<|``."""
     bad = kind == 0

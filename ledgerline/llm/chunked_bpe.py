@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import BLOCK_BYTES, SPACE, Encoder, classes, plain_rows, pretokens
+from .bpe import BLOCK_BYTES, SPACE, Encoder, classes, plain_rows, pretokens, runs
 from .ragged import U64, blocks, from_arrow, gather, prefix_hash, span_hash
 from .tables import map_batches
 from .token_counts import byte_symbols
@@ -141,16 +141,13 @@ class ChunkEncoder:
             part, at = data[a:b], offsets[i : j + 1] - a
             kind = classes(part)
             plain = plain_rows(part, at, kind)
-            if plain.all():
-                ids, ends = self._block(part, at, kind)
-                out += np.split(ids, ends[1:-1])
-                continue
-            for k, easy in enumerate(plain):
-                own = part[at[k] : at[k + 1]]
+            for low, high, easy in runs(plain):
+                a, b = at[low], at[high]
                 if easy:
-                    out.append(self._block(own, np.array([0, len(own)]), kind[at[k] : at[k + 1]])[0])
+                    ids, ends = self._block(part[a:b], at[low : high + 1] - a, kind[a:b])
+                    out += np.split(ids, ends[1:-1])
                 else:
-                    out.append(np.array(self.words.tokenizer.encode(own.tobytes().decode(), add_special_tokens=False).ids, np.uint32))
+                    out += [np.array(self.words.tokenizer.encode(part[at[k] : at[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for k in range(low, high)]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
