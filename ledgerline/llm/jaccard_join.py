@@ -12,7 +12,8 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
    Jaccard distance. Of the others, a bucket of at most ``BUCKET`` is compared pair
    by pair; a larger one is split by the tokens that its sets choose in the next
    run (``DEEPER / size``, so that only sets with most tokens in common stay
-   together), and so on, and after the last run in blocks. Sketches let pass everything that can be similar, and leave stars of
+   together), and so on; what is left after the last run, or is little, is compared in
+   blocks. Sketches let pass everything that can be similar, and leave stars of
    edges, not pairs.
 3. Connected candidates are then compared exactly, all with all, by their whole
    sets: a component of more than ``BLOCK`` in pairs of blocks. Links are counted in
@@ -43,6 +44,8 @@ SKETCH = 64
 #: similarity of 0.56; what is similar to such a member has about 0.5 with the first, and 0.64 of the hashes).
 LOOSE, STRONG = 0.5, 0.72
 BUCKET, BLOCK = 512, 256
+#: Rows in larger buckets up to which they are compared in blocks rather than split once more.
+FEW_LEFT = 10 * BUCKET
 BLOCK_BYTES = 2_000_000
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 63, RUNS, dtype=np.uint64)
 _STEP = U64(0x9FB21C651E98DF25)
@@ -208,12 +211,13 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         left = inside.join(judged.filter("very").select("cid", "first"), ["cid", "first"], "left_anti")
         sizes = left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         rest = kept(left.join(sizes, "path").select("path", "cid", "run", "size"), "rest")
-        more = rest.filter(F.col("size") > BUCKET) if depth < RUNS - 1 else None
-        small = rest.filter(F.col("size") <= BUCKET) if depth < RUNS - 1 else rest
+        more = rest.filter(F.col("size") > BUCKET)
+        last = depth == RUNS - 1 or more.count() <= FEW_LEFT
+        small = rest if last else rest.filter(F.col("size") <= BUCKET)
         tiles = _in_blocks(small, "path", "size", BUCKET).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch")
         found = judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found"))
         edges = found if edges is None else edges.unionByName(found)
-        if more is None or not more.take(1):
+        if last:
             break
         # split what is left of large buckets by the tokens that their members choose in the next run
         following = F.filter("chosen", lambda c: (c["run"] == (F.col("run") + 1) % RUNS) & c["deep"])

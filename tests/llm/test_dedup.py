@@ -83,6 +83,7 @@ def test_large_bucket_paths(docs, monkeypatch):
     want = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()}
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "FEW_LEFT", 0)
     assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()} == want
 
 
