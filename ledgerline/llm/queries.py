@@ -58,5 +58,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_deep_shallow, op2_factorisation_machine, op3_best_two_fit, op4_wavelet_shards, op5_pruned_graph, op6_chosen_path, op7_token_counts, op8_page_differencing, op9_line_frequency, op10_chunk_reuse)}
 
 
+_GAP = "[\\x20\\x09-\\x0D]"
+LINE_FREQUENCY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('h' || source, '') AS host FROM documents),
+ w AS (SELECT *, list_filter(string_split_regex(text, '{_GAP}+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+ win AS (SELECT doc_id, i, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+ dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup CROSS JOIN (VALUES (0), (1), (2)) t(k) GROUP BY 1),
+ lines AS (SELECT doc_id, host, text, l, lower(trim(regexp_replace(l, '{_GAP}+', ' ', 'g'))) AS norm FROM (SELECT doc_id, host, text, unnest(ls) AS l FROM w)),
+ hosts AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY 1),
+ often AS (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY 1, 2),
+ bad AS (SELECT o.host, o.norm FROM often o JOIN hosts h USING (host) WHERE o.n > 20 AND o.n > 0.005 * h.n),
+ gone AS (SELECT doc_id, sum(len(list_filter(string_split_regex(l, '{_GAP}+'), lambda x: x <> ''))) AS n FROM lines JOIN bad USING (host, norm) GROUP BY 1),
+ s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+ SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_frequency": LINE_FREQUENCY}

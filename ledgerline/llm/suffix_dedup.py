@@ -255,7 +255,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) ->
 
     found = kept(map_batches(keyed, find, "gram long, context long, _d long, _c long, at long, l int, r int"), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    shared = kept(found.join(grams.select("gram", (F.col("low") != F.col("high")).alias("several")), "gram"), "shared")
+    # written first: a join with a finished table can split a gram that very many places share
+    grams = kept(grams.select("gram", (F.col("low") != F.col("high")).alias("several")), "grams")
+    shared = kept(found.join(grams, "gram"), "shared")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_c", "at")).alias("first"), F.first("several").alias("several"))
     contexts = kept(contexts.filter("several or n > 1"), "contexts")
     inside = shared.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).filter(F.col("l") + F.col("r") >= length)
