@@ -198,7 +198,8 @@ def _in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """u, v between nodes(cid, n, sketch, chosen) that may be similar; what is similar is connected."""
-    sketches = nodes.select("cid", "n", "sketch")
+    # merge hints: the same plan at every size, so that a small run tells what a large one moves
+    sketches = nodes.select("cid", "n", "sketch").hint("merge")
     members = nodes.select("cid", F.explode("chosen").alias("c")).select(F.col("c.path").alias("path"), "cid", F.col("c.run").alias("run"))
     edges = None
     for depth in range(RUNS):
@@ -221,7 +222,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
             break
         # split what is left of large buckets by the tokens that their members choose in the next run
         following = F.filter("chosen", lambda c: (c["run"] == (F.col("run") + 1) % RUNS) & c["deep"])
-        members = more.join(nodes.select("cid", "chosen"), "cid").select("path", "cid", F.explode(following).alias("c")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
+        members = more.join(nodes.select("cid", "chosen").hint("merge"), "cid").select("path", "cid", F.explode(following).alias("c")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
     return edges
 
 
@@ -280,7 +281,7 @@ def links(docs: DataFrame) -> DataFrame:
     near = kept(nodes.select("cid", "copies", "one").join(parts.join(sizes, "component"), "cid"), "near")
     texts = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c")).alias("one"), "text")
     by_id = F.col("t.one.doc_id").eqNullSafe(F.col("w.one.doc_id")) & (F.col("t.one._c") == F.col("w.one._c"))
-    sets = _token_lists(texts.alias("t").join(near.alias("w"), by_id).select("text", "cid", "copies", "component", "size").dropDuplicates(["cid"]))
+    sets = _token_lists(texts.alias("t").join(near.alias("w").hint("merge"), by_id).select("text", "cid", "copies", "component", "size").dropDuplicates(["cid"]))
     tiles = _in_blocks(sets, "component", "size", BLOCK).select("component", "i", "j", "cid", "own", "copies", "size", "tokens")
     found = kept(map_groups(tiles, ["component", "i", "j"], _exact_links, "cid long, links long, root long", rows=2_000), "links")
     many = near.filter(F.col("size") > BLOCK).select("cid")
@@ -293,7 +294,7 @@ def links(docs: DataFrame) -> DataFrame:
     placed = kept(placed, "placed")
     classes = placed.groupBy("root").agg(F.min("set_id").alias("class_id"))
     facts = placed.join(classes, "root").select("cid", "set_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    joined = rows.select("doc_id", "_c", "cid").join(facts, "cid").select("doc_id", "_c", "class_id", "n_links", "set_id")
+    joined = rows.select("doc_id", "_c", "cid").join(facts.hint("merge"), "cid").select("doc_id", "_c", "class_id", "n_links", "set_id")
     bare = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c"), "text").filter(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     return joined.unionByName(bare.select("doc_id", "_c", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id")))
 
