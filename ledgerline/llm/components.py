@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from .tables import kept
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """One round: every node's neighbours (the larger ones, or the others and itself) are tied to its smallest."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if small:
-        down = both.filter("v < u")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    else:
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+def _large_stars(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours are tied to the smallest of itself and its neighbours."""
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.unionByName(up).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_stars(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are tied to the smallest of them."""
+    joined = edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    ties = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return joined.select(ties.alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
-        edges = kept(_stars(_stars(edges, small=False), small=True), "stars")
+        edges = kept(_small_stars(_large_stars(edges)), "stars")  # all of them have u > v
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
         if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").take(1):
             break

@@ -12,9 +12,10 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
    Jaccard distance. Of the others, a bucket of at most ``BUCKET`` is compared pair
    by pair; a larger one is split by the tokens that its sets choose in the next
    run (``DEEPER / size``, so that only sets with most tokens in common stay
-   together), and so on; what is left after the last run, or is little, is compared in
-   blocks. Sketches let pass everything that can be similar, and leave stars of
-   edges, not pairs.
+   together), and so on; what is left after the last run is compared in blocks. A
+   bucket of at most ``IN_TASK`` is split within one task, a larger one by further
+   joins. Sketches let pass everything that can be similar, and leave stars of edges,
+   not pairs.
 3. Connected candidates are then compared exactly, all with all, by their whole
    sets: a component of more than ``BLOCK`` in pairs of blocks. Links are counted in
    the tasks, not listed.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -44,8 +45,8 @@ SKETCH = 64
 #: similarity of 0.56; what is similar to such a member has about 0.5 with the first, and 0.64 of the hashes).
 LOOSE, STRONG = 0.5, 0.72
 BUCKET, BLOCK = 512, 256
-#: Rows in larger buckets up to which they are compared in blocks rather than split once more.
-FEW_LEFT = 10 * BUCKET
+#: Members (of less than 1 KB each) up to which a bucket is split within one task.
+IN_TASK = 20_000
 BLOCK_BYTES = 2_000_000
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 63, RUNS, dtype=np.uint64)
 _STEP = U64(0x9FB21C651E98DF25)
@@ -166,32 +167,86 @@ def _groups(table: pa.Table, key: list[str]) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True))
 
 
-def _bucket_edges(table: pa.Table) -> pa.RecordBatch | None:
-    """Stars of edges between the members of each bucket (or pair of blocks) that sketches let pass."""
-    lists = table.column("sketch").combine_chunks()
-    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    cid, size = np.asarray(table.column("cid")), np.asarray(table.column("n"))
-    found = []
-    for a, b in _groups(table, ["path", "i", "j"]):
-        if b - a < 2:
-            continue
-        owner = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
-        common = _common_counts(flat[at[a] : at[b]], owner, b - a)
-        of = np.minimum(SKETCH, np.maximum(size[a:b, None], size[None, a:b]))
+class _Members:
+    """The members of buckets, with what edges between them have been found."""
+
+    def __init__(self, table: pa.Table) -> None:
+        lists, chosen = table.column("sketch").combine_chunks(), table.column("chosen").combine_chunks()
+        self.at, self.flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        self.cid, self.size = np.asarray(table.column("cid")), np.asarray(table.column("n"))
+        self.chosen_at = np.asarray(chosen.offsets)
+        self.run, self.path, self.deep = (chosen.values.field(k).to_numpy(zero_copy_only=False) for k in ("run", "path", "deep"))
+        self.found: list[np.ndarray] = []
+
+    def sketches(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = self.at[rows + 1] - self.at[rows]
+        return gather(self.flat, self.at[rows], many)[0], np.repeat(np.arange(len(rows)), many)
+
+    def compare(self, rows: np.ndarray) -> None:
+        """Stars of edges between rows whose sketches let pass."""
+        common = _common_counts(*self.sketches(rows), len(rows))
+        of = np.minimum(SKETCH, np.maximum(self.size[rows][:, None], self.size[rows][None, :]))
         pairs = np.argwhere(np.triu(common >= LOOSE * of, 1))
         if len(pairs):
-            root = _roots(b - a, pairs)
-            moved = np.flatnonzero(root != np.arange(b - a))
-            found.append(np.stack([cid[a:b][moved], cid[a:b][root[moved]]]))
-    if not found:
+            root = _roots(len(rows), pairs)
+            moved = np.flatnonzero(root != np.arange(len(rows)))
+            self.found.append(np.stack([self.cid[rows][moved], self.cid[rows][root[moved]]]))
+
+    def unlike_first(self, rows: np.ndarray) -> np.ndarray:
+        """Edges from the first of rows to those that may be similar to it; returns the others that are not very like it."""
+        first, others = rows[0], rows[1:]
+        flat, owner = self.sketches(others)
+        common = np.bincount(owner, np.isin(flat, self.flat[self.at[first] : self.at[first + 1]]), len(others))
+        of = np.minimum(SKETCH, np.maximum(self.size[first], self.size[others]))
+        like = self.cid[others[common >= LOOSE * of]]
+        self.found.append(np.stack([like, np.full_like(like, self.cid[first])]))
+        return others[common < STRONG * of]
+
+    def split(self, rows: np.ndarray, run: int) -> None:
+        """Split a bucket of the given run by what its members choose in the runs that follow."""
+        todo = [(rows, run, 1)]
+        while todo:
+            rows, run, depth = todo.pop()
+            if len(rows) <= BUCKET:
+                if len(rows) > 1:
+                    self.compare(rows)
+                continue
+            if depth == RUNS:
+                parts = [rows[k : k + BUCKET] for k in range(0, len(rows), BUCKET)]
+                for i, part in enumerate(parts):
+                    self.compare(part)
+                    for other in parts[:i]:
+                        self.compare(np.concatenate([other, part]))
+                continue
+            run = (run + 1) % RUNS
+            many = self.chosen_at[rows + 1] - self.chosen_at[rows]
+            at, _ = gather(np.arange(len(self.path)), self.chosen_at[rows], many)
+            use = (self.run[at] == run) & self.deep[at]
+            member, path = np.repeat(rows, many)[use], self.path[at[use]]
+            order = np.lexsort((self.cid[member], path))
+            member, path = member[order], path[order]
+            for bucket in np.split(member, np.flatnonzero(path[1:] != path[:-1]) + 1):
+                if len(bucket) > 1:
+                    todo.append((self.unlike_first(bucket), run, depth + 1))
+
+
+def _bucket_edges(table: pa.Table) -> pa.RecordBatch | None:
+    """Edges between the members of each bucket (or pair of blocks) that sketches let pass."""
+    members, run, whole = _Members(table), np.asarray(table.column("run")), np.asarray(table.column("whole"))
+    for a, b in _groups(table, ["path", "i", "j"]):
+        if whole[a]:
+            members.split(np.arange(a, b), int(run[a]))
+        elif b - a > 1:
+            members.compare(np.arange(a, b))
+    if not members.found:
         return None
-    u, v = np.concatenate(found, axis=1)
+    u, v = np.concatenate(members.found, axis=1)
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Rows of a group, sent to every pair of blocks (i <= j) that they are part of, with their own block."""
-    parts = F.ceil(F.col(size) / block)
+def _in_blocks(rows: DataFrame, size: str, block: int, whole: Column) -> DataFrame:
+    """Rows of a group, sent to every pair of blocks (i <= j) that they are part of, with their own block; a whole group is one block."""
+    parts = F.when(whole, 1).otherwise(F.ceil(F.col(size) / block))
     own = rows.withColumns({"own": F.pmod(F.xxhash64("cid"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))})
     return own.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
@@ -212,10 +267,11 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         left = inside.join(judged.filter("very").select("cid", "first"), ["cid", "first"], "left_anti")
         sizes = left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
         rest = kept(left.join(sizes, "path").select("path", "cid", "run", "size"), "rest")
-        more = rest.filter(F.col("size") > BUCKET)
-        last = depth == RUNS - 1 or more.count() <= FEW_LEFT
-        small = rest if last else rest.filter(F.col("size") <= BUCKET)
-        tiles = _in_blocks(small, "path", "size", BUCKET).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch")
+        more = rest.filter(F.col("size") > IN_TASK)
+        last = depth == RUNS - 1 or not more.take(1)
+        small = (rest if last else rest.filter(F.col("size") <= IN_TASK)).withColumn("whole", F.col("size").between(BUCKET + 1, IN_TASK))
+        choices = F.when(F.col("whole"), F.col("chosen")).otherwise(F.array().cast(nodes.schema["chosen"].dataType)).alias("chosen")
+        tiles = _in_blocks(small, "size", BUCKET, F.col("whole")).join(nodes.select("cid", "n", "sketch", "chosen").hint("merge"), "cid").select("path", "i", "j", "cid", "n", "sketch", "run", "whole", choices)
         found = judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found"))
         edges = found if edges is None else edges.unionByName(found)
         if last:
@@ -282,7 +338,7 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c")).alias("one"), "text")
     by_id = F.col("t.one.doc_id").eqNullSafe(F.col("w.one.doc_id")) & (F.col("t.one._c") == F.col("w.one._c"))
     sets = _token_lists(texts.alias("t").join(near.alias("w").hint("merge"), by_id).select("text", "cid", "copies", "component", "size").dropDuplicates(["cid"]))
-    tiles = _in_blocks(sets, "component", "size", BLOCK).select("component", "i", "j", "cid", "own", "copies", "size", "tokens")
+    tiles = _in_blocks(sets, "size", BLOCK, F.lit(False)).select("component", "i", "j", "cid", "own", "copies", "size", "tokens")
     found = kept(map_groups(tiles, ["component", "i", "j"], _exact_links, "cid long, links long, root long", rows=2_000), "links")
     many = near.filter(F.col("size") > BLOCK).select("cid")
     if many.take(1):  # a class can reach over several block pairs

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import jaccard_join, suffix_dedup
@@ -83,10 +84,32 @@ def test_large_bucket_paths(docs, monkeypatch):
     want = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()}
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
-    monkeypatch.setattr(jaccard_join, "FEW_LEFT", 0)
+    monkeypatch.setattr(jaccard_join, "IN_TASK", 2)
     assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()} == want
 
 
+def test_buckets_split_in_a_task_connect_what_is_similar(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    texts = []
+    for _ in range(8):  # families of near copies, all of them in one bucket of each run
+        words = [f"w{k}" for k in r.integers(0, 10_000, 300)]
+        texts += [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(5, 300, 30)]
+    rows = jaccard_join.described(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("cid").toArrow()
+    of = dict(zip(rows["cid"].to_pylist(), rows["doc_id"].to_pylist(), strict=True))
+    n = rows.num_rows
+    fixed = {"i": pa.array(np.zeros(n, np.int64)), "j": pa.array(np.zeros(n, np.int64)), "whole": pa.array(np.ones(n, bool))}
+    tables = []
+    for run in range(jaccard_join.RUNS):
+        table = rows
+        for name, column in (fixed | {"path": pa.array(np.full(n, run)), "run": pa.array(np.full(n, run, np.int32))}).items():
+            table = table.append_column(name, column)
+        tables.append(table)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    edges = jaccard_join._bucket_edges(pa.concat_tables(tables).combine_chunks()).to_pydict()
+    root = jaccard_join._roots(n, np.array([[of[u], of[v]] for u, v in zip(edges["u"], edges["v"], strict=True)]))
+    assert root.tolist() == [10 * (k // 10) for k in range(n)]
+
+
 def test_one_of_each_class(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
