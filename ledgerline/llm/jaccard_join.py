@@ -7,15 +7,14 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
    sets of similarity 0.8 share 2.4 choices a run on average, so all runs together
    miss them with a probability under exp(-14).
 2. Every member of a bucket is compared with the bucket's first by a sketch (the
-   smallest hashes). Members that are very like the first need nothing else: what
-   is similar to them is like the first as well, by the triangle inequality of the
-   Jaccard distance. Of the others, a bucket of at most ``BUCKET`` is compared pair
-   by pair; a larger one is split by the tokens that its sets choose in the next
-   run (``DEEPER / size``, so that only sets with most tokens in common stay
-   together), and so on; what is left after the last run is compared in blocks. A
-   bucket of at most ``IN_TASK`` is split within one task, a larger one by further
-   joins. Sketches let pass everything that can be similar, and leave stars of edges,
-   not pairs.
+   smallest hashes). Members that are like the first are connected with it, so that
+   pairs of them need nothing else; every other pair of the bucket is compared: all
+   at once in a bucket of at most ``BUCKET``, by a prefix filter in a larger one. Two
+   sketches that have the share ``LOOSE`` in common have one of their rarest values in
+   common, so the filter passes over no pair. A bucket of at most ``IN_TASK`` is one
+   task's; a larger one is dealt by these rarest values, and what is still larger in
+   pairs of blocks. Sketches let pass everything that can be similar, and leave stars
+   of edges, not pairs.
 3. Connected candidates are then compared exactly, all with all, by their whole
    sets: a component of more than ``BLOCK`` in pairs of blocks. Links are counted in
    the tasks, not listed.
@@ -38,15 +37,16 @@ from .ragged import U64, blocks, from_arrow, gather, mix, prefix_hash, span_hash
 from .tables import folded, kept, map_batches, map_groups, unfolded
 
 GRAM, NUMERATOR, DENOMINATOR = 5, 4, 5
-RUNS, CHOSEN, DEEPER = 6, 3.0, 1.5
+RUNS, CHOSEN = 6, 3.0
 SKETCH = 64
 #: Of SKETCH smallest hashes, the share that two candidates have in common at least (similar sets have 0.8 or
-#: more, give or take 0.05), and the share from which a member counts as very like its bucket's first (a
-#: similarity of 0.56; what is similar to such a member has about 0.5 with the first, and 0.64 of the hashes).
-LOOSE, STRONG = 0.5, 0.72
+#: more, give or take 0.05).
+LOOSE = 0.5
 BUCKET, BLOCK = 512, 256
-#: Members (of less than 1 KB each) up to which a bucket is split within one task.
+#: Members (of less than 1 KB each) up to which a bucket is compared within one task.
 IN_TASK = 20_000
+#: Members that a large bucket's others are compared with before the prefix filter, and entries it looks at at a time.
+PIVOTS, AT_ONCE = 32, 2_000_000
 BLOCK_BYTES = 2_000_000
 _SEEDS = np.random.default_rng(97).integers(1, 1 << 63, RUNS, dtype=np.uint64)
 _STEP = U64(0x9FB21C651E98DF25)
@@ -107,24 +107,20 @@ def described(docs: DataFrame) -> DataFrame:
             chosen = [np.flatnonzero((mix(h ^ s) >> U64(11)).astype(np.float64) * 2.0**-53 < limit) for s in _SEEDS]
             token = np.concatenate([h[c] for c in chosen])
             run, own = np.repeat(np.arange(RUNS), [len(c) for c in chosen]), np.concatenate([owner[c] for c in chosen])
-            order = np.lexsort((run, own))
-            paths = mix(token + (run + 1).astype(U64) * _STEP)[order]
+            paths = mix(token + (run + 1).astype(U64) * _STEP)[np.argsort(own, kind="stable")]
             per_row = np.bincount(own, minlength=len(size))[rows]
-            deep = np.concatenate([(mix(h[c] ^ s) >> U64(11)).astype(np.float64) * 2.0**-53 < limit[c] * (DEEPER / CHOSEN) for c, s in zip(chosen, _SEEDS, strict=True)])[order]
-            pairs = pa.StructArray.from_arrays([pa.array(run[order].astype(np.int32)), pa.array(paths.view(np.int64)), pa.array(deep)], ["run", "path", "deep"])
             take = pa.array(rows + i)
-            parts.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(cid.view(np.int64)), pa.array(size[rows].astype(np.int32)), _lists(pa.array(sketch.view(np.int32)), few), _lists(pairs, per_row)], ["doc_id", "_c", "cid", "n", "sketch", "chosen"]))
+            parts.append(pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(cid.view(np.int64)), pa.array(size[rows].astype(np.int32)), _lists(pa.array(sketch.view(np.int32)), few), _lists(pa.array(paths.view(np.int64)), per_row)], ["doc_id", "_c", "cid", "n", "sketch", "chosen"]))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c"))
-    return map_batches(rows, work, "doc_id long, _c long, cid long, n int, sketch array<int>, chosen array<struct<run: int, path: long, deep: boolean>>")
+    return map_batches(rows, work, "doc_id long, _c long, cid long, n int, sketch array<int>, chosen array<long>")
 
 
-def _overlap(a: str, b: str) -> tuple:
-    """Whether two sketches let their sets be similar, and whether they are very like each other."""
+def _overlap(a: str, b: str) -> Column:
+    """Whether two sketches let their sets be similar."""
     common = F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch"))
-    of = F.least(F.lit(SKETCH), F.greatest(f"{a}.n", f"{b}.n"))
-    return common >= LOOSE * of, common >= STRONG * of
+    return common >= LOOSE * F.least(F.lit(SKETCH), F.greatest(f"{a}.n", f"{b}.n"))
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -171,71 +167,113 @@ class _Members:
     """The members of buckets, with what edges between them have been found."""
 
     def __init__(self, table: pa.Table) -> None:
-        lists, chosen = table.column("sketch").combine_chunks(), table.column("chosen").combine_chunks()
+        lists = table.column("sketch").combine_chunks()
         self.at, self.flat = np.asarray(lists.offsets), np.asarray(lists.values)
         self.cid, self.size = np.asarray(table.column("cid")), np.asarray(table.column("n"))
-        self.chosen_at = np.asarray(chosen.offsets)
-        self.run, self.path, self.deep = (chosen.values.field(k).to_numpy(zero_copy_only=False) for k in ("run", "path", "deep"))
         self.found: list[np.ndarray] = []
 
     def sketches(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = self.at[rows + 1] - self.at[rows]
         return gather(self.flat, self.at[rows], many)[0], np.repeat(np.arange(len(rows)), many)
 
+    def star(self, rows: np.ndarray, root: np.ndarray) -> None:
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        self.found.append(np.stack([self.cid[rows][moved], self.cid[rows][root[moved]]]))
+
     def compare(self, rows: np.ndarray) -> None:
         """Stars of edges between rows whose sketches let pass."""
         common = _common_counts(*self.sketches(rows), len(rows))
         of = np.minimum(SKETCH, np.maximum(self.size[rows][:, None], self.size[rows][None, :]))
         pairs = np.argwhere(np.triu(common >= LOOSE * of, 1))
         if len(pairs):
-            root = _roots(len(rows), pairs)
-            moved = np.flatnonzero(root != np.arange(len(rows)))
-            self.found.append(np.stack([self.cid[rows][moved], self.cid[rows][root[moved]]]))
-
-    def unlike_first(self, rows: np.ndarray) -> np.ndarray:
-        """Edges from the first of rows to those that may be similar to it; returns the others that are not very like it."""
-        first, others = rows[0], rows[1:]
-        flat, owner = self.sketches(others)
-        common = np.bincount(owner, np.isin(flat, self.flat[self.at[first] : self.at[first + 1]]), len(others))
-        of = np.minimum(SKETCH, np.maximum(self.size[first], self.size[others]))
-        like = self.cid[others[common >= LOOSE * of]]
-        self.found.append(np.stack([like, np.full_like(like, self.cid[first])]))
-        return others[common < STRONG * of]
-
-    def split(self, rows: np.ndarray, run: int) -> None:
-        """Split a bucket of the given run by what its members choose in the runs that follow."""
-        todo = [(rows, run, 1)]
-        while todo:
-            rows, run, depth = todo.pop()
-            if len(rows) <= BUCKET:
-                if len(rows) > 1:
-                    self.compare(rows)
-                continue
-            if depth == RUNS:
-                parts = [rows[k : k + BUCKET] for k in range(0, len(rows), BUCKET)]
-                for i, part in enumerate(parts):
-                    self.compare(part)
-                    for other in parts[:i]:
-                        self.compare(np.concatenate([other, part]))
-                continue
-            run = (run + 1) % RUNS
-            many = self.chosen_at[rows + 1] - self.chosen_at[rows]
-            at, _ = gather(np.arange(len(self.path)), self.chosen_at[rows], many)
-            use = (self.run[at] == run) & self.deep[at]
-            member, path = np.repeat(rows, many)[use], self.path[at[use]]
-            order = np.lexsort((self.cid[member], path))
-            member, path = member[order], path[order]
-            for bucket in np.split(member, np.flatnonzero(path[1:] != path[:-1]) + 1):
-                if len(bucket) > 1:
-                    todo.append((self.unlike_first(bucket), run, depth + 1))
+            self.star(rows, _roots(len(rows), pairs))
+
+    def compare_blocks(self, rows: np.ndarray) -> None:
+        parts = [rows[k : k + BUCKET] for k in range(0, len(rows), BUCKET)]
+        for i, part in enumerate(parts):
+            self.compare(part)
+            for other in parts[:i]:
+                self.compare(np.concatenate([other, part]))
+
+    def compare_many(self, rows: np.ndarray, like: np.ndarray) -> None:
+        """As compare, for more rows; those of ``like`` are known to be connected."""
+        n, size = len(rows), self.size[rows]
+        flat, owner = self.sketches(rows)
+        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        many = np.bincount(owner, minlength=n)
+        start = np.cumsum(many) - many
+        root = np.arange(n)
+        root[like] = np.flatnonzero(like)[0] if like.any() else 0
+        known = root.copy()
+        # a few central members, each with all that are like it
+        central = np.argsort(-np.bincount(owner, count[code], n), kind="stable")
+        alone, seen = ~like, np.zeros(len(count), bool)
+        for _ in range(PIVOTS):
+            rest = central[alone[central]]
+            if not len(rest):
+                break
+            pivot = rest[0]
+            own = code[start[pivot] : start[pivot] + many[pivot]]
+            seen[own] = True
+            common = np.bincount(owner, seen[code], n)
+            seen[own] = False
+            near = np.flatnonzero(common >= LOOSE * np.minimum(SKETCH, np.maximum(size, size[pivot])))
+            root = _roots(n, np.stack([root[near], np.full(len(near), root[pivot])], 1))[root]
+            alone[near] = alone[pivot] = False
+        # the rarest values of each row: what has LOOSE in common has one of them in common
+        order = np.lexsort((code, count[code], owner))
+        ranked = code[order]
+        rare = (np.arange(len(owner)) - start[owner] <= (many - np.ceil(LOOSE * many))[owner]) & (count[ranked] > 1)
+        value, holder = ranked[rare], owner[rare]
+        order = np.lexsort((holder, root[holder], value))
+        value, holder = value[order], holder[order]
+        # entries lie by value and component: an entry meets what follows its component under the same value
+        group = root[holder]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+        begin = np.searchsorted(np.flatnonzero(new), np.arange(len(value)), "right")
+        low = np.append(np.flatnonzero(new), len(value))[begin]
+        meets = np.searchsorted(value, value, "right") - low
+        by_row = np.argsort(holder, kind="stable")
+        asks, low, meets = holder[by_row], low[by_row], meets[by_row]
+        columns = int((count > 1).sum())
+        if meets.sum() * 3e-7 > 1 + n * n * columns * 8e-11:
+            self.compare_blocks(rows)
+        else:
+            table = np.broadcast_to(-1 - np.arange(SKETCH, dtype=np.int32), (n, SKETCH)).copy()
+            table[owner, np.arange(len(owner)) - start[owner]] = code
+            upto = np.cumsum(meets)
+            i = 0
+            while i < len(asks):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] - meets[i] + AT_ONCE, "right")))
+                other, _ = gather(holder, low[i:j], meets[i:j])
+                mine = np.repeat(asks[i:j], meets[i:j])
+                apart = root[mine] != root[other]
+                pairs = np.unique(np.minimum(mine, other)[apart] * n + np.maximum(mine, other)[apart])
+                for k in range(0, len(pairs), 50_000):
+                    a, b = np.divmod(pairs[k : k + 50_000], n)
+                    apart = root[a] != root[b]
+                    a, b = a[apart], b[apart]
+                    both = table[b]
+                    both = np.concatenate([table[a], np.where(both < 0, both - SKETCH, both)], axis=1)
+                    both.sort(axis=1)
+                    common = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+                    passed = common >= LOOSE * np.minimum(SKETCH, np.maximum(size[a], size[b]))
+                    if passed.any():
+                        root = _roots(n, np.stack([root[a[passed]], root[b[passed]]], 1))[root]
+                i = j
+        # a link from each component known before is enough
+        ends = np.flatnonzero((root != np.arange(n)) & (known == np.arange(n)))
+        self.found.append(np.stack([self.cid[rows][ends], self.cid[rows][root[ends]]]))
 
 
 def _bucket_edges(table: pa.Table) -> pa.RecordBatch | None:
-    """Edges between the members of each bucket (or pair of blocks) that sketches let pass."""
-    members, run, whole = _Members(table), np.asarray(table.column("run")), np.asarray(table.column("whole"))
+    """Edges between the members of each bucket (or pair of blocks) that sketches let pass, beside those of ``like`` members."""
+    members = _Members(table)
+    like = np.asarray(table.column("like")) if "like" in table.column_names else np.zeros(table.num_rows, bool)
     for a, b in _groups(table, ["path", "i", "j"]):
-        if whole[a]:
-            members.split(np.arange(a, b), int(run[a]))
+        if b - a > BUCKET:
+            members.compare_many(np.arange(a, b), like[a:b])
         elif b - a > 1:
             members.compare(np.arange(a, b))
     if not members.found:
@@ -251,35 +289,44 @@ def _in_blocks(rows: DataFrame, size: str, block: int, whole: Column) -> DataFra
     return own.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
+def _rarest(sketches: DataFrame) -> DataFrame:
+    """cid, value: the rarest values of each sketch, so many that two sketches with LOOSE in common share one."""
+    values = kept(sketches.select("cid", F.explode("sketch").alias("value")), "values")
+    counts = values.groupBy("value").agg(F.count("*").alias("c"))
+    many = F.size("all")
+    ranked = values.join(counts, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("all"))
+    first = F.slice("all", F.lit(1), (many - F.ceil(LOOSE * many) + 1).cast("int"))
+    return ranked.select("cid", F.explode(first).alias("e")).filter("e.c > 1").select("cid", F.col("e.value").alias("value"))
+
+
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """u, v between nodes(cid, n, sketch, chosen) that may be similar; what is similar is connected."""
     # merge hints: the same plan at every size, so that a small run tells what a large one moves
     sketches = nodes.select("cid", "n", "sketch").hint("merge")
-    members = nodes.select("cid", F.explode("chosen").alias("c")).select(F.col("c.path").alias("path"), "cid", F.col("c.run").alias("run"))
-    edges = None
-    for depth in range(RUNS):
-        buckets = members.groupBy("path").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1").drop("size")
-        inside = kept(members.join(buckets, "path").filter("cid <> first"), "members")
-        like, very = _overlap("a", "b")
-        pairs = inside.select("cid", "first").distinct()
-        judged = pairs.join(sketches.alias("a"), "cid").join(sketches.withColumnRenamed("cid", "first").alias("b"), "first").select("cid", "first", like.alias("like"), very.alias("very"))
-        judged = kept(judged.filter("like"), "judged")
-        left = inside.join(judged.filter("very").select("cid", "first"), ["cid", "first"], "left_anti")
-        sizes = left.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-        rest = kept(left.join(sizes, "path").select("path", "cid", "run", "size"), "rest")
-        more = rest.filter(F.col("size") > IN_TASK)
-        last = depth == RUNS - 1 or not more.take(1)
-        small = (rest if last else rest.filter(F.col("size") <= IN_TASK)).withColumn("whole", F.col("size").between(BUCKET + 1, IN_TASK))
-        choices = F.when(F.col("whole"), F.col("chosen")).otherwise(F.array().cast(nodes.schema["chosen"].dataType)).alias("chosen")
-        tiles = _in_blocks(small, "size", BUCKET, F.col("whole")).join(nodes.select("cid", "n", "sketch", "chosen").hint("merge"), "cid").select("path", "i", "j", "cid", "n", "sketch", "run", "whole", choices)
-        found = judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found"))
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
-        # split what is left of large buckets by the tokens that their members choose in the next run
-        following = F.filter("chosen", lambda c: (c["run"] == (F.col("run") + 1) % RUNS) & c["deep"])
-        members = more.join(nodes.select("cid", "chosen").hint("merge"), "cid").select("path", "cid", F.explode(following).alias("c")).select(F.xxhash64("path", "c.path").alias("path"), "cid", F.col("c.run").alias("run"))
-    return edges
+    members = nodes.select("cid", F.explode("chosen").alias("path"))
+    buckets = members.groupBy("path").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1").drop("size")
+    inside = kept(members.join(buckets, "path").filter("cid <> first"), "members")
+    pairs = inside.select("cid", "first").distinct()
+    judged = pairs.join(sketches.alias("a"), "cid").join(sketches.withColumnRenamed("cid", "first").alias("b"), "first").filter(_overlap("a", "b")).select("cid", "first")
+    judged = kept(judged, "judged")
+    marked = kept(inside.join(judged.withColumn("like", F.lit(True)), ["cid", "first"], "left").select("path", "cid", F.coalesce("like", F.lit(False)).alias("like")), "marked")
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        """The sizes of groups that have a pair not known to be connected."""
+        return rows.groupBy("path").agg(F.count("*").alias("size"), F.count_if(~F.col("like")).alias("unlike")).filter("size > 1 and unlike > 0").drop("unlike")
+
+    size = kept(sizes(marked), "sizes")
+    tiles = marked.join(size.filter(F.col("size") <= IN_TASK), "path")
+    large = size.filter(F.col("size") > IN_TASK)
+    if large.take(1):
+        more = kept(marked.join(large.select("path"), "path"), "more")
+        dealt = more.join(_rarest(more.select("cid").distinct().join(sketches, "cid")), "cid")
+        dealt = kept(dealt.select(F.xxhash64("path", "value").alias("path"), "cid", "like"), "dealt")
+        tiles = tiles.unionByName(dealt.join(sizes(dealt), "path"))
+    # what is not whole goes in pairs of blocks that fit a task
+    tiles = _in_blocks(tiles, "size", max(IN_TASK // 2, 1), F.col("size") <= IN_TASK).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch", "like")
+    found = kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found")
+    return judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(found)
 
 
 def _exact_links(table: pa.Table) -> pa.RecordBatch | None:

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import jaccard_join, suffix_dedup
 
@@ -110,6 +111,49 @@ def test_buckets_split_in_a_task_connect_what_is_similar(spark, monkeypatch):
     assert root.tolist() == [10 * (k // 10) for k in range(n)]
 
 
+def near_pairs(spark):
+    """150 pairs of similarity of about 0.8, unlike all others, in nodes of one common path."""
+    r = np.random.default_rng(12)
+    texts = []
+    for _ in range(150):
+        words = [f"w{k}" for k in r.integers(0, 100_000, 100)]
+        texts += [" ".join(words), " ".join(f"x{k}" if k in (30, 70) else w for k, w in enumerate(words))]
+    return jaccard_join.described(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_a_large_bucket_loses_no_pair(spark, monkeypatch):
+    rows = near_pairs(spark).orderBy("cid").toArrow()
+    n, of = rows.num_rows, rows["doc_id"].to_pylist()
+    for name, column in {"path": np.zeros(n, np.int64), "i": np.zeros(n, np.int64), "j": np.zeros(n, np.int64), "run": np.zeros(n, np.int32), "whole": np.ones(n, bool)}.items():
+        rows = rows.append_column(name, pa.array(column))
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    edges = jaccard_join._bucket_edges(rows.combine_chunks())
+    of = dict(zip(rows["cid"].to_pylist(), of, strict=True))
+    assert sorted(sorted((of[e["u"]], of[e["v"]])) for e in edges.to_pylist()) == [[k, k + 1] for k in range(0, n, 2)]
+
+
+def test_a_bucket_larger_than_a_task_loses_no_pair(spark, monkeypatch):
+    nodes = near_pairs(spark).withColumn("chosen", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    of = {r.cid: r.doc_id for r in nodes.collect()}
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "IN_TASK", 40)
+    edges = jaccard_join.candidate_edges(nodes).distinct().collect()
+    assert sorted(sorted((of[e.u], of[e.v])) for e in edges) == [[k, k + 1] for k in range(0, len(of), 2)]
+
+
+def test_sparse_and_dense_comparison_of_many_agree():
+    r = np.random.default_rng(13)
+    passages = r.integers(0, 1 << 30, (40, 16))
+    sketches = [np.unique(np.concatenate([passages[r.integers(0, 40, 3)].ravel(), r.integers(0, 1 << 30, r.integers(2, 17))])) for _ in range(900)]
+    table = pa.table({"cid": pa.array(range(900)), "n": pa.array([len(x) for x in sketches], pa.int32()), "sketch": pa.array([x.tolist() for x in sketches], pa.list_(pa.int32()))})
+    roots = []
+    for work in (lambda m: m.compare_many(np.arange(900), np.zeros(900, bool)), lambda m: m.compare_blocks(np.arange(900))):
+        members = jaccard_join._Members(table)
+        work(members)
+        roots.append(jaccard_join._roots(900, np.concatenate(members.found, axis=1).T).tolist())
+    assert roots[0] == roots[1] and 1 < len(set(roots[0])) < 900
+
+
 def test_one_of_each_class(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
