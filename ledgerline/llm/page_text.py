@@ -3,8 +3,9 @@
 A page becomes lines: the text of its blocks, with character references decoded
 and white space collapsed. Scripts, styles, templates, forms and comments of the
 markup give none. Lines inside the article (an article or main element, where a
-page has one) are its main text, except blocks that are marked as menu, notice,
-advert, comment and the like. All other lines are candidates only: within each
+page has one) are its main text, except blocks in it that are marked as menu, notice,
+advert, comment and the like. What is marked around an article doesn't silence it,
+unless the page has another article in fewer parts such as asides and comments. All other lines are candidates only: within each
 host the page of the nearest URL path is looked up, both pages' candidates are
 aligned by longest common subsequence, and lines that the two share are deleted;
 so is everything in the page's own marked parts. A page with an article keeps no
@@ -37,7 +38,12 @@ from pyspark.sql import functions as F
 from .tables import kept, map_batches
 
 #: Elements whose content is never text of the page.
-SILENT = {"script", "style", "noscript", "template", "form", "svg", "iframe", "head", "title", "select", "button", "textarea", "object", "canvas"}
+SILENT = {"script", "style", "noscript", "template", "form", "svg", "iframe", "title", "select", "button", "textarea", "object", "canvas"}
+#: Those whose content is no markup, so that an article in it is none.
+RAW = {"script", "style", "noscript", "template", "title", "iframe", "textarea"}
+#: Elements that end an open paragraph, and elements that end an open one of their own kind.
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 #: Elements around the main text, and elements that hold page furniture.
 MAIN, FURNITURE = {"article", "main"}, {"nav", "header", "footer", "aside", "menu", "dialog"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -48,25 +54,48 @@ MARKED = re.compile(
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_STATE = re.compile(r"(?:no|not|with|without|has|have)[-_]", re.IGNORECASE)
+_ONE_WORD = re.compile(r"[a-z]+", re.IGNORECASE)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 ARTICLE, CANDIDATE = 1, 0
 
 
+def _mark(attributes: str) -> str:
+    """What class, id and role say of an element: nothing, marked, or strong (a word alone, not a part of a longer name)."""
+    if "=" not in attributes:
+        return ""
+    names = [t for m in _MARK.findall(attributes) for x in m for t in x.split() if not _STATE.match(t) and MARKED.search(t)]
+    return "strong" if any(_ONE_WORD.fullmatch(t) for t in names) else "marked" if names else ""
+
+
 def lines(page: str) -> list[tuple[str, int]]:
     """The page's lines with their kind: in the article, or a candidate. Marked parts give none."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []  # and in how many strong marks the article is
     words: list[str] = []
-    open_: list[tuple[str, str]] = []  # element, and what it is: main, marked or nothing
-    main = marked = 0
+    open_: list[tuple[str, str]] = []  # element, and what it is: main, inner (a mark in the article), marked, strong or nothing
+    held = {"main": 0, "inner": 0, "marked": 0, "strong": 0, "": 0}
     at, n = 0, len(page)
 
     def close() -> None:
         if words:
             text = _SPACE.sub(" ", references.unescape("".join(words))).strip()
-            if text and not marked:
-                out.append((text, ARTICLE if main else CANDIDATE))
+            if text and not held["inner"] and (held["main"] or not (held["marked"] or held["strong"])):
+                out.append((text, ARTICLE if held["main"] else CANDIDATE, held["strong"]))
             words.clear()
 
+    def begin(name: str, what: str) -> None:
+        if held["main"] and what in ("marked", "strong"):
+            what = "inner"
+        open_.append((name, what))
+        held[what] += 1
+
+    def end_from(k: int) -> None:
+        for _, what in open_[k:]:
+            held[what] -= 1
+        del open_[k:]
+
     while at < n:
         tag = _TAG.search(page, at)
         if tag is None:
@@ -78,48 +107,59 @@ def lines(page: str) -> list[tuple[str, int]]:
         name = (tag.group(2) or "").lower()
         if not name:
             continue
-        ending = bool(tag.group(1))
+        ending, attributes = bool(tag.group(1)), tag.group(3)
         if name in INLINE:
             if name == "br":
                 words.append(" ")
             if name in VOID or name == "a":
                 continue
-            if not ending and "=" in tag.group(3) and MARKED.search(" ".join(filter(None, (x for m in _MARK.findall(tag.group(3)) for x in m)))):
+            if not ending and (what := _mark(attributes)):
                 close()
-                open_.append((name, "marked"))
-                marked += 1
-            elif ending and open_ and open_[-1] == (name, "marked"):
+                begin(name, what)
+            elif ending and open_ and open_[-1][0] == name:
                 close()
-                open_.pop()
-                marked -= 1
+                end_from(len(open_) - 1)
             continue
         close()
+        empty = attributes.endswith("/") and not _UNQUOTED.search(attributes)
+        if not ending:
+            # elements without an end tag end here; inline elements in them too
+            ends = ENDS.get(name, set()) | ({"p"} if name in ENDS_P else set())
+            while ends:
+                k = len(open_) - 1
+                while k >= 0 and open_[k][0] in INLINE:
+                    k -= 1
+                if k < 0 or open_[k][0] not in ends:
+                    break
+                end_from(k)
         if name in SILENT and not ending:
+            if empty:
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+            if end and (name in RAW or not _ARTICLE.search(page, at, end.start())):
+                at = end.end()
+            elif end and name == "form":  # around the article
+                begin(name, "strong")
+            else:  # it has no end tag of its own: up to the next tag
+                following = _TAG.search(page, at)
+                at = following.start() if following else n
             continue
         if name in VOID:
             continue
         if not ending:
-            what = "main" if name in MAIN else ""
-            if name in FURNITURE and not (name == "header" and main):
-                what = "marked"
-            elif "=" in tag.group(3) and what != "main" and MARKED.search(" ".join(filter(None, (x for m in _MARK.findall(tag.group(3)) for x in m)))):
-                what = "marked"
-            if not tag.group(3).endswith("/"):
-                if name == "p" and open_ and open_[-1][0] == "p":
-                    open_.pop()
-                open_.append((name, what))
-                main, marked = main + (what == "main"), marked + (what == "marked")
+            what = "main" if name in MAIN else "" if name in ("html", "body") else _mark(attributes)
+            if name in FURNITURE and not (name == "header" and held["main"]):
+                what = "strong"
+            if not empty:
+                begin(name, what)
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    for _, what in open_[k:]:
-                        main, marked = main - (what == "main"), marked - (what == "marked")
-                    del open_[k:]
+                    end_from(k)
                     break
     close()
-    return out
+    fewest = min((marks for _, kind, marks in out if kind == ARTICLE), default=0)
+    return [(text, kind) for text, kind, marks in out if kind == CANDIDATE or marks == fewest]
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:

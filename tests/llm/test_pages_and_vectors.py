@@ -12,6 +12,29 @@ def test_blocks_and_furniture():
     assert page_text.article_of(page_text.lines(page)) == "A <b>\nx yz w\nv"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><p>One<p class="notice">no<p>Two<div>Three</div></article>',
+        '<article><p>One<p><span class="ad">no<p>Two<ul><li class="share">no<li>Three</ul></article>',
+        "<html><head><title>no</title><meta charset=x><body><article><p>One<p>Two<p>Three</article>",
+        '<article><p>One</p><svg/><p>Two</p><svg class="x" /><p>Three</p></article>',
+        "<body><form action=/search/>no</form><svg><path><article><p>One<p>Two<p>Three</article><svg></svg>",
+        '<body class="no-sidebar"><article><p>One<p>Two<p>Three</article><aside>no</aside></body>',
+        '<div class="page with-sidebar"><div class="content-sidebar-wrap"><main><p>One<p>Two<div class="related">no</div><p>Three</main></div></div>',
+        '<div class="related"><article><p>One<p>Two<p>Three</article></div>',
+        '<form id="aspnet"><main><p>One<p>Two<p>Three</main></form>',
+        '<article><p>One<p>Two<p>Three</article><section id="comments"><article>no</article></section><aside><article>no</article></aside>',
+    ],
+)
+def test_ordinary_markup_drops_no_article(page):
+    assert page_text.article_of(page_text.lines(page)) == "One\nTwo\nThree"
+
+
+def test_marks_of_the_page_silence_no_page():
+    assert page_text.candidates_of(page_text.lines('<body class="widget no-sidebar"><div class="with-sidebar">Text<div class="sidebar">no</div></div></body>')) == ["Text"]
+
+
 def test_lcs_matches_brute_force():
     r = np.random.default_rng(1)
     for _ in range(60):
