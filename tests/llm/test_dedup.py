@@ -141,6 +141,15 @@ def test_a_bucket_larger_than_a_task_loses_no_pair(spark, monkeypatch):
     assert sorted(sorted((of[e.u], of[e.v])) for e in edges) == [[k, k + 1] for k in range(0, len(of), 2)]
 
 
+@pytest.mark.parametrize("bucket", [512, 2])
+def test_what_is_like_a_member_like_the_first_is_connected(spark, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+    # 2 has 48 of 64 hashes in common with the first, 3 has 47 with 2 but only 31 with the first
+    rows = [(k, 100, list(range(low, low + 64)), [1]) for k, low in ((1, 0), (2, 16), (3, 33), (4, 500))]
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "cid long, n int, sketch array<int>, chosen array<long>")).collect()
+    assert {(min(e.u, e.v), max(e.u, e.v)) for e in edges} == {(1, 2), (2, 3)}
+
+
 def test_sparse_and_dense_comparison_of_many_agree():
     r = np.random.default_rng(13)
     passages = r.integers(0, 1 << 30, (40, 16))
