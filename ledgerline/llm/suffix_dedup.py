@@ -7,24 +7,29 @@ the input.
 A full suffix array of a corpus is not needed for this. Each window of ``length``
 bytes has a content-defined place: the smallest hash of its ``length / 4``-byte
 grams. Equal windows have it at equal offsets, so it is enough to sort suffixes
-at these places (about one in 150 bytes), and only where the gram itself repeats.
-
-1. Places, with a hash of the gram and of the whole context that any window on
-   the place can see, are counted natively. A context that repeats is repeated
-   throughout. This takes care of the inside of copies, however many there are.
-2. The distinct contexts of a gram that has several (the edges of repeated
-   passages) are sorted: the bytes to the right of the place as suffixes, those
-   to the left as reversed prefixes. Deep-shallow sorting: multikey quicksort over
-   the first bytes, then blind tries for groups with long common prefixes. A window
-   repeats if another context falls into its class in both orders, as the common
-   prefixes of neighbours tell; no hashes are involved here.
-3. A gram with more than ``HOT`` distinct contexts is not gathered: its windows
-   are counted by hash, with partial aggregation.
-4. The repeated intervals of a document are merged and cut out.
-
-Null texts are empty; nothing is removed from texts shorter than ``length``.
-Documents are told apart by doc_id and content; repeated rows are copies of each
-other. A null doc_id is an id of its own.
+at these places (about one in 150 bytes at 400), and only where the gram itself repeats.
+
+1. Places with a gram that no other place has are dropped (hashes, counted natively).
+2. Places whose whole context is alike (all bytes that any window on the place can
+   see) form a class. Of each class two places are cut out, or its only one.
+3. The contexts of a gram are sorted: the bytes to the right of the place as
+   suffixes, those to the left as reversed prefixes. Deep-shallow sorting: multikey
+   quicksort over the first bytes, then blind tries for groups with long common
+   prefixes. A window repeats if another context falls into its class in both
+   orders, as the common prefixes of neighbours tell. This alone decides what is
+   removed; hashes only choose what is compared, and carry the verdict to the other
+   members of a class.
+4. A gram of more than ``together`` contexts does not fit a task. Its windows are
+   halved by their offset, and each half is grouped by all the bytes that its windows
+   have in common: by the next bytes beside the gram. Halves that are still too
+   large are halved again; windows of one offset are equal, so this ends. The same
+   sort then goes on in the parts.
+5. The repeated intervals of a document are merged and cut out.
+
+Null texts are empty; nothing is removed from texts shorter than ``length``. Equal
+texts, repeated rows among them, are copies of each other whatever their doc_id.
+A task holds some thousand contexts of under ``2 * length`` bytes, or the places of
+one text.
 """
 
 from __future__ import annotations
@@ -37,17 +42,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import U64, blocks, from_arrow, mix, prefix_hash, powers, span_hash
-from .tables import folded, kept, map_batches, unfolded
+from .ragged import U64, blocks, from_arrow, gather, mix, powers, prefix_hash, span_hash
+from .tables import dropped, folded, kept, map_batches, unfolded
 
 LENGTH = 400
-#: Distinct contexts of a gram that are sorted together at most.
-HOT = 50_000
+#: Contexts of a group that are sorted together at most.
+TOGETHER = 4_096
 SHALLOW_BYTES = 32
 BLOCK_BYTES = 1_000_000
 SORT_ROWS = 20_000
-#: Contexts whose windows are hashed at a time.
-EXPAND_ROWS = 1_000
+#: Contexts that are halved at a time.
+HALVED_ROWS = 2_000
 
 
 def _sliding(values: np.ndarray, width: int, of: np.ufunc, fill) -> np.ndarray:
@@ -196,27 +201,29 @@ def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
 
 
-def repeated_reach(left: np.ndarray, left_length: np.ndarray, right: np.ndarray, right_length: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the smallest and largest offset of its place in a window that another context shares, or -1.
+def repeated_reach(left: np.ndarray, left_length: np.ndarray, right: np.ndarray, right_length: np.ndarray, length: int, group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the smallest and largest offset of its place in a window that another context of its group shares, or -1.
 
-    left holds the bytes before the places, nearest first, right those from the places on; both padded with zeros.
+    left holds the bytes before the places, nearest first, right those from the places
+    on; both padded with zeros. Offsets from low to high are looked at.
     """
     n = len(left)
     orders = [deep_shallow(left), deep_shallow(right)]
     commons = [_common(left, orders[0]), _common(right, orders[1])]
     least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    low, high = np.maximum(low, length - right_length), np.minimum(high, left_length)
 
     def classes(side: int, depth: int) -> np.ndarray:
         out = np.zeros(n, np.int64)
         out[orders[side][1:]] = np.cumsum(commons[side] < depth)
         return out
 
-    for d in range(left.shape[1] + 1):
-        valid = np.flatnonzero((left_length >= d) & (right_length >= length - d))
+    for d in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        valid = np.flatnonzero((low <= d) & (d <= high))
         if len(valid) < 2:
             continue
-        both = classes(1, length - d)[valid] * n + classes(0, d)[valid]
-        at = np.argsort(both, kind="stable")
+        both = (group[valid] * n + classes(1, length - d)[valid]) * n + classes(0, d)[valid]
+        at = np.argsort(both)
         same = both[at][1:] == both[at][:-1]
         hit = valid[at[np.append(same, False) | np.append(False, same)]]
         most[hit] = d
@@ -234,118 +241,133 @@ def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray,
     return out, size
 
 
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_c")]
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("_k")
 
 
-def repeated_intervals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """_d, _c (a document's key), start, end: intervals that cover just the bytes to be removed; they overlap."""
-    keyed = docs.select(*_key(F.col("doc_id"), F.col("text")), "text")
+def repeated_intervals(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+    """_k (a text's key), start, end: intervals that cover just the bytes to be removed; they overlap."""
+    keyed = docs.select(_key(F.col("text")), "text").filter(F.octet_length("text") >= length)
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = list(anchors(*from_arrow(batch.column(2)), length))
+        parts = list(anchors(*from_arrow(batch.column(1)), length))
         if not parts:
             return None
-        row, at, gram, context, left, right = (np.concatenate([p[c] for p in parts]) for c in range(6))
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))],
-            ["gram", "context", "_d", "_c", "at", "l", "r"],
-        )
+        row, at, gram, context = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32))], ["gram", "context", "_k", "at"])
 
-    found = kept(map_batches(keyed, find, "gram long, context long, _d long, _c long, at long, l int, r int"), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
+    found = kept(map_batches(keyed, find, "gram long, context long, _k long, at int"), "anchors")
     # written first: a join with a finished table can split a gram that very many places share
-    grams = kept(grams.select("gram", (F.col("low") != F.col("high")).alias("several")), "grams")
-    shared = kept(found.join(grams, "gram"), "shared")
-    contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_c", "at")).alias("first"), F.first("several").alias("several"))
-    contexts = kept(contexts.filter("several or n > 1"), "contexts")
-    inside = shared.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).filter(F.col("l") + F.col("r") >= length)
-    whole = inside.select("_d", "_c", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
-
-    edges = contexts.filter("several")
-    crowded = edges.groupBy("gram").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > hot).select("gram")
-    any_hot = bool(crowded.take(1))
-    edges = edges.join(crowded.withColumn("hot", F.lit(True)), "gram", "left") if any_hot else edges.withColumn("hot", F.lit(False))
-    wanted = edges.select("gram", "first.*", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_doc = wanted.groupBy("_d", "_c").agg(F.collect_list(F.struct("gram", "at", "alone", "hot")).alias("wanted"))
-    with_text = keyed.join(by_doc, ["_d", "_c"]).select("_d", "_c", "text", "wanted")
+    grams = kept(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    shared = kept(found.join(grams, "gram", "left_semi"), "shared")
+    dropped(found)
+    ends = [f(c).alias(a) for f, c, a in ((F.min, "_k", "k1"), (F.max, "_k", "k2"))] + [F.min_by("at", "_k").alias("a1"), F.max_by("at", "_k").alias("a2")]
+    classes = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), *ends)
+    two = F.array(F.struct(F.col("k1").alias("_k"), F.col("a1").alias("at")), F.struct(F.col("k2").alias("_k"), F.col("a2").alias("at")))
+    wanted = classes.select("gram", "context", F.explode(F.slice(two, F.lit(1), F.least("n", F.lit(2)).cast("int"))).alias("p")).select("gram", "context", "p.*")
+    # as many wanted places as a text has bytes at most, about one in 100
+    by_text = wanted.groupBy("_k").agg(F.collect_list(F.struct("gram", "context", "at")).alias("wanted"))
+    with_text = keyed.groupBy("_k").agg(F.first("text").alias("text")).join(by_text, "_k").select("text", "wanted")
     reach = length - length // 4
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = from_arrow(batch.column(2))
-        lists = batch.column(3)
+        data, offsets = from_arrow(batch.column(0))
+        lists = batch.column(1)
         row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
         inner = lists.flatten()
         at = np.asarray(inner.field("at")) + offsets[row]
         low, high = np.maximum(at - reach, offsets[row]), np.minimum(at + length, offsets[row + 1])
-        raw = data.tobytes()
-        take = pa.array(row)
+        n = len(at)
         return pa.RecordBatch.from_arrays(
-            [inner.field("gram"), batch.column(0).take(take), batch.column(1).take(take), inner.field("at"), inner.field("alone"), inner.field("hot"), pa.array([raw[a:b] for a, b in zip(low.tolist(), at.tolist(), strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(at.tolist(), high.tolist(), strict=True)], pa.binary())],
-            ["gram", "_d", "_c", "at", "alone", "hot", "l", "r"],
+            [inner.field("gram"), inner.field("context"), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, reach, np.int32)), _binary(data, low, at), _binary(data, at, high)],
+            _CONTEXT,
         )
 
-    columns = "gram long, _d long, _c long, at long, alone boolean, hot boolean, l binary, r binary"
-    cuts = map_batches(with_text, cut, columns)
+    cuts = kept(map_batches(with_text, cut, _COLUMNS), "cuts")
+    reaches = _sorted_out(cuts, length, together)
+    return shared.join(reaches, (F.col("gram") == F.col("key")) & (F.col("context") == F.col("u"))).select("_k", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + length).cast("long").alias("end"))
+
+
+#: Contexts: their group, their class in it, the offsets to look at, the bytes before the place and from it on.
+_CONTEXT = ["key", "u", "low", "high", "l", "r"]
+_COLUMNS = "key long, u long, low int, high int, l binary, r binary"
+
+
+def _binary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    flat, at = gather(data, start, end - start)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _sorted_out(rows: DataFrame, length: int, together: int) -> DataFrame:
+    """key, u, least, most: the offsets at which classes of contexts repeat; one class can have several rows."""
+    # windows of one offset are equal: two of them, which nothing can halve
+    sizes = rows.filter("low < high").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > together)
+    crowded = kept(sizes.select("key"), "crowded")
+    if not crowded.take(1):
+        return _sorted_in_tasks(rows, length)
+    fits, large = rows.join(crowded, "key", "left_anti"), rows.join(crowded, "key", "left_semi")
+    parts = kept(large.mapInArrow(lambda batches: (_halves(b.slice(k, HALVED_ROWS), length) for b in batches for k in range(0, b.num_rows, HALVED_ROWS)), f"{_COLUMNS}, of_key long, of_u long"), "halves")
+    least, most = ([f(c, F.struct("of_key", "of_u")).alias(c) for c in ("l", "r")] for f in (F.min_by, F.max_by))
+    one, other = (parts.groupBy("key", "u", "low", "high").agg(*ends, F.count("*").alias("n")) for ends in (least, most))
+    children = kept(one.drop("n").unionByName(other.filter("n > 1").drop("n")).select(*_CONTEXT), "classes")
+    of = parts.select("key", "u", "of_key", "of_u").distinct()
+    found = _sorted_out(children, length, together).join(of, ["key", "u"]).select(F.col("of_key").alias("key"), F.col("of_u").alias("u"), "least", "most")
+    return kept(_sorted_in_tasks(fits, length).unionByName(found), "reaches")
+
+
+def _halves(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Each context twice: for the lower and the upper half of its offsets, grouped by what all windows of the half share."""
+    before, l_at = from_arrow(batch.column(4))
+    after, r_at = from_arrow(batch.column(5))
+    n, left, right = batch.num_rows, np.diff(l_at), np.diff(r_at)
+    # one array of whole contexts; place is where the gram begins
+    data = np.concatenate([np.concatenate([before[l_at[i] : l_at[i + 1]], after[r_at[i] : r_at[i + 1]]]) for i in range(n)]) if n else before
+    place = np.cumsum(left + right) - right
+    prefix = prefix_hash(data)
+    low, high, key, u = (np.asarray(batch.column(c)) for c in (2, 3, 0, 1))
+    middle = (low + high) // 2
+    out = []
+    for a, b in ((low, middle), (middle + 1, high)):
+        some = np.flatnonzero((a <= b) & (left >= a) & (right >= length - b) & (np.minimum(b, left) >= np.maximum(a, length - right)))
+        a, b, p = a[some].astype(np.int64), b[some].astype(np.int64), place[some]
+        start, end = p - np.minimum(b, left[some]), p + np.minimum(length - a, right[some])
+        group = mix(span_hash(prefix, p - a, p + length - b) + (a * 4096 + b).astype(U64) * U64(0x9E3779B97F4A7C15))
+        whole = mix(span_hash(prefix, start, end) + (p - start).astype(U64) * U64(0x9E3779B97F4A7C15) + (end - p).astype(U64))
+        out.append([pa.array(group.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), _binary(data, start, p), _binary(data, p, end), pa.array(key[some]), pa.array(u[some])])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], [*_CONTEXT, "of_key", "of_u"])
+
+
+def _sorted_in_tasks(rows: DataFrame, length: int) -> DataFrame:
+    """The same for groups that fit a task; those of about ``SORT_ROWS`` contexts are sorted at once."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, n = [], 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows < SORT_ROWS:
+            n += batch.num_rows
+            if n < SORT_ROWS:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            gram = np.asarray(table.column("gram"))
-            end = int(np.flatnonzero(np.append(gram[1:] != gram[:-1], False)).max(initial=-1)) + 1
+            key = np.asarray(table.column("key"))
+            end = int(np.flatnonzero(np.append(key[1:] != key[:-1], False)).max(initial=-1)) + 1
             if end:
                 yield work(table.slice(0, end))
                 table = table.slice(end)
-            held, rows = table.to_batches(), table.num_rows
-        if rows:
+            held, n = table.to_batches(), table.num_rows
+        if n:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        left, l_size = _matrix(table.column("l").combine_chunks(), reach, True)
+        key, u, low, high = (np.asarray(table.column(c)) for c in _CONTEXT[:4])
+        left, l_size = _matrix(table.column("l").combine_chunks(), length - length // 4, True)
         right, r_size = _matrix(table.column("r").combine_chunks(), length, False)
-        least, most = repeated_reach(left, l_size, right, r_size, length)
-        use = np.asarray(table.column("alone")) & (most >= 0)
-        at = np.asarray(table.column("at"))[use]
-        ids = [table.column(c).combine_chunks().filter(pa.array(use)) for c in ("_d", "_c")]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(at - most[use]), pa.array(at - least[use] + length)], ["_d", "_c", "start", "end"])
-
-    result = "_d long, _c long, start long, end long"
-    parted = kept(cuts, "cuts") if any_hot else cuts
-    grouped = parted.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, result)
-    out = whole.unionByName(grouped)
-    return out.unionByName(_hot_windows(parted.filter("hot"), length)) if any_hot else out
+        group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        least, most = repeated_reach(left, l_size, right, r_size, length, group, low, high)
+        use = np.flatnonzero(most >= 0)
+        use = use[np.unique(np.stack([group[use], u[use]]), axis=1, return_index=True)[1]]  # one of each class
+        return pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, u, least, most)], ["key", "u", "least", "most"])
 
-
-def _hot_windows(cuts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many contexts: their windows are counted by hash, none is gathered."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, EXPAND_ROWS):
-                yield windows(batch.slice(k, EXPAND_ROWS))
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = pa.array([a + b for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], pa.binary())
-        data, offsets = from_arrow(text)
-        before = np.diff(from_arrow(batch.column(6))[1])
-        n = np.maximum(np.diff(offsets) - length + 1, 0)
-        row = np.repeat(np.arange(len(n)), n)
-        start = offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        h = span_hash(prefix_hash(data), start, start + length)
-        take = pa.array(row)
-        d = before[row] - (start - offsets[row])
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 2, 3, 4)), pa.array(d), pa.array(h.view(np.int64))], ["gram", "_d", "_c", "at", "alone", "d", "h"])
-
-    rows = kept(cuts.mapInArrow(expand, "gram long, _d long, _c long, at long, alone boolean, d long, h long").filter("d >= 0"), "windows")
-    twice = rows.groupBy("gram", "d", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hit = rows.filter("alone").join(twice, ["gram", "d", "h"]).groupBy("_d", "_c", "at").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    return hit.select("_d", "_c", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("end"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "key long, u long, least long, most long")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,9 +381,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _with_runs(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
-    intervals = repeated_intervals(docs, length).groupBy("_d", "_c").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
-    keyed = docs.select(*columns, *_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(intervals, ["_d", "_c"], "left").select(*columns, "_runs")
+    # as many intervals as a text has places, about one in 100 bytes
+    intervals = repeated_intervals(docs, length).groupBy("_k").agg(F.collect_list(F.struct("start", "end")).alias("_runs"))
+    return docs.select(*columns, _key(F.col("text"))).join(intervals, "_k", "left").select(*columns, "_runs")
 
 
 def _runs(batch: pa.RecordBatch, at: int) -> list[tuple[np.ndarray, np.ndarray]]:

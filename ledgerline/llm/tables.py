@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,17 +16,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse, which executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "ledgerline-shared")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerline"
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the session's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, system = _place(spark, path)
+    system.deleteOnExit(at)
     return path
 
 
@@ -40,7 +43,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a kept table that nothing reads any more."""
+    at, system = _place(df.sparkSession, df.kept_at)
+    system.delete(at, True)
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:

@@ -82,8 +82,9 @@ class PairMerger:
             if not len(length):
                 break
             end = np.cumsum(length) - 1
-            changed = np.flatnonzero(hit)
-            changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
+            near = hit.copy()
+            near[:-1] |= hit[1:]
+            changed = np.flatnonzero(near)
             rank[changed] = _NEVER
             inner = changed[changed + 1 < len(symbols)]
             rank[inner], at[inner] = self._ranks(symbols[inner], symbols[inner + 1])

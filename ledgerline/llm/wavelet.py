@@ -8,7 +8,8 @@ queries from its own bytes and can be decoded whole. Shards are rows of Parquet
 files in a folder that all executors share; each has its documents' ids and lengths.
 
 Null texts count as empty: their only id is the end id. Rows with equal doc_id
-keep the order of their texts; a null doc_id comes first.
+come in the order of a hash of their texts, so that many of them spread over
+partitions; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -174,15 +175,18 @@ def write_shards(docs: DataFrame, path: str, end_id: int, to: str, style: str =
             data, offsets = from_arrow(batch.column(1))
             for i, j in blocks(offsets, 1 << 21):
                 ids, at = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                ids = np.insert(ids, at[1:], end_id)
-                held.append((batch.column(0).slice(i, j - i), ids, np.diff(at) + 1))
-                size += len(ids)
+                n = np.diff(at)
+                with_ends = np.full(len(ids) + len(n), end_id, np.uint32)
+                with_ends[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                held.append((batch.column(0).slice(i, j - i), with_ends, n + 1))
+                size += len(with_ends)
                 if size >= SHARD_TOKENS:
                     yield closed()
         if held:
             yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c"))
+    ordered = rows.repartitionByRange("doc_id", "_c").sortWithinPartitions("doc_id", "_c")
     shards = ordered.mapInArrow(encode, "part int, shard int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, matrix binary")
     shards.write.option("compression", "zstd").parquet(to)
 

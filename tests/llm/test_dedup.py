@@ -29,11 +29,17 @@ def test_removals_equal_brute_force(docs, length):
     assert got == want
 
 
-def test_crowded_grams_give_the_same_intervals(docs):
+@pytest.mark.parametrize("together", [2, 5])
+def test_crowded_grams_give_the_same_bytes(spark, docs, together):
+    r = np.random.default_rng(8)
+    passage = "".join(map(chr, r.integers(97, 123, 90)))
+    rows = [(100 + i, f"{'abc'[i % 3] * (i % 7)}{i if i % 2 else ''}{passage[: 64 + i % 26]}{i if i % 5 else 'tail'}") for i in range(40)]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+
     def cover(df):
-        return {k: [x.tolist() for x in suffix_dedup.merged(g["start"].to_numpy(), g["end"].to_numpy())] for k, g in df.toPandas().groupby(["_d", "_c"])}
+        return {k: [x.tolist() for x in suffix_dedup.merged(g["start"].to_numpy(), g["end"].to_numpy())] for k, g in df.toPandas().groupby("_k")}
 
-    assert cover(suffix_dedup.repeated_intervals(docs, 64, hot=1)) == cover(suffix_dedup.repeated_intervals(docs, 64))
+    assert cover(suffix_dedup.repeated_intervals(more, 64, together)) == cover(suffix_dedup.repeated_intervals(more, 64))
 
 
 def test_deep_shallow_order():
@@ -53,11 +59,27 @@ def test_long_rows_in_pieces(monkeypatch):
     assert [np.asarray(x).tolist() for x in pieces[1:4]] == [x.tolist() for x in whole[1:4]]
 
 
-def test_cut_texts_keep_columns_and_characters(docs):
-    out = suffix_dedup.without_repeats(docs, 64)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert out.filter("text is null").count() == docs.filter("text is null").count()
-    assert out.filter("n_chars <> length(text)").count() == 0
+@pytest.mark.parametrize("length", [200, 64])
+def test_cut_texts_are_those_of_brute_force(docs, length):
+    out = suffix_dedup.without_repeats(docs, length)
+    assert out.columns == docs.columns
+    rows = docs.collect()
+    raw = [(r.text or "").encode() for r in rows]
+    seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    want = Counter()
+    for r, t in zip(rows, raw, strict=True):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        chars, at = [], 0
+        for c in r.text or "":  # a character goes if all its bytes go
+            n = len(c.encode())
+            chars.append("" if gone[at : at + n].all() else c)
+            at += n
+        text = None if r.text is None else "".join(chars)
+        want[(r.doc_id, text, None if text is None else len(text), r.gram, r.score)] += 1
+    assert Counter((r.doc_id, r.text, r.n_chars, r.gram, r.score) for r in out.collect()) == want
 
 
 def sets(rows):
