@@ -10,7 +10,7 @@ kept. All but the last return the columns of documents.
    are dropped.
 3. ngram_jaccard_join: of documents that links of similarity 0.8 connect, the one
    with the smallest doc_id stays.
-4. suffix_array_dedup: strings of 400 bytes that occur more than once are cut out.
+4. suffix_array_dedup: strings of PASSAGE_BYTES that occur more than once are cut out.
 5. best_fit_packing: the pieces of at most 1024 tokens and their places.
 
 SQL can't express stages 2 and 5 (a fitted model, a tokenizer), so ORACLE_SQL is
@@ -26,6 +26,9 @@ from ledgerline.llm import jaccard_join, packing, quality_model, quality_rules,
 from ledgerline.llm.queries import BYTE_BPE
 from ledgerline.llm.tables import kept, read
 
+#: A passage of 50 words has more bytes than this in all languages of the corpus; it is about 50 tokens of a BPE.
+PASSAGE_BYTES = 200
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
@@ -40,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
