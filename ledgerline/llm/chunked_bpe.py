@@ -2,11 +2,18 @@
 
 A rolling hash over 16 bytes cuts texts into chunks, so passages that documents
 share give the same chunks wherever they lie. A worker encodes each distinct
-chunk once. Near a cut a chunk's own tokens can differ from the text's; so each
-join is encoded anew, over a window that grows on both sides until it reaches a
-place where the chunk's tokens and the text's must agree: a change from
-something else to white space, which no token ever spans. Chunks without such a
-place fall wholly into the window.
+chunk once and remembers ``REMEMBERED_BYTES`` of them; chunks are not sent
+between workers, for ids of all chunks would be several times the input.
+
+Near a cut a chunk's own tokens can differ from the text's; so each join is
+encoded anew, between two safe places: changes from something else to white
+space. The window reaches one safe place further than it must on either side,
+and the ids there have to be those of the chunks. If they are not, the window
+grows to the whole text, which is exact. (They always are: none of the splitter's
+alternatives has white space after another character, so a pre-token ends at each
+safe place whatever precedes it, and what begins there depends on nothing before
+it. The comparison finds it out if a file's splitter is another one.) Chunks
+without a safe place fall wholly into the window.
 
 Null texts count as empty. Texts that the splitter doesn't cover go to the
 tokenizers library as they are (see ``bpe``).
@@ -52,7 +59,7 @@ class ChunkEncoder:
         self.row: dict[int, int] = {}
         self.bytes_held = 0
         self.ids: list[np.ndarray] = []
-        self.facts: list[np.ndarray] = []  # start among ids, number, first and last safe place, ids before either
+        self.facts: list[np.ndarray] = []  # start among ids, number, first and last safe place, ids before either; the same four of the second and the last but one
         self.n_ids = 0
 
     def _learn(self, data: np.ndarray, kind: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
@@ -63,10 +70,11 @@ class ChunkEncoder:
         safe = safe[~np.isin(safe, offsets)]
         low, high = np.searchsorted(safe, offsets[:-1]), np.searchsorted(safe, offsets[1:])
         has = high > low
-        first, last = (np.where(has, safe[np.minimum(i, max(len(safe) - 1, 0))] if len(safe) else 0, offsets[:-1]) for i in (low, high - 1))
+        inner = (low, high - 1, np.minimum(low + 1, high - 1), np.maximum(high - 2, low))
+        ends = [np.where(has, safe[np.clip(i, 0, len(safe) - 1)] if len(safe) else 0, offsets[:-1]) for i in inner]
         base = at(offsets[:-1])
-        none = np.full(len(has), -1)
-        self.facts.append(np.stack([self.n_ids + base, at(offsets[1:]) - base, np.where(has, first - offsets[:-1], none), np.where(has, last - offsets[:-1], none), at(first) - base, at(last) - base]))
+        places, before = [np.where(has, e - offsets[:-1], -1) for e in ends], [at(e) - base for e in ends]
+        self.facts.append(np.stack([self.n_ids + base, at(offsets[1:]) - base, *places[:2], *before[:2], *places[2:], *before[2:]]))
         self.ids.append(ids)
         self.n_ids += len(ids)
 
@@ -101,7 +109,7 @@ class ChunkEncoder:
         if len(self.facts) > 1:
             self.facts, self.ids = [np.concatenate(self.facts, axis=1)], [np.concatenate(self.ids)]
         rows = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[inverse]
-        base, total, first, last, before_first, before_last = self.facts[0][:, rows]
+        base, total, first, last, before_first, before_last, second, penult, before_second, before_penult = self.facts[0][:, rows]
         is_first, is_last = np.isin(start, offsets), np.isin(start + length, offsets)
         low = np.where(is_first, start, start + first)
         high = np.where(is_last, start + length, start + last)
@@ -110,21 +118,40 @@ class ChunkEncoder:
         id_low = np.where(is_first, 0, np.where(first < 0, total, before_first))
         id_high = np.where(is_last, total, np.where(first < 0, 0, before_last))
         use = is_first | is_last | (first >= 0)
-        low, high, id_low, id_high, base, is_last = (x[use] for x in (low, high, id_low, id_high, base, is_last))
+        # what a window reaches beyond the safe places: bytes and ids of the chunks before and after it
+        reach = [np.where(is_last, 0, last - penult), np.where(is_last, 0, before_last - before_penult), second - first, before_second - before_first]
+        low, high, id_low, id_high, base, is_last, own_first, own_penult, *reach = (x[use] for x in (low, high, id_low, id_high, base, is_last, before_first, before_penult, *reach))
+        back, n_back, ahead, n_ahead = reach[0], reach[1], *(np.where(is_last, 0, np.append(x[1:], 0)) for x in reach[2:])
         gap_end = np.where(is_last, high, np.append(low[1:], n))
-        gaps, gap_offsets = gather(data, high, gap_end - high)
-        gap_kind, _ = gather(kind, high, gap_end - high)
+        begin, end = high - back, gap_end + ahead
+        gaps, gap_offsets = gather(data, begin, end - begin)
+        gap_kind, _ = gather(kind, begin, end - begin)
         gap_ids, gap_at = self._rows(gaps, gap_offsets, gap_kind)
+        apart = np.diff(gap_at) < n_back + n_ahead
+        if apart.any():
+            n_back, n_ahead = np.where(apart, 0, n_back), np.where(apart, 0, n_ahead)
+        for at, own, count in ((gap_at[:-1], base + own_penult, n_back), (gap_at[1:] - n_ahead, np.append(base[1:] + own_first[1:], 0), n_ahead)):
+            differ = gather(gap_ids, at, count)[0] != gather(self.ids[0], own, count)[0]
+            apart |= np.bincount(np.repeat(np.arange(len(count)), count)[differ], minlength=len(count)) > 0
         pool = np.concatenate([self.ids[0], gap_ids])
-        starts = np.stack([base + id_low, len(self.ids[0]) + gap_at[:-1]], axis=1).ravel()
-        counts = np.stack([id_high - id_low, np.diff(gap_at)], axis=1).ravel()
+        starts = np.stack([base + id_low, len(self.ids[0]) + gap_at[:-1] + n_back], axis=1).ravel()
+        counts = np.stack([id_high - id_low, np.diff(gap_at) - n_back - n_ahead], axis=1).ravel()
         ids, at = gather(pool, starts, counts)
         ends = np.zeros(len(offsets), np.int64)
         closed = np.cumsum(is_last)
         filled = np.flatnonzero(np.diff(offsets) > 0)
         last_use = np.searchsorted(closed, np.arange(1, len(filled) + 1))
         ends[filled + 1] = at[2 * (last_use + 1)]
-        return ids, np.maximum.accumulate(ends)
+        ends = np.maximum.accumulate(ends)
+        return self._grown(ids, ends, data, offsets, kind, np.unique(np.searchsorted(offsets, high[apart], "left") - 1)) if apart.any() else (ids, ends)
+
+    def _grown(self, ids: np.ndarray, ends: np.ndarray, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same ids, but those of some rows encoded as a whole."""
+        parts = np.split(ids, ends[1:-1])
+        for r in rows.tolist():
+            a, b = offsets[r], offsets[r + 1]
+            parts[r] = self._rows(data[a:b], np.array([0, b - a]), kind[a:b])[0]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _rows(self, data, offsets, kind):
         """Ids of rows of which some may be empty."""

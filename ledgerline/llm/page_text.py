@@ -2,24 +2,28 @@
 
 A page becomes lines: the text of its blocks, with character references decoded
 and white space collapsed. Scripts, styles, templates, forms and comments of the
-markup give none. Lines inside the article (an article or main element, where a
-page has one) are its main text, except blocks in it that are marked as menu, notice,
-advert, comment and the like. What is marked around an article doesn't silence it,
-unless the page has another article in fewer parts such as asides and comments. All other lines are candidates only: within each
-host the page of the nearest URL path is looked up, both pages' candidates are
-aligned by longest common subsequence, and lines that the two share are deleted;
-so is everything in the page's own marked parts. A page with an article keeps no
-candidates, for what surrounds an article is not part of it; its text needs no
-shuffle. Pages are compared by hashes of their candidate lines.
-
-Pages are put in order of (host, path, page_id) over range partitions, so a large
-host spreads over many of them, and each page is compared with its neighbours
-before and after in that order. The last page of a partition also meets the first
-of the next, which is sent there.
+markup give none. A line lies in the article (an article or main element), in
+furniture (menus, headers, footers, asides, and blocks that name themselves so),
+or is a candidate. What is marked around an article doesn't silence it, unless
+the page has another article in fewer parts such as asides and comments.
+
+Within each host every page is compared with the page of the nearest URL path
+whose article and candidates are not the same: all lines of both are aligned by
+longest common subsequence, and lines that the two share are deleted. Only prose
+of an article is no furniture for being shared: articles quote each other and are
+published twice, so in an article shared lines go if they are links for the most
+part. Furniture that no neighbour shares goes by its markup. The text of a page
+is what is left of its article, or of its candidates if it has none.
+
+Pages are parsed once and compared by hashes of their lines. They are put in
+order of (host, path, page_id) over range partitions, so a large host spreads over
+many of them, and each page is compared with the nearest different ones before and
+after in that order. The last two different pages of a partition also meet the
+first of the next, which are sent there, and the other way round; if a whole
+partition is copies of one page, what lies beyond it is not looked at.
 
 Null or empty html gives an empty text. Pages without a host, or alone on it, are
-not compared. Two pages with the same candidates throughout are copies and delete
-nothing from each other. Repeated rows each get a result.
+not compared. Repeated rows each get a result.
 """
 
 from __future__ import annotations
@@ -59,7 +63,10 @@ _ONE_WORD = re.compile(r"[a-z]+", re.IGNORECASE)
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 _ARTICLE = re.compile(r"<(?:article|main)\b", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-ARTICLE, CANDIDATE = 1, 0
+#: What a line is; the last two are lines of an article, of prose and of links.
+CANDIDATE, FURNISHED, ARTICLE, LINKS = 0, 1, 2, 3
+#: Cells of a table of common subsequences up to which it is held whole.
+TABLE_CELLS = 4_000_000
 
 
 def _mark(attributes: str) -> str:
@@ -71,19 +78,24 @@ def _mark(attributes: str) -> str:
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines with their kind: in the article, or a candidate. Marked parts give none."""
+    """The page's lines with their kind."""
     out: list[tuple[str, int, int]] = []  # and in how many strong marks the article is
     words: list[str] = []
+    in_link, linked = False, 0
     open_: list[tuple[str, str]] = []  # element, and what it is: main, inner (a mark in the article), marked, strong or nothing
     held = {"main": 0, "inner": 0, "marked": 0, "strong": 0, "": 0}
     at, n = 0, len(page)
 
     def close() -> None:
+        nonlocal linked
         if words:
-            text = _SPACE.sub(" ", references.unescape("".join(words))).strip()
-            if text and not held["inner"] and (held["main"] or not (held["marked"] or held["strong"])):
-                out.append((text, ARTICLE if held["main"] else CANDIDATE, held["strong"]))
+            raw = "".join(words)
+            if text := _SPACE.sub(" ", references.unescape(raw)).strip():
+                marked = held["inner"] or not held["main"] and (held["marked"] or held["strong"])
+                inside = LINKS if 2 * linked > len(raw) else ARTICLE
+                out.append((text, FURNISHED if marked else inside if held["main"] else CANDIDATE, held["strong"]))
             words.clear()
+        linked = 0
 
     def begin(name: str, what: str) -> None:
         if held["main"] and what in ("marked", "strong"):
@@ -103,6 +115,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             break
         if tag.start() > at:
             words.append(page[at : tag.start()])
+            linked += in_link * (tag.start() - at)
         at = tag.end()
         name = (tag.group(2) or "").lower()
         if not name:
@@ -111,6 +124,8 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in INLINE:
             if name == "br":
                 words.append(" ")
+            elif name == "a":
+                in_link = not ending
             if name in VOID or name == "a":
                 continue
             if not ending and (what := _mark(attributes)):
@@ -158,8 +173,8 @@ def lines(page: str) -> list[tuple[str, int]]:
                     end_from(k)
                     break
     close()
-    fewest = min((marks for _, kind, marks in out if kind == ARTICLE), default=0)
-    return [(text, kind) for text, kind, marks in out if kind == CANDIDATE or marks == fewest]
+    fewest = min((marks for _, kind, marks in out if kind >= ARTICLE), default=0)
+    return [(text, FURNISHED if kind >= ARTICLE and marks > fewest else kind) for text, kind, marks in out]
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
@@ -177,21 +192,41 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     common = set(x) & set(y)  # the rest can't match; what is left is short
     x_at, y_at = [i for i, s in enumerate(x) if s in common], [i for i, s in enumerate(y) if s in common]
     code = {s: k for k, s in enumerate(common)}
-    xs, ys = np.array([code[x[i]] for i in x_at], np.int64), np.array([code[y[i]] for i in y_at], np.int64)
-    best = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
-    for i in range(len(xs) - 1, -1, -1):
-        best[i, :-1] = np.where(ys == xs[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+    for i in _common_subsequence(np.array([code[x[i]] for i in x_at], np.int64), np.array([code[y[i]] for i in y_at], np.int64)):
+        keep[low + x_at[i]] = True
+    return keep
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of a longest common subsequence of x and each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for s in x:
+        row[1:] = np.maximum.accumulate(np.where(y == s, row[:-1] + 1, row[1:]))
+    return row
+
+
+def _common_subsequence(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """The places in x of a longest common subsequence; long pairs are split in linear memory."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) > 1 and len(x) * len(y) > TABLE_CELLS:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return _common_subsequence(x[:half], y[:cut]) + [half + i for i in _common_subsequence(x[half:], y[cut:])]
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        best[i, :-1] = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
         best[i, :-1] = np.maximum.accumulate(best[i, :-1][::-1])[::-1]
-    i = j = 0
-    while i < len(xs) and j < len(ys):
-        if xs[i] == ys[j] and best[i, j] == best[i + 1, j + 1] + 1:
-            keep[low + x_at[i]] = True
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j] and best[i, j] == best[i + 1, j + 1] + 1:
+            out.append(i)
             i, j = i + 1, j + 1
         elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
         else:
             j += 1
-    return keep
+    return out
 
 
 def nearest(path: str, before: str | None, after: str | None) -> int:
@@ -202,7 +237,7 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
 
 def article_of(page: list[tuple[str, int]]) -> str | None:
     """The text of the page's article, or None if it has none."""
-    found = [text for text, kind in page if kind == ARTICLE]
+    found = [text for text, kind in page if kind >= ARTICLE]
     return "\n".join(found) if found else None
 
 
@@ -210,45 +245,33 @@ def candidates_of(page: list[tuple[str, int]]) -> list[str]:
     return [text for text, kind in page if kind == CANDIDATE]
 
 
-def removed_lines(own: list, other: list | None) -> list[int]:
-    """Which of a page's candidates to delete, given those of the page it is compared with."""
-    if other is None or own == other:
-        return []
-    return [i for i, shared in enumerate(shared_lines(own, other)) if shared]
-
-
-def _address(pages: DataFrame) -> DataFrame:
-    plain = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    return pages.select("page_id", "url", "html", F.lower(F.regexp_extract(plain, "^([^/?#]*)", 1)).alias("host"), F.regexp_extract(plain, "^[^/?#]*([^?#]*)", 1).alias("path"), F.xxhash64("url", "html").alias("content"))
-
-
 def _line_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parsed(pages: DataFrame, with_article: bool) -> DataFrame:
-    """Pages with an article and its text, or the others and their candidate lines."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, content, host, path of every page, and its lines: text (of furniture: none), kind and hash; and a hash of all but the furniture."""
+    plain = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
+    address = [F.lower(F.regexp_extract(plain, "^([^/?#]*)", 1)).alias("host"), F.regexp_extract(plain, "^[^/?#]*([^?#]*)", 1).alias("path")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [lines(x or "") for x in batch.column(2).to_pylist()]
-        texts = [article_of(f) for f in found]
-        rows = [k for k, t in enumerate(texts) if (t is not None) == with_article]
-        take = pa.array(rows, pa.int64())
-        own = pa.array([texts[k] for k in rows], pa.string()) if with_article else pa.array([candidates_of(found[k]) for k in rows], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1, 3)), own], ["page_id", "url", "content", "own"])
-
-    source = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("content"))
-    return map_batches(source, work, f"page_id long, url string, content long, own {'string' if with_article else 'array<string>'}")
+        texts, kinds, hashes, main = [], [], [], []
+        for page in batch.column(2):
+            found = lines(page.as_py() or "")
+            texts.append(["" if kind == FURNISHED else text for text, kind in found])
+            kinds.append([kind for _, kind in found])
+            hashes.append([_line_hash(text) for text, _ in found])
+            own = [h for h, kind in zip(hashes[-1], kinds[-1], strict=True) if kind != FURNISHED]
+            main.append(int.from_bytes(hashlib.blake2b(repr(own).encode(), digest_size=8).digest(), "little", signed=True))
+        lists = [pa.array(x, pa.list_(t)) for x, t in ((texts, pa.string()), (kinds, pa.int8()), (hashes, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 3, 4, 5)), *lists, pa.array(main, pa.int64())], ["page_id", "url", "content", "host", "path", "texts", "kinds", "hashes", "main"])
 
+    source = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("content"), *address)
+    return map_batches(source, work, "page_id long, url string, content long, host string, path string, texts array<string>, kinds array<tinyint>, hashes array<long>, main long")
 
-def deletions(pages: DataFrame) -> DataFrame:
-    """page_id, content, removed: of every page without an article, the candidate lines that the nearest page shares."""
 
-    def outline(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [lines(x or "") for x in batch.column(2).to_pylist()]
-        hashes = pa.array([[_line_hash(s) for s in candidates_of(f)] for f in found], pa.list_(pa.int64()))
-        asks = pa.array([article_of(f) is None for f in found], pa.bool_())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 3, 4, 5)), hashes, asks], ["page_id", "host", "path", "content", "hashes", "asks"])
+def deletions(outlines: DataFrame) -> DataFrame:
+    """page_id, content, shared: the lines (by place) that a page of parsed() shares with the nearest different one, where it shares any."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -256,57 +279,72 @@ def deletions(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(n, n + b.num_rows))], [*b.schema.names, "part", "at"])
             n += b.num_rows
 
-    columns = "page_id long, host string, path string, content long, hashes array<long>, asks boolean"
-    outlines = map_batches(_address(pages), outline, columns)
     order = ["host", "path", "page_id", "content"]
-    in_order = kept(outlines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, columns + ", part int, at long"), "outlines")
-    ends = in_order.groupBy("part").agg(F.max("at").alias("last"))
-    # a partition's first page goes to the one before it as well, and its last page to the one after it
+    columns = "host string, path string, page_id long, content long, main long, hashes array<long>"
+    rows = outlines.filter("host <> ''").select(*order, "main", "hashes")
+    in_order = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, columns + ", part int, at long"), "outlines")
+    # the first and last pages of a partition, and the ones next to them that differ: two rows for each side of a partition
+    ends = in_order.groupBy("part").agg(F.min_by("main", "at").alias("first_main"), F.max_by("main", "at").alias("last_main"), F.max("at").alias("last"))
+    others = in_order.join(ends, "part").groupBy("part").agg(F.min(F.expr("CASE WHEN main <> first_main THEN at END")).alias("first_other"), F.max(F.expr("CASE WHEN main <> last_main THEN at END")).alias("last_other"))
     by_part = Window.orderBy("part")  # one row for each partition
-    neighbours = ends.select("part", "last", F.lead("part").over(by_part).alias("next"), F.lag("part").over(by_part).alias("previous"))
+    neighbours = ends.select("part", "last", F.lead("part").over(by_part).alias("next"), F.lag("part").over(by_part).alias("previous")).join(others, "part")
     edge = in_order.join(neighbours, "part")
-    forward = edge.filter((F.col("at") == F.col("last")) & F.col("next").isNotNull()).withColumns({"part": F.col("next"), "at": F.lit(-1).cast("long")})
-    backward = edge.filter((F.col("at") == 0) & F.col("previous").isNotNull()).withColumns({"part": F.col("previous"), "at": F.lit(2**62)})
-    guests = forward.select(*in_order.columns).unionByName(backward.select(*in_order.columns)).withColumn("guest", F.lit(True))
-    run = in_order.withColumn("guest", F.lit(False)).unionByName(guests)
+    after, first_after = F.lit(2**62).cast("long"), F.lit(2**62 - 1).cast("long")
+    forward = edge.filter("next is not null and (at = last or at = last_other)").withColumns({"at": F.when(F.col("at") == F.col("last"), -1).otherwise(-2).cast("long"), "part": F.col("next")})
+    backward = edge.filter("previous is not null and (at = 0 or at = first_other)").withColumns({"at": F.when(F.col("at") == 0, first_after).otherwise(after), "part": F.col("previous")})
+    run = in_order.unionByName(forward.select(*in_order.columns)).unionByName(backward.select(*in_order.columns))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by part and place; a page is finished when its follower has been seen."""
-        before = own = None
+        """Pages come by part and place; copies of each other that follow one another are finished when the next page has been seen."""
+        before: tuple | None = None
+        copies: list[tuple] = []  # part, host, main, at, page_id, content, path, hashes
         done: list[tuple] = []
 
-        def finish(after: dict | None) -> None:
-            if own is None or own["guest"] or not own["asks"]:
+        def finish(after: tuple | None) -> None:
+            nonlocal before
+            if not copies:
                 return
-            near = [x if x and x["host"] == own["host"] and own["host"] and x["part"] == own["part"] else None for x in (before, after)]
-            which = nearest(own["path"], *(x and x["path"] for x in near))
-            other = near[0] if which < 0 else near[1] if which > 0 else None
-            done.append((own["page_id"], own["content"], removed_lines(own["hashes"], other and other["hashes"])))
+            around = [x if x and x[:2] == copies[0][:2] else None for x in (before, after)]
+            for _, _, _, at, page_id, content, path, hashes in copies:
+                which = nearest(path, *(x and x[6] for x in around)) if 0 <= at < 2**61 else 0
+                if which:
+                    shared = shared_lines(hashes.tolist(), around[0 if which < 0 else 1][7].tolist())
+                    if any(shared):
+                        done.append((page_id, content, [i for i, s in enumerate(shared) if s]))
+            before = copies[-1]
+            copies.clear()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["page_id", "content", "removed"])
+            batch = pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["page_id", "content", "shared"])
             done.clear()
             return batch
 
         for b in batches:
-            for row in b.to_pylist():
-                finish(row)
-                before, own = own, row
+            host, path, page_id, content, main, hashes, part, at = b.columns
+            for k in range(b.num_rows):
+                row = (part[k].as_py(), host[k].as_py(), main[k].as_py(), at[k].as_py(), page_id[k].as_py(), content[k].as_py(), path[k].as_py(), np.asarray(hashes[k].values))
+                if copies and row[:3] != copies[0][:3]:
+                    finish(row)
+                copies.append(row)
             if done:
                 yield out()
         finish(None)
         if done:
             yield out()
 
-    return run.repartition("part").sortWithinPartitions("part", "at").mapInArrow(compare, "page_id long, content long, removed array<int>")
+    return run.repartition("part").sortWithinPartitions("part", "at").mapInArrow(compare, "page_id long, content long, shared array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...)."""
-    whole = _parsed(pages, with_article=True).select("page_id", "url", F.col("own").alias("text"))
-    cuts = deletions(pages).dropDuplicates(["page_id", "content"]).alias("d")
-    rest = _parsed(pages, with_article=False).alias("p")
+    """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...), and n_shared_lines, those deleted by comparison."""
+    whole = kept(parsed(pages), "pages")
+    cuts = deletions(whole).dropDuplicates(["page_id", "content"]).alias("d")
     same = F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.content") == F.col("d.content"))
-    left = F.filter("p.own", lambda x, i: ~F.array_contains(F.coalesce("d.removed", F.array().cast("array<int>")), i))
-    others = rest.join(cuts, same, "left").select("p.page_id", "p.url", F.array_join(left, "\n").alias("text"))
-    return whole.unionByName(others).withColumn("n_chars", F.length("text").cast("long"))
+    rows = whole.alias("p").join(cuts, same, "left")
+    shared = F.coalesce("d.shared", F.array().cast("array<int>"))
+    has_article = F.exists("p.kinds", lambda k: k >= ARTICLE)
+    deleted = F.filter(shared, lambda i: F.get("p.kinds", i) != ARTICLE)
+    rows = rows.select("p.page_id", "p.url", "p.texts", "p.kinds", has_article.alias("has"), deleted.alias("deleted"))
+    left = F.filter("texts", lambda x, i: F.when(F.col("has"), F.get("kinds", i) >= ARTICLE).otherwise(F.get("kinds", i) == CANDIDATE) & ~F.array_contains("deleted", i))
+    rows = rows.select("page_id", "url", F.array_join(left, "\n").alias("text"), F.size("deleted").cast("long").alias("n_shared_lines"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared_lines")

@@ -1,3 +1,6 @@
+import os
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,64 @@ def test_pages_without_article_lose_what_the_nearest_shares(spark):
     assert page_text.extract(pages.limit(0)).count() == 0
 
 
+def brute_texts(rows):
+    """Every page against all others of its host, with a plain table of common subsequences."""
+    found = {k: page_text.lines(html or "") for k, (_, _, html) in enumerate(rows)}
+    split = {k: (m.group(1).lower(), m.group(2)) if (m := re.match(r"(?:\w+://)?([^/?#]*)([^?#]*)", url or "")) else ("", "") for k, (_, url, _) in enumerate(rows)}
+    order = sorted(found, key=lambda k: (*split[k], rows[k][0]))
+    main = {k: [x for x in found[k] if x[1] != page_text.FURNISHED] for k in found}
+    for k in found:
+        texts, gone = [t for t, _ in found[k]], set()
+        place = order.index(k)
+        sides = [next((o for o in side if split[o][0] == split[k][0] and split[k][0] and main[o] != main[k]), None) for side in (order[:place][::-1], order[place + 1 :])]
+        common = [-1 if o is None else len(os.path.commonprefix([split[o][1], split[k][1]])) for o in sides]
+        if max(common) >= 0:
+            other = [t for t, _ in found[sides[0] if common[0] >= common[1] else sides[1]]]
+            n, m = len(texts), len(other)
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for i in range(n - 1, -1, -1):
+                for j in range(m - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if texts[i] == other[j] else max(best[i + 1][j], best[i][j + 1])
+            i = j = 0
+            while i < n and j < m:
+                if texts[i] == other[j]:
+                    gone.add(i)
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+        kinds = [kind for _, kind in found[k]]
+        article = any(kind >= page_text.ARTICLE for kind in kinds)
+        yield rows[k][0], "\n".join(t for i, (t, kind) in enumerate(found[k]) if (kind == page_text.ARTICLE or i not in gone) and (kind >= page_text.ARTICLE if article else kind == page_text.CANDIDATE))
+
+
+def test_query_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{k}" for k in r.integers(0, 90, n))
+    menus = [[f"<div>menu {h} {k}</div>" for k in range(4)] for h in range(3)]
+    rows = []
+    for i in range(90):
+        h = int(r.integers(0, 3))
+        head = "".join(menus[h][: r.integers(1, 5)])
+        own = "".join(f"<p>{word(6)}" for _ in range(r.integers(1, 5)))
+        body = own if r.random() < 0.5 else f"<article><h1>{word(3)}</h1>{own}<p><a href=x>Read more {h}</a></p><p>A quoted line {h}</p></article><footer>foot {h}</footer>"
+        rows.append((i, f"https://h{h}.org/{'ab'[i % 2]}/{r.integers(0, 999)}", f"<body>{head}{body}</body>"))
+    rows += [(200 + i, f"https://h1.org/a/c{i}", rows[0][2]) for i in range(15)] + [(300, None, rows[1][2]), (301, "https://h1.org/a/5", None), (302, "https://h2.org/a/6", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = page_text.extract(pages)
+    assert sorted((x.page_id, x.text) for x in got.collect()) == sorted(brute_texts(rows))
+    assert got.agg(F.sum("n_shared_lines")).first()[0] > 100
+
+
+def test_common_subsequences_in_linear_memory(monkeypatch):
+    r = np.random.default_rng(2)
+    a, b = ([str(x) for x in r.integers(0, 6, 90)] for _ in range(2))
+    want = sum(page_text.shared_lines(a, b))
+    monkeypatch.setattr(page_text, "TABLE_CELLS", 20)
+    assert sum(page_text.shared_lines(a, b)) == want
+
+
 @pytest.mark.parametrize("shard_rows", [150, 10_000])
 def test_recall_and_order(spark, shard_rows):
     r = np.random.default_rng(3)

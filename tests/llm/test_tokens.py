@@ -37,6 +37,20 @@ def test_chunks_give_the_same_ids(docs, monkeypatch, mean):
         assert coder.decode(ids) == text.encode()
 
 
+def test_a_join_that_disagrees_is_encoded_with_the_whole_text(texts, monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "MEAN_CHUNK", 64)
+    coder = chunked_bpe.ChunkEncoder(BYTE)
+    raw = [t.encode() for t in (texts[0], texts[3], texts[5])]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    coder.encode(data, offsets)
+    grown, whole = [], coder._grown
+    monkeypatch.setattr(coder, "_grown", lambda *a: grown.extend(a[-1].tolist()) or whole(*a))
+    facts = coder.facts[0]
+    k = next(k for k in range(facts.shape[1]) if facts[7, k] < facts[3, k] and facts[0, k] > 0)
+    coder.ids[0][facts[0, k] + facts[9, k]] += 1  # the chunk's id at its last but one safe place
+    assert [x.tolist() for x in coder.encode(data, offsets)] == [library(BYTE, t.decode()) for t in raw] and grown
+
+
 def test_round_trip_digests(docs):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in chunked_bpe.round_trip(docs, BYTE).collect()}
     tok = Tokenizer.from_file(BYTE)
