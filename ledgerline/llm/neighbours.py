@@ -7,18 +7,21 @@ from the medoid over the graph so far proposes neighbours, and relaxed pruning
 keeps an edge only if no kept neighbour is ``ALPHA`` times closer to its end.
 Equal vectors of a shard are one node, so large groups of copies neither fill
 the edge lists nor hide each other. Queries go to every shard in blocks; a
-query's best candidates of all shards are merged, with scores computed on the
-original vectors in double precision.
+query's best candidates of some shards, then of all, are merged, with scores
+computed on the original vectors in double precision.
+
+Each shard is one task's work, so shards are built and searched side by side. With
+n vectors and n / 20 queries there are n / ``shard_rows`` searches for each query;
+``shard_rows`` may be as large as a task has memory for.
 
 Null vectors, zero vectors and vectors with null or non-finite components take no
-part, neither do rows without an id or with fewer components than the longest
-vector; repeated ids are separate candidates, and none of them is its own query's.
+part, neither do rows without an id. Vectors of other lengths than a query's have no
+inner product with it: vectors of each length are searched among their own.
+Repeated ids are separate candidates, and none of them is its own query's.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 
 from .tables import kept
 
-SHARD_ROWS = 6_000
+SHARD_ROWS = 8_000
+#: Shards whose candidates of a query are merged first.
+MERGED = 32
 QUERY_BLOCK = 2_000
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
+#: Beam of searches for queries.
+SEARCH_BEAM = 96
 _GROUP = 256
 
 
@@ -159,45 +166,57 @@ def search(ids: np.ndarray, vectors: np.ndarray, graph: np.ndarray, entry: int,
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query of vectors(vec_id, embedding, ...)."""
     rows = kept(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))), "vectors")
-    dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
-    rows = rows.filter(F.size("embedding") == dims)
-    size = rows.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).first()
-    shards, longest = max(1, math.ceil(size[0] / shard_rows)), math.sqrt(size[1] or 0.0)
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    blocks = max(1, size[0] // (20 * QUERY_BLOCK))
-    asked = rows.filter(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = rows.withColumn("dims", F.size("embedding"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.sqrt(F.max(norm)).alias("longest"))
+    sizes = sizes.select("dims", "longest", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.greatest(F.lit(1), F.floor(F.col("n") / (20 * QUERY_BLOCK))).cast("int").alias("blocks"))
+    sizes = kept(sizes, "sizes")  # a row for each length
+    shards, tiles = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1)), F.coalesce(F.sum(F.col("shards") * F.col("blocks")), F.lit(1))).first()
+    rows = rows.join(sizes, "dims")
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
+    asked = rows.filter(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").cast("int"))
+    queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         x = np.stack(pdf["embedding"].to_numpy())
         distinct, node_of = np.unique(x, axis=0, return_inverse=True)
-        graph, entry = build(lifted(distinct, longest))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["vec_id"].to_numpy()], "vectors": [x.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry], "node_of": [node_of.ravel()], "dims": [x.shape[1]]})
+        graph, entry = build(lifted(distinct, pdf["longest"].iloc[0]))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in ("shard", "longest", "blocks")}, "ids": [pdf["vec_id"].to_numpy()], "vectors": [x.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry], "node_of": [node_of.ravel()], "dims": [x.shape[1]]})
 
-    graphs = kept(placed.groupBy("shard").applyInPandas(index, "shard int, ids array<long>, vectors binary, graph binary, entry int, node_of array<long>, dims int"), "graphs")
+    # numbers of partitions that are named stay as they are, so that shards don't meet in a task
+    built = placed.repartition(2 * shards, "dims", "shard").groupBy("dims", "shard").applyInPandas(index, "shard int, longest double, blocks int, ids array<long>, vectors binary, graph binary, entry int, node_of array<long>, dims int")
+    graphs = kept(built, "graphs")
 
     def answer(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "shard": []})
         s = shard.iloc[0]
         ids, node_of = np.asarray(s["ids"]), np.asarray(s["node_of"])
         x = np.frombuffer(s["vectors"], "<f8").reshape(len(ids), s["dims"])
         nodes = np.zeros((node_of.max() + 1, s["dims"]))
         nodes[node_of] = x
         graph = np.frombuffer(s["graph"], "<i4").reshape(len(nodes), -1).astype(np.int64)
-        return search(ids, x, graph, int(s["entry"]), node_of, lifted(nodes, longest), asked["vec_id"].to_numpy(), np.stack(asked["embedding"].to_numpy()), k, beam)
+        found = search(ids, x, graph, int(s["entry"]), node_of, lifted(nodes, s["longest"]), asked["vec_id"].to_numpy(), np.stack(asked["embedding"].to_numpy()), k, beam)
+        return found.assign(shard=s["shard"])
 
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = served.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(answer, "query_id long, vec_id long, score double")
+    tile = ["dims", "shard", "block"]
+    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(2 * tiles, *tile)
+    queries = queries.select(*tile, "vec_id", "embedding").repartition(2 * tiles, *tile)
+    found = served.groupBy(*tile).cogroup(queries.groupBy(*tile)).applyInPandas(answer, "query_id long, vec_id long, score double, shard int")
     return top(found, k)
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of every query; ties go to the smaller vec_id."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)  # k rows a shard
-    each = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
+    """The k best rows of every query; ties go to the smaller vec_id. No list is longer than k rows of ``MERGED`` shards, or of that part of all shards."""
+
+    def best(rows: DataFrame, *keys: Column | str) -> DataFrame:
+        first = F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k)
+        return rows.groupBy(*keys).agg(first.alias("best")).select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", "at", "b.*")
+
+    rows = found.select("query_id", "vec_id", (-F.col("score")).alias("far"), F.floor(F.col("shard") / MERGED).alias("part"))
+    each = best(best(rows, "query_id", "part"), "query_id")
+    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "vec_id", (-F.col("far")).alias("score"))

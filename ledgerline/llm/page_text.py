@@ -336,15 +336,17 @@ def deletions(outlines: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...), and n_shared_lines, those deleted by comparison."""
-    whole = kept(parsed(pages), "pages")
+    """page_id, url, text, n_chars of every row of pages(page_id, url, html, ...)."""
+    whole = kept(parsed(pages), "pages", compression="zstd")
     cuts = deletions(whole).dropDuplicates(["page_id", "content"]).alias("d")
+    # prose of an article stays, shared or not: only pages with other lines of their own meet the deletions
+    asks = F.exists("kinds", lambda k: k == LINKS) | ~F.exists("kinds", lambda k: k >= ARTICLE)
     same = F.col("p.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("p.content") == F.col("d.content"))
-    rows = whole.alias("p").join(cuts, same, "left")
-    shared = F.coalesce("d.shared", F.array().cast("array<int>"))
-    has_article = F.exists("p.kinds", lambda k: k >= ARTICLE)
-    deleted = F.filter(shared, lambda i: F.get("p.kinds", i) != ARTICLE)
-    rows = rows.select("p.page_id", "p.url", "p.texts", "p.kinds", has_article.alias("has"), deleted.alias("deleted"))
-    left = F.filter("texts", lambda x, i: F.when(F.col("has"), F.get("kinds", i) >= ARTICLE).otherwise(F.get("kinds", i) == CANDIDATE) & ~F.array_contains("deleted", i))
-    rows = rows.select("page_id", "url", F.array_join(left, "\n").alias("text"), F.size("deleted").cast("long").alias("n_shared_lines"))
-    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared_lines")
+    met = whole.filter(asks).alias("p").join(cuts, same, "left").select("p.page_id", "p.url", "p.texts", "p.kinds", "d.shared")
+    rows = whole.filter(~asks).select("page_id", "url", "texts", "kinds", F.lit(None).cast("array<int>").alias("shared")).unionByName(met)
+    own = F.when(F.exists("kinds", lambda k: k >= ARTICLE), F.lit(ARTICLE)).otherwise(F.lit(CANDIDATE))
+    links = F.when(F.exists("kinds", lambda k: k == LINKS), F.lit(LINKS)).otherwise(own)
+    gone = lambda k, i: (k != ARTICLE) & F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i)
+    left = F.filter("texts", lambda _, i: F.get("kinds", i).isin(own, links) & ~gone(F.get("kinds", i), i))
+    rows = rows.select("page_id", "url", F.array_join(left, "\n").alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))

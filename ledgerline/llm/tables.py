@@ -35,14 +35,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no recomputation of what led here.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

@@ -108,7 +108,7 @@ def test_query_equals_brute_force(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     got = page_text.extract(pages)
     assert sorted((x.page_id, x.text) for x in got.collect()) == sorted(brute_texts(rows))
-    assert got.agg(F.sum("n_shared_lines")).first()[0] > 100
+    assert page_text.deletions(page_text.parsed(pages)).agg(F.sum(F.size("shared"))).first()[0] > 100
 
 
 def test_common_subsequences_in_linear_memory(monkeypatch):
@@ -141,3 +141,8 @@ def test_recall_and_order(spark, shard_rows):
     assert [v for v in tied if 300 <= v < 360] == sorted(v for v in tied if 300 <= v < 360)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.nearest(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    # vectors of another length are searched among their own
+    other = spark.createDataFrame([(1000 + i, [float(i + 1), 1.0], 0) for i in range(5)], df.schema)
+    both = neighbours.nearest(df.unionByName(other), F.col("vec_id").isin(20, 1000), 20, shard_rows).toPandas()
+    assert both[both["query_id"] == 1000]["vec_id"].tolist() == [1004, 1003, 1002, 1001]
+    assert sorted(both[both["query_id"] == 20]["vec_id"]) == sorted(tied)
