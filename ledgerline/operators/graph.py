@@ -1,36 +1,38 @@
 """Agent graphs as nodes(id, type) and edges(source, target).
 
 Reachability goes in rounds of a join and an anti-join, so a node is expanded
-once however many paths lead to it, and cycles end by themselves. Rounds are cut
-by checkpoint() where the session has a checkpoint folder.
+once however many paths lead to it, and cycles end by themselves. Each round is
+written to the shared folder, so a lost executor costs no earlier round.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_agent_key, risk_manager_id
+from ..sources.files import shared_dir
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 1_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """id, depth of the nodes that starts(id) lead to, themselves at depth 0."""
     seen = _settled(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         step = edges.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
         front = _settled(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
-            break
+            return seen
         seen = _settled(seen.unionByName(front))
-    return seen
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

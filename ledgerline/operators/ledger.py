@@ -1,9 +1,9 @@
 """The position ledger: buys, sells, shorts and covers folded in order over one cash balance.
 
-Two forms give the same numbers. ``final_state`` is one expression: an
-``aggregate`` over the sorted trades of a portfolio. ``steps`` keeps the state
-after every trade and runs over each portfolio's rows in a task. Portfolios are
-independent, so both scale over them; a portfolio's own trades are sequential.
+One expression does it: an ``aggregate`` over the sorted trades of a portfolio.
+``final_state`` gives its result, ``steps`` the state after every trade as well.
+Portfolios are independent, so this scales over them; a portfolio's own trades are
+sequential, and one row's work.
 
 A buy or short beyond the cash is filled in part, a sell or cover beyond the
 holding is clipped; quantities are truncated; an unknown action, a price of 0
@@ -12,9 +12,8 @@ in a partial fill or a quantity of 0 or less trades nothing.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,82 +49,38 @@ def _next_state(m: float) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
+_FIELDS = ("cash", "margin", "l", "s", "lc", "sc", "sm", "rl", "rs")
+
+
+def _folded(decisions: DataFrame, tickers: int | str, cash: float, margin: float, carry: tuple[str, ...] = (), more: str = "", with_more: Callable[[str], str] = lambda new: new) -> DataFrame:
+    """run_id and s, the state after all of its decisions; a step has e, the shares that it moves, x, the decision, and s."""
+    fields = [F.col("ticker").cast("int").alias("t"), F.col("action").alias("a"), F.coalesce(F.col("quantity").cast("bigint").cast("double"), F.lit(0.0)).alias("q"), F.coalesce("price", F.lit(0.0)).alias("p")]
+    trades = decisions.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields, *carry))).alias("xs"))
+    m = f"{float(margin)}D"
+    init = ", ".join([f"'cash', {float(cash)}D, 'margin', 0D", *(f"'{k}', array_repeat(0D, {tickers})" for k in _FIELDS[2:]), "'executed', 0D", *([more] if more else [])])
+    bound = f"element_at(transform(array({_EXECUTED.format(m=m)}), e -> {with_more(_next_state(m))}), 1)"
+    return trades.select("run_id", F.expr(f"aggregate(xs, named_struct({init}), (s, x) -> {bound})").alias("s"))
+
+
 def final_state(decisions: DataFrame, tickers: int, cash: float = 100_000.0, margin: float = 0.5) -> DataFrame:
     """One row for each run: cash, margin_used, executed shares, and arrays over tickers 0..tickers-1."""
-    trades = decisions.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("ticker").alias("t"), F.col("action").alias("a"), F.coalesce(F.col("quantity").cast("bigint").cast("double"), F.lit(0.0)).alias("q"), F.coalesce("price", F.lit(0.0)).alias("p")))).alias("xs"))
-    m = f"{float(margin)}D"
-    zeros = f"array_repeat(0D, {tickers})"
-    init = f"named_struct('cash', {float(cash)}D, 'margin', 0D, " + ", ".join(f"'{k}', {zeros}" for k in ("l", "s", "lc", "sc", "sm", "rl", "rs")) + ", 'executed', 0D)"
-    bound = f"element_at(transform(array({_EXECUTED.format(m=m)}), e -> {_next_state(m)}), 1)"
-    state = trades.select("run_id", F.expr(f"aggregate(xs, {init}, (s, x) -> {bound})").alias("s"))
+    state = _folded(decisions, tickers, cash, margin)
     names = {"cash": "cash", "margin": "margin_used", "executed": "executed", "l": "long", "s": "short", "lc": "long_cost_basis", "sc": "short_cost_basis", "sm": "short_margin_used", "rl": "realized_long", "rs": "realized_short"}
     return state.select("run_id", *(F.col(f"s.{k}").alias(v) for k, v in names.items()))
 
 
-class Account:
-    """One portfolio's mutable state."""
-
-    def __init__(self, cash: float, margin: float) -> None:
-        self.cash, self.margin, self.margin_used = cash, margin, 0.0
-        self.held: dict = {}  # ticker: long, short, long basis, short basis, short margin, realized long, realized short
-
-    def affordable(self, unit: float) -> int:
-        return max(0, math.floor(self.cash / unit)) if unit > 0 else 0
-
-    def trade(self, ticker, action: str, quantity: float, price: float) -> float:
-        """Apply one decision; the shares that it moved."""
-        h = self.held.setdefault(ticker, [0.0] * 7)
-        q = float(int(quantity)) if quantity and quantity > 0 else 0.0
-        if action == "buy":
-            q = q if q * price <= self.cash else float(self.affordable(price))
-        elif action == "short":
-            q = q if q * price * self.margin <= self.cash else float(self.affordable(price * self.margin))
-        elif action in ("sell", "cover"):
-            q = min(q, h[0] if action == "sell" else h[1])
-        else:
-            q = 0.0
-        if q <= 0:
-            return 0.0
-        if action == "buy":
-            h[2] = (h[2] * h[0] + q * price) / (h[0] + q)
-            h[0] += q
-            self.cash -= q * price
-        elif action == "sell":
-            h[5] += (price - h[2]) * q
-            h[0] -= q
-            self.cash += q * price
-            h[2] = h[2] if h[0] else 0.0
-        elif action == "short":
-            posted = price * q * self.margin
-            h[3] = (h[3] * h[1] + price * q) / (h[1] + q)
-            h[1], h[4], self.margin_used = h[1] + q, h[4] + posted, self.margin_used + posted
-            self.cash = self.cash + price * q - posted
-        else:
-            released = q / h[1] * h[4]
-            h[6] += (h[3] - price) * q
-            h[1] -= q
-            h[4] = h[4] - released if h[1] else 0.0
-            h[3] = h[3] if h[1] else 0.0
-            self.margin_used -= released
-            self.cash = self.cash + released - q * price
-        return q
-
-
-STEP = "run_id long, seq long, ticker int, action string, price double, executed double, cash double, margin_used double, long double, short double"
-
-
-def steps(decisions: DataFrame, cash: float = 100_000.0, margin: float = 0.5) -> DataFrame:
-    """The state after each decision of run_id, seq, ticker, action, quantity, price."""
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        account, out = Account(cash, margin), []
-        for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
-            moved = account.trade(r.ticker, r.action, r.quantity if r.quantity == r.quantity else 0.0, r.price if r.price == r.price else 0.0)
-            h = account.held[r.ticker]
-            out.append((r.run_id, r.seq, r.ticker, r.action, r.price, moved, account.cash, account.margin_used, h[0], h[1]))
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in STEP.split(",")])
-
-    return decisions.select("run_id", "seq", "ticker", "action", "quantity", "price").groupBy("run_id").applyInPandas(replay, STEP)
+def steps(decisions: DataFrame, cash: float = 100_000.0, margin: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The state after each decision of run_id, seq, ticker, action, quantity, price, with the carried columns.
+
+    The same expression as in ``final_state``, which also appends what each step leaves.
+    """
+    after = ["x.seq", "x.t as ticker", "x.a as action", "x.p as price", "e as executed", "n.cash", "n.margin as margin_used", "n.l[x.t] as long", "n.s[x.t] as short", *(f"x.{c}" for c in carry)]
+    kinds = {"seq": "bigint", "ticker": "int", "action": "string", "price": "double", "executed": "double", "cash": "double", "margin_used": "double", "long": "double", "short": "double"} | {c: decisions.schema[c].dataType.simpleString() for c in carry}
+    hist = f"array<struct<{', '.join(f'{k}: {v}' for k, v in kinds.items())}>>"
+    pairs = ", ".join(f"'{k}', {x.split(' as ')[0]}" for k, x in zip(kinds, after, strict=True))
+    fields = ", ".join(f"'{k}', n.{k}" for k in (*_FIELDS, "executed"))
+    state = _folded(decisions, "array_max(transform(xs, x -> x.t)) + 1", cash, margin, carry, f"'hist', cast(array() as {hist})", lambda new: f"element_at(transform(array({new}), n -> named_struct({fields}, 'hist', array_append(s.hist, named_struct({pairs})))), 1)")
+    return state.select("run_id", F.inline("s.hist"))
 
 
 def opening_positions(lots: DataFrame, margin: float) -> DataFrame:

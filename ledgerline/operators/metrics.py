@@ -26,9 +26,9 @@ def performance(equity: DataFrame) -> DataFrame:
     return drawdowns(returns(equity)).groupBy("run_id").agg(sharpe().alias("sharpe"), sortino().alias("sortino"), worst.alias("w")).select("run_id", "sharpe", "sortino", (100 * F.col("w.drawdown")).alias("max_drawdown"), F.when(F.col("w.drawdown") < 0, F.col("w.date")).alias("max_drawdown_date"))
 
 
-def exposures(positions: DataFrame, by: list[str]) -> DataFrame:
-    """positions(…by, long, short, price) summed up: long, short, gross, net, and their ratio where there is a short side."""
-    sums = positions.groupBy(*by).agg(F.sum(F.col("long") * F.col("price")).alias("long_exposure"), F.sum(F.col("short") * F.col("price")).alias("short_exposure"))
+def exposures(positions: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """positions(…by, long, short, price) summed up: long, short, gross, net, and their ratio where there is a short side; and more aggregates."""
+    sums = positions.groupBy(*by).agg(F.sum(F.col("long") * F.col("price")).alias("long_exposure"), F.sum(F.col("short") * F.col("price")).alias("short_exposure"), *more)
     long, short = F.col("long_exposure"), F.col("short_exposure")
     return sums.withColumns({"gross_exposure": long + short, "net_exposure": long - short, "long_short_ratio": F.when(short > 1e-9, F.try_divide(long, short))})
 

@@ -28,11 +28,11 @@ def complete_days(priced: DataFrame, tickers: int) -> DataFrame:
     return priced.groupBy("date").agg(F.count_distinct("ticker").alias("n")).filter(F.col("n") == tickers).select("date")
 
 
-def trade_table(runs: DataFrame, priced: DataFrame, decisions: DataFrame) -> DataFrame:
+def trade_table(runs: DataFrame, calendar: DataFrame, priced: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every run's decision for every priced day and ticker, hold by default, in trading order."""
-    # one value for all runs: as many entries as the calendar has days times tickers
-    slots = runs.select("run_id", F.explode(priced.agg(F.collect_list(F.struct("date", "ticker", "close"))).scalar()).alias("p")).select("run_id", "p.*")
-    full = slots.join(decisions, ["run_id", "date", "ticker"], "left")
+    ends = [calendar.agg(f("date")).scalar() for f in (F.min, F.max)]
+    days = runs.select("run_id", F.explode(F.sequence(*ends)).alias("date"))  # as many as the calendar is long
+    full = days.join(priced, "date").join(decisions, ["run_id", "date", "ticker"], "left")
     seq = F.row_number().over(Window.partitionBy("run_id").orderBy("date", "ticker")).cast("long")
     return full.select("run_id", "date", "ticker", F.coalesce("action", F.lit("hold")).alias("action"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.col("close").alias("price")).withColumn("seq", seq)
 
@@ -41,11 +41,8 @@ def backtest(runs: DataFrame, calendar: DataFrame, prices: DataFrame, decisions:
     """Details (a row for each step), days (value and exposures) and one row of metrics for each run."""
     priced = asof_close(calendar, prices)
     priced = priced.join(complete_days(priced, tickers), "date", "left_semi")
-    trades = trade_table(runs, priced, decisions)
-    details = ledger.steps(trades, cash, margin).join(trades.select("run_id", "seq", "date"), ["run_id", "seq"])
-    exposed = metrics.exposures(details, ["run_id", "date"])
-    cash_left = details.groupBy("run_id", "date").agg(F.max_by("cash", "seq").alias("cash"))
-    days = cash_left.join(exposed, ["run_id", "date"]).withColumn("value", F.col("cash") + F.col("net_exposure"))
+    details = ledger.steps(trade_table(runs, calendar, priced, decisions), cash, margin, carry=("date",))
+    days = metrics.exposures(details, ["run_id", "date"], F.max_by("cash", "seq").alias("cash")).withColumn("value", F.col("cash") + F.col("net_exposure"))
     days = days.withColumn("portfolio_return", 100 * (F.col("value") / cash - 1))
     return details, days, metrics.performance(with_seed(days, calendar, cash)).join(last_exposures(days), "run_id")
 

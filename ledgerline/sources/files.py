@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +11,13 @@ from .. import schemas
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerline-shared")).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse, which executors share too."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerline").rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def rankings(spark: SparkSession, path: str) -> DataFrame:
@@ -38,9 +41,9 @@ def literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def model_catalog(spark: SparkSession, path: str | None, fallback: list[tuple[str, str, str]]) -> DataFrame:
-    """display_name, model_name, provider of a JSON file, or of the given rows where there is no path."""
+    """display_name, model_name, provider of a JSON file, or of the given rows where there is no such file."""
     schema = "display_name string, model_name string, provider string"
-    return spark.read.schema(schema).option("multiLine", True).json(path) if path else spark.createDataFrame(fallback, schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path) if path and exists(spark, path) else spark.createDataFrame(fallback, schema)
 
 
 def request_rows(bodies: DataFrame, column: str = "body", schema: str = schemas.BACKTEST_REQUEST) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.files import shared_dir
+from ..sources.files import exists, shared_dir
 
 START = "START"
 STATE = "flow_id long, agent string, status string, n long, last_id long, history string"
@@ -64,10 +64,10 @@ def latest_state_batch(events: DataFrame, keep: int = 50) -> DataFrame:
     w = Window.partitionBy("flow_id", "agent").orderBy("event_id")
     runs = events.withColumn("_run", F.count_if(F.col("status") == START).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last_run = runs.withColumn("_last", F.max("_run").over(Window.partitionBy("flow_id", "agent"))).filter("_run = _last")
-    every = F.array_sort(F.collect_list(F.struct("event_id", "status")))
-    out = last_run.groupBy("flow_id", "agent").agg(F.max_by("status", "event_id").alias("status"), F.count("*").alias("n"), F.max("event_id").alias("last_id"), every.alias("_all"))
-    last = F.slice("_all", F.greatest(F.size("_all") - keep, F.lit(0)) + 1, F.lit(keep))
-    return out.select("flow_id", "agent", "status", "n", "last_id", F.array_join(F.transform(last, lambda x: x["status"]), ",").alias("history"))
+    from_last = F.row_number().over(Window.partitionBy("flow_id", "agent").orderBy(F.desc("event_id")))
+    recent = F.array_sort(F.collect_list(F.when(F.col("_k") <= keep, F.struct("event_id", "status"))))
+    out = last_run.withColumn("_k", from_last).groupBy("flow_id", "agent").agg(F.max_by("status", "event_id").alias("status"), F.count("*").alias("n"), F.max("event_id").alias("last_id"), recent.alias("_last"))
+    return out.select("flow_id", "agent", "status", "n", "last_id", F.array_join(F.transform("_last", lambda x: x["status"]), ",").alias("history"))
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", at_end: Callable[[DataFrame], None] | None = None) -> DataFrame:
@@ -86,12 +86,8 @@ def drained(stream: DataFrame, name: str, mode: str = "append", at_end: Callable
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    try:
-        out = spark.read.schema(schema).parquet(f"{base}/rows/*")
-    except Exception:
-        if spark._jvm.org.apache.hadoop.fs.Path(f"{base}/rows").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/rows")):
-            raise
-        out = spark.createDataFrame([], schema)  # no batch at all
+    any_batch = exists(spark, f"{base}/rows")
+    out = spark.read.schema(schema).parquet(f"{base}/rows/*") if any_batch else spark.createDataFrame([], schema)
     if at_end:
         at_end(out)
     return out
