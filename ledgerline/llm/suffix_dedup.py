@@ -22,8 +22,8 @@ at these places (about one in 150 bytes at 400), and only where the gram itself
 4. A gram of more than ``together`` contexts does not fit a task. Its windows are
    halved by their offset, and each half is grouped by all the bytes that its windows
    have in common: by the next bytes beside the gram. Halves that are still too
-   large are halved again; windows of one offset are equal, so this ends. The same
-   sort then goes on in the parts.
+   large are halved again; windows of one offset are equal, so this ends (a context is in one
+   part for each of its offsets at most). The same sort then goes on in the parts.
 5. The repeated intervals of a document are merged and cut out.
 
 Null texts are empty; nothing is removed from texts shorter than ``length``. Equal
@@ -47,7 +47,7 @@ from .tables import dropped, folded, kept, map_batches, unfolded
 
 LENGTH = 400
 #: Contexts of a group that are sorted together at most.
-TOGETHER = 4_096
+TOGETHER = 16_384
 SHALLOW_BYTES = 32
 BLOCK_BYTES = 1_000_000
 SORT_ROWS = 20_000
@@ -299,7 +299,10 @@ def _binary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _sorted_out(rows: DataFrame, length: int, together: int) -> DataFrame:
-    """key, u, least, most: the offsets at which classes of contexts repeat; one class can have several rows."""
+    """key, u, least, most: the offsets at which classes of contexts repeat.
+
+    Windows of the least and the most offset overlap, so what is between them is repeated too.
+    """
     # windows of one offset are equal: two of them, which nothing can halve
     sizes = rows.filter("low < high").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > together)
     crowded = kept(sizes.select("key"), "crowded")
@@ -311,7 +314,7 @@ def _sorted_out(rows: DataFrame, length: int, together: int) -> DataFrame:
     one, other = (parts.groupBy("key", "u", "low", "high").agg(*ends, F.count("*").alias("n")) for ends in (least, most))
     children = kept(one.drop("n").unionByName(other.filter("n > 1").drop("n")).select(*_CONTEXT), "classes")
     of = parts.select("key", "u", "of_key", "of_u").distinct()
-    found = _sorted_out(children, length, together).join(of, ["key", "u"]).select(F.col("of_key").alias("key"), F.col("of_u").alias("u"), "least", "most")
+    found = _sorted_out(children, length, together).join(of, ["key", "u"]).groupBy(F.col("of_key").alias("key"), F.col("of_u").alias("u")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
     return kept(_sorted_in_tasks(fits, length).unionByName(found), "reaches")
 
 
