@@ -109,3 +109,19 @@ def confidence_badge(x: Column | str) -> Column:
 
 def progress_percent(done: Column | str, total: Column | str) -> Column:
     return F.coalesce(F.try_divide(_c(done) * 100.0, _c(total)), F.lit(0.0))
+
+
+def number_text(x: Column | str) -> Column:
+    """One decimal, or N/A."""
+    return F.coalesce(F.format_string("%.1f", F.bround(_c(x), 1)), F.lit("N/A"))
+
+
+def reasoning(investor: Column | str, signal: Column | str, score: Column | str) -> Column:
+    """A sentence for a signal; a missing score counts as 0."""
+    verdict = F.when(_c(signal) == "bullish", "convincing").when(_c(signal) == "bearish", "not convincing").otherwise("mixed")
+    return F.format_string("%s: %s at %.1f of 10", _c(investor), verdict, F.bround(F.coalesce(_c(score), F.lit(0.0)), 1))
+
+
+def new_id(key: Column | str, seed: Column | str) -> Column:
+    """key and six characters that depend on key and seed only."""
+    return F.concat(_c(key), F.lit("_"), F.substring(F.sha2(F.concat_ws(":", _c(key), _c(seed).cast("string")), 256), 1, 6))
