@@ -14,7 +14,8 @@ kept. All but the last return the columns of documents.
 5. best_fit_packing: the pieces of at most 1024 tokens and their places.
 
 SQL can't express stages 2 and 5 (a fitted model, a tokenizer), so ORACLE_SQL is
-None; the tests compare run() with brute-force versions of the stages.
+None; tests/llm/test_pipeline.py compares each stage's documents and texts with a
+brute-force version of it (of stage 2, with the verdicts of its scorer).
 """
 
 from __future__ import annotations

@@ -48,7 +48,8 @@ def label(key: Column | str, labels: dict[str, str]) -> Column:
 
 def percent_text(x: Column | str, signed: bool = False) -> Column:
     """One decimal, or N/A; rounded half-even first, as the formatter would round up."""
-    return F.coalesce(F.format_string("%+.1f%%" if signed else "%.1f%%", F.bround(_c(x), 1)), F.lit("N/A"))
+    text = F.format_string("%+.1f%%" if signed else "%.1f%%", F.bround(_c(x), 1))  # of null it makes the word null
+    return F.when(_c(x).isNull(), "N/A").otherwise(text)
 
 
 def clean_warning(x: Column | str) -> Column:
@@ -113,7 +114,7 @@ def progress_percent(done: Column | str, total: Column | str) -> Column:
 
 def number_text(x: Column | str) -> Column:
     """One decimal, or N/A."""
-    return F.coalesce(F.format_string("%.1f", F.bround(_c(x), 1)), F.lit("N/A"))
+    return F.when(_c(x).isNull(), "N/A").otherwise(F.format_string("%.1f", F.bround(_c(x), 1)))
 
 
 def reasoning(investor: Column | str, signal: Column | str, score: Column | str) -> Column:
