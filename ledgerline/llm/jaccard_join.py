@@ -4,8 +4,9 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
 
 1. In each of ``RUNS`` runs a set chooses the tokens whose hash is below
    ``CHOSEN / size``: sets that choose a token in common fall into its bucket. Two
-   sets of similarity 0.8 share 2.4 choices a run on average, so all runs together
-   miss them with a probability under exp(-14).
+   sets of similarity 0.8 share 2.4 choices a run on average, so the probability that
+   no run has them in a common bucket is under exp(-14). What the sketches below pass
+   over comes on top of it and is not part of this bound.
 2. Every member of a bucket is compared with the bucket's first by a sketch (the
    smallest hashes). Members that are like the first are connected with it, so that
    pairs of them need nothing else; every other pair of the bucket is compared: all
