@@ -28,6 +28,20 @@ WATERFALL = f"""{CONSENSUS}, inc AS (SELECT s.*, c.combined_confidence, c.bullis
  wf AS (SELECT *, CASE WHEN sum(w) OVER g > 35 THEN w * 35 / sum(w) OVER g ELSE w END AS weight FROM w1 WINDOW g AS (PARTITION BY run_id, sector)), pos AS (SELECT * FROM wf WHERE weight > 0)"""
 
 
+
+def _caps(passes: int = 20) -> str:
+    """The passes one after the other: a run without a change stays as it is in all later ones."""
+    base = """el AS (SELECT s.run_id, s.rank, s.ticker, s.sector AS g, coalesce(c.adjusted_confidence, 0) AS c FROM stocks s JOIN con c USING (run_id, ticker) WHERE included),
+ sh AS (SELECT *, coalesce(100 * c / nullif(sum(c) OVER (PARTITION BY run_id), 0), 0) AS share FROM el), p0 AS (SELECT run_id, rank, ticker, g, 100 * share / sum(share) OVER (PARTITION BY run_id) AS w FROM sh WHERE share >= 2)"""
+    one = """,
+ a{k} AS MATERIALIZED (SELECT run_id, rank, ticker, g, CASE WHEN sum(w) OVER q > 35.01 THEN w * 35 / sum(w) OVER q ELSE w END AS w FROM p{j} WINDOW q AS (PARTITION BY run_id, g)),
+ b{k} AS MATERIALIZED (SELECT run_id, rank, ticker, g, CASE WHEN w > 15.01 THEN 15.0 ELSE w END AS w, w > 15.01 AS high, coalesce(sum(w - 15) FILTER (w > 15.01) OVER (PARTITION BY run_id), 0) AS excess FROM a{k}),
+ d{k} AS MATERIALIZED (SELECT *, NOT high AND w < 14.99 AND sum(w) OVER (PARTITION BY run_id, g) < 34.99 AS free FROM b{k}),
+ f{k} AS MATERIALIZED (SELECT *, coalesce(sum(w) FILTER (free) OVER (PARTITION BY run_id), 0) AS total FROM d{k}),
+ p{k} AS MATERIALIZED (SELECT run_id, rank, ticker, g, CASE WHEN free AND excess > 0.01 AND total > 0.01 THEN w + excess * w / total ELSE w END AS w FROM f{k})"""
+    return f"WITH {CONSENSUS}, {base}" + "".join(one.format(j=k, k=k + 1) for k in range(passes)) + f" SELECT run_id, rank, ticker, round(w, 6) AS weight FROM p{passes}"
+
+
 def _consensus(spark, d) -> DataFrame:
     return S.consensus(S.evaluated(fx.scores(spark, d)))
 
@@ -207,7 +221,7 @@ QUERIES = {
     "f07_majority_of_seven": (f07, """WITH s AS (SELECT CAST(user_id % 7 AS INT) AS agent, CAST(event_id % 50 AS INT) AS ticker, CASE WHEN event_type IN ('purchase', 'signup') THEN 'bullish' WHEN event_type = 'error' THEN 'bearish' WHEN event_type = 'view' THEN 'neutral' ELSE 'unsure' END AS g, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS c FROM events),
  l AS (SELECT ticker, agent, arg_max(g, (c, g)) AS g FROM s GROUP BY 1, 2) SELECT ticker, count(*) FILTER (g = 'bullish') AS bullish_count FROM l GROUP BY 1 HAVING count(*) FILTER (g = 'bullish') >= 4"""),
     "o08_waterfall": (o08, _sql("SELECT run_id, rank, ticker, round(weight, 6) AS weight FROM wf")),
-    "o09_iterative_caps": (o09, None),
+    "o09_iterative_caps": (o09, _caps()),
     "w06_rank_by_weight": (w06, _sql(f", {_PLACED} SELECT run_id, ticker, place FROM pl")),
     "a17_weighted_avg": (a17, _sql(f"SELECT run_id, round({_WAVG('expected_return')}, 6) AS expected_return, round({_WAVG('pe')}, 6) AS pe, round(avg(expected_return), 6) AS plain_return FROM pos GROUP BY 1")),
     "a18_cap_buckets": (a18, _sql(f", {_CASH} SELECT run_id, {_BUCKET} AS bucket, round(sum(weight), 6) AS weight FROM pos GROUP BY 1, 2 UNION ALL SELECT run_id, 'cash', round(weight, 6) FROM cash WHERE weight > 0.01")),
