@@ -2,15 +2,15 @@
 
 A batch's bytes are split into pre-tokens with numpy; only pre-tokens that were
 not met before go to the tokenizers library, and a batch's ids are gathered from
-those results. Rows with characters outside ``PLAIN`` or with a marker that could
-be a special token go to the library as they are, so the ids are the library's
-own for every text.
+those results. Of a row with characters outside ``PLAIN``, or with a marker that could
+be a special token, only the stretches between white space that hold them go to the
+library as they are; so the ids are the library's own for every text.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -23,7 +23,13 @@ from .ragged import blocks, gather, prefix_hash, span_hash
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Code points that are split here: all Unicode versions agree on their classes and case.
-PLAIN = [(0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x239), (0x23B, 0x23D), (0x23F, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E)]
+PLAIN = [
+    (0x09, 0x0D), (0x20, 0x7E), (0xA0, 0x12F), (0x131, 0x239), (0x23B, 0x23D), (0x23F, 0x24F),
+    (0x388, 0x38A), (0x38C, 0x38C), (0x38E, 0x3A1), (0x3A3, 0x3CE), (0x400, 0x45F), (0x490, 0x4BF), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x660, 0x669),
+    (0x2010, 0x2027), (0x202F, 0x205E), (0x20A0, 0x20BF), (0x2122, 0x2122), (0x2190, 0x2328), (0x2500, 0x27BF),
+    (0x3000, 0x3003), (0x3008, 0x3011), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x30FC, 0x30FE), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+    (0xFE0F, 0xFE0F), (0x1F300, 0x1FAFF),
+]
 #: Pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 #: Pre-tokens that the library gets as one text where nothing can join them.
@@ -32,7 +38,7 @@ BLOCK_BYTES = 2_000_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    kind, lower = np.zeros(0x10000, np.uint8), np.arange(0x800, dtype=np.uint16)
+    kind, lower = np.zeros(0x20000, np.uint8), np.arange(0x800, dtype=np.uint16)
     for first, last in PLAIN:
         for cp in range(first, last + 1):
             c = chr(cp)
@@ -59,6 +65,9 @@ def classes(data: np.ndarray) -> np.ndarray:
         three = high[(data[high] >= 0xE0) & (data[high] < 0xF0) & (high + 2 < n)]
         cp = ((data[three] & 0x0F).astype(np.uint32) << 12) | (wide[three + 1] << 6) | wide[three + 2]
         kind[three] = kind[three + 1] = kind[three + 2] = _KIND[cp]
+        four = high[(data[high] >= 0xF0) & (high + 3 < n)]
+        cp = ((data[four] & 0x07).astype(np.uint32) << 18) | (wide[four + 1] << 12) | (wide[four + 2] << 6) | wide[four + 3]
+        kind[four] = kind[four + 1] = kind[four + 2] = kind[four + 3] = np.where(cp < len(_KIND), _KIND[np.minimum(cp, len(_KIND) - 1)], 0)
     return kind
 
 
@@ -100,7 +109,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, style: st
     if style == "byte":
         quote = quote[row_start[quote] | (data[quote - 1] != 32)]
         last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])  # last white space before something else
-        start[last] = True
+        start[np.maximum.accumulate(np.where(lead, np.arange(n), 0))[last]] = True
         start[last[data[last] == 32] + 1] = False
     if quote.size:
         one, two = data[quote + 1], np.minimum(quote + 2, n - 1)
@@ -129,6 +138,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        if any(not t.content.startswith("<|") or t.content.split() != [t.content] or t.lstrip or t.rstrip or t.single_word for t in special):
+            raise ValueError(f"{path}: special tokens other than <|word|>")
         self.style = style
         self.forget()
 
@@ -210,43 +222,41 @@ class Encoder:
             np.cumsum(np.concatenate(sizes), out=total[1:])
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), total
 
-    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kind = classes(data)
-        plain = plain_rows(data, offsets, kind)
-        if plain.all():
-            return self._plain(data, offsets, kind)
-        parts, sizes = [], []
-        for i, j, easy in runs(plain):
-            a, b = offsets[i], offsets[j]
-            if easy:
-                ids, at = self._plain(data[a:b], offsets[i : j + 1] - a, kind[a:b])
-                parts.append(ids)
-                sizes += np.diff(at).tolist()
-            else:
-                for k in range(i, j):
-                    parts.append(np.array(self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32))
-                    sizes.append(len(parts[-1]))
-        at = np.zeros(len(offsets), np.int64)
-        np.cumsum(sizes, out=at[1:])
-        return np.concatenate(parts), at
+    def whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of texts one after the other, and how many each has."""
+        return self._alone([t.decode() for t in texts])
 
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return in_parts(data, offsets, self._plain, self.whole)
 
-def runs(flags: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Maximal ranges of equal flags."""
-    edge = [0, *(np.flatnonzero(np.diff(flags)) + 1).tolist(), len(flags)]
-    for i, j in zip(edge, edge[1:], strict=False):
-        if j > i:
-            yield i, j, bool(flags[i])
 
+def in_parts(data: np.ndarray, offsets: np.ndarray, plain: Callable, other: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """What ``plain(data, offsets, kind)`` gives for rows, as values and offsets; for stretches that are not plain, what ``other(texts)`` gives.
 
-def plain_rows(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Which rows have only characters of ``PLAIN`` and no ``<|``."""
+    Stretches end where a space follows a plain character that is none: every
+    splitter here cuts there, no normaliser joins over it, no special token spans it.
+    """
+    kind = classes(data)
     bad = kind == 0
     if len(data) > 1:
         bad[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
-    before = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(bad, out=before[1:])
-    return before[offsets[1:]] == before[offsets[:-1]]
+    at = np.flatnonzero(bad)
+    if not len(at):
+        return plain(data, offsets, kind)
+    places = np.union1d(offsets, np.flatnonzero((data[1:] == 32) & (kind[:-1] != SPACE) & (kind[:-1] != 0)) + 1)
+    after = np.searchsorted(places, at, "right")
+    cuts = np.unique(np.concatenate([offsets, places[after - 1], places[after]]))
+    easy = np.ones(len(cuts) - 1, bool)
+    easy[np.searchsorted(cuts, at, "right") - 1] = False
+    begin, size = cuts[:-1], np.diff(cuts)
+    rest, rest_at = gather(data, begin[easy], size[easy])
+    values, ends = plain(rest, rest_at, gather(kind, begin[easy], size[easy])[0])
+    more, many = other([data[a : a + n].tobytes() for a, n in zip(begin[~easy].tolist(), size[~easy].tolist(), strict=True)])
+    start, count = np.zeros(len(easy), np.int64), np.zeros(len(easy), np.int64)
+    start[easy], count[easy] = ends[:-1], np.diff(ends)
+    start[~easy], count[~easy] = len(values) + np.cumsum(many) - many, many
+    out, ends = gather(np.concatenate([values, more]), start, count)
+    return out, ends[np.searchsorted(cuts, offsets)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

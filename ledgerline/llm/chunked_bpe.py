@@ -15,8 +15,8 @@ safe place whatever precedes it, and what begins there depends on nothing before
 it. The comparison finds it out if a file's splitter is another one.) Chunks
 without a safe place fall wholly into the window.
 
-Null texts count as empty. Texts that the splitter doesn't cover go to the
-tokenizers library as they are (see ``bpe``).
+Null texts count as empty. Stretches of a text that the splitter doesn't cover go
+to the tokenizers library as they are (see ``bpe``).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import BLOCK_BYTES, SPACE, Encoder, classes, plain_rows, pretokens, runs
+from .bpe import BLOCK_BYTES, SPACE, Encoder, in_parts, pretokens
 from .ragged import U64, blocks, from_arrow, gather, prefix_hash, span_hash
 from .tables import map_batches
 from .token_counts import byte_symbols
@@ -165,16 +165,8 @@ class ChunkEncoder:
         out: list[np.ndarray] = []
         for i, j in blocks(offsets, BLOCK_BYTES):
             a, b = offsets[i], offsets[j]
-            part, at = data[a:b], offsets[i : j + 1] - a
-            kind = classes(part)
-            plain = plain_rows(part, at, kind)
-            for low, high, easy in runs(plain):
-                a, b = at[low], at[high]
-                if easy:
-                    ids, ends = self._block(part[a:b], at[low : high + 1] - a, kind[a:b])
-                    out += np.split(ids, ends[1:-1])
-                else:
-                    out += [np.array(self.words.tokenizer.encode(part[at[k] : at[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for k in range(low, high)]
+            ids, ends = in_parts(data[a:b], offsets[i : j + 1] - a, self._block, self.words.whole)
+            out += np.split(ids, ends[1:-1])
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -5,20 +5,21 @@ symbols. In each round every sequence merges all places of its own lowest-rank
 pair at once; a sequence without a mergeable pair leaves with the number of its
 surviving symbols. Work is per row; nothing is shuffled.
 
-Null texts count as empty (0 bytes, 0 tokens). Texts with characters that the
-splitter doesn't cover, or with a special token's marker, are counted by the
-tokenizers library itself.
+Null texts count as empty (0 bytes, 0 tokens). Stretches with characters that the
+splitter doesn't cover are split by the tokenizers library, but merged here; a
+special token in a text is one token.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import BLOCK_BYTES, REMEMBERED, Encoder, classes, plain_rows, pretokens
+from .bpe import BLOCK_BYTES, REMEMBERED, Encoder, in_parts, pretokens
 from .ragged import blocks, from_arrow, gather, prefix_hash, span_hash
 from .tables import map_batches
 
@@ -95,6 +96,8 @@ class PairMerger:
 class Counter:
     def __init__(self, path: str) -> None:
         self.merger, self.library = PairMerger(path), Encoder(path, "byte").tokenizer
+        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.known: dict[int, int] = {}
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,28 +108,45 @@ class Counter:
         return out
 
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        kind = classes(data)
-        plain = plain_rows(data, offsets, kind)
-        begin, end = pretokens(data, offsets, np.where(kind == 0, 4, kind), "byte")
-        row = np.searchsorted(offsets, begin, "right") - 1
-        begin, end, row = (x[plain[row]] for x in (begin, end, row))
-        out = np.zeros(len(offsets) - 1, np.int64)
-        if len(begin):
-            distinct, where, inverse = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-            if len(self.known) + len(distinct) > REMEMBERED:
-                self.known.clear()
-            keys = distinct.tolist()
-            new = [i for i, h in enumerate(keys) if h not in self.known]
-            if new:
-                at = where[new]
-                words, _ = gather(data, begin[at], (end - begin)[at])
-                self.known.update(zip([keys[i] for i in new], self.merger.count(words, (end - begin)[at]).tolist(), strict=True))
-            counts = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-            out += np.bincount(row, counts, len(out)).astype(np.int64)
-        for i in np.flatnonzero(~plain):
-            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-            out[i] = len(self.library.encode(text, add_special_tokens=False).ids)
-        return out
+        """The tokens of every row: as many as the pre-tokens' counts add up to."""
+        counts, at = in_parts(data, offsets, self._plain, self._other)
+        before = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=before[1:])
+        return before[at[1:]] - before[at[:-1]]
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = pretokens(data, offsets, kind, "byte")
+        return self._merged(data, begin, end), np.searchsorted(begin, offsets)
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The tokens of each pre-token."""
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        distinct, where, inverse = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > REMEMBERED:
+            self.known.clear()
+        keys = distinct.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.known]
+        if new:
+            at = where[new]
+            words, _ = gather(data, begin[at], (end - begin)[at])
+            self.known.update(zip([keys[i] for i in new], self.merger.count(words, (end - begin)[at]).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+
+    def _other(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the parts of each text (pre-tokens, and its special tokens together), and how many parts it has."""
+        sizes, parts, specials, merged = [], [], [], []
+        for text in texts:
+            between = self.special.split(text.decode())
+            merged += [t.encode() for t in between]
+            split = [len(piece) for t in between for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(t)]  # a character stands for a byte
+            sizes += split
+            parts.append(len(split) + 1)
+            specials.append(len(between) - 1)
+        end = np.cumsum(np.array(sizes, np.int64))
+        counts = self._merged(np.frombuffer(b"".join(merged), np.uint8), end - np.array(sizes, np.int64), end)
+        many = np.array(parts, np.int64)
+        return np.insert(counts, np.cumsum(many - 1), specials), many
 
 
 _counters: dict[str, Counter] = {}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerline.llm import chunked_bpe, packing, token_counts, wavelet
+from ledgerline.llm import bpe, chunked_bpe, packing, token_counts, wavelet
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -51,6 +52,44 @@ def test_a_join_that_disagrees_is_encoded_with_the_whole_text(texts, monkeypatch
     assert [x.tolist() for x in coder.encode(data, offsets)] == [library(BYTE, t.decode()) for t in raw] and grown
 
 
+def as_rows(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def equal_to_library(texts):
+    data, offsets = as_rows(texts)
+    want = [library_of(p).encode_batch(texts, add_special_tokens=False) for p in (BYTE, WORD)]
+    for path, style, found in ((BYTE, "byte", want[0]), (WORD, "word", want[1])):
+        ids, at = bpe.Encoder(path, style).encode(data, offsets)
+        assert [x.tolist() for x in np.split(ids, at[1:-1])] == [e.ids for e in found]
+    assert token_counts.Counter(BYTE).count(data, offsets).tolist() == [len(e.ids) for e in want[0]]
+    assert [x.tolist() for x in chunked_bpe.ChunkEncoder(BYTE).encode(data, offsets)] == [e.ids for e in want[0]]
+
+
+def library_of(path):
+    return Tokenizer.from_file(path)
+
+
+def test_every_plain_character_is_split_as_in_the_library():
+    points = [c for first, last in bpe.PLAIN for c in range(first, last + 1) if not 0x4E00 <= c <= 0xD7A3 or c % 17 == 0]
+    equal_to_library([f"a{chr(c)}b {chr(c)} {chr(c)}1 {chr(c) * 2}x\n{chr(c)}'s" for c in points])
+
+
+def test_texts_of_all_scripts_and_markers():
+    rng = random.Random(5)
+    pool = [*"ab 'st   \n\t1.!", *"\xa0\u3000\u2003\x85漢ыЖΣ한कﬁİ😀é", "e\u0301", "\u200d", "\u1112\u1161", "\U00020000", "\u212a", "re", "'ll", "<|", "|>", "<|endoftext|>", "<|startoftext|>"]
+    equal_to_library(["".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 5, 20, 200]))) for _ in range(2000)])
+
+
+def test_only_stretches_that_are_not_plain_go_to_the_library(monkeypatch):
+    coder = bpe.Encoder(BYTE, "byte")
+    seen, whole = [], coder.whole
+    monkeypatch.setattr(coder, "whole", lambda texts: seen.extend(texts) or whole(texts))
+    coder.encode(*as_rows(["plain words before \u0915\u093f here <|x and after", "", "all plain 漢字 ы"]))
+    assert seen == [" \u0915\u093f here".encode(), b" <|x"]
+
+
 def test_round_trip_digests(docs):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in chunked_bpe.round_trip(docs, BYTE).collect()}
     tok = Tokenizer.from_file(BYTE)
