@@ -175,12 +175,17 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)  # bounded, so it can be broadcast
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(*from_arrow(batch.column(1)))
-        at = pa.array(x.offsets.astype(np.int32))
-        stats = pa.FixedSizeListArray.from_arrays(pa.array(x.statistics.ravel()), len(STATISTICS)).cast(pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, pa.array(x.bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(x.value)), stats], ["doc_id", "_y", "bucket", "value", "stats"])
-
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
+        data, offsets = from_arrow(batch.column(1))
+        parts = []
+        for i, j in blocks(offsets, BLOCK_BYTES):
+            x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at = pa.array(x.offsets.astype(np.int32))
+            stats = pa.FixedSizeListArray.from_arrays(pa.array(x.statistics.ravel()), len(STATISTICS)).cast(pa.list_(pa.float32()))
+            parts.append([pa.ListArray.from_arrays(at, pa.array(x.bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(x.value)), stats])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.concat_arrays, zip(*parts, strict=True))], ["doc_id", "_y", "bucket", "value", "stats"])
+
+    # of rows that share an id the smallest text, so the sample stays bounded
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).select("doc_id", "text", "_y")
     rows_of = map_batches(chosen, work, "doc_id long, _y int, bucket array<int>, value array<float>, stats array<float>")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

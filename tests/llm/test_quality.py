@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,27 @@ def test_scores_separate_held_out_rows(spark):
     assert {r.h for r in out.filter("doc_id = 5").select(F.col("held_out").alias("h")).collect()} == {__import__("zlib").crc32(b"5") % 5 == 0}
 
 
+def test_query_equals_brute_force(spark):
+    texts = [" ".join(f"word{(i * k) % 50}" for k in range(60)) if i % 3 else "BUY!! " * 20 + f"### $$$ {i}" for i in range(120)]
+    rows = [*enumerate(texts), (200, None), (201, ""), (202, "long " * 30_000), (3, texts[0]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)] + [(3, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    m = quality_model.train(docs, labels)
+    want = {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        x = quality_model.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        parts = np.concatenate([m.words[x.bucket] * x.value[:, None], m.statistics * x.statistics[0][:, None]]).astype(float)
+        pairs = sum(parts[a, 1:] @ parts[b, 1:] for a in range(len(parts)) for b in range(a))
+        want.setdefault(i, []).append(1 / (1 + np.exp(-(parts[:, 0].sum() + pairs))))
+    got = {}
+    for r in quality_model.quality_scores(docs, labels).collect():
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-3) for i in got)
+
+
 def test_without_labels_all_scores_are_half(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_model.quality_scores(docs, none).filter("score <> 0.5").count() == 0
