@@ -16,9 +16,10 @@ A text is the set of its word five-grams. Texts with equal sets are one node.
    task's; a larger one is dealt by these rarest values, and what is still larger in
    pairs of blocks. Sketches let pass everything that can be similar, and leave stars
    of edges, not pairs.
-3. Connected candidates are then compared exactly, all with all, by their whole
-   sets: a component of more than ``BLOCK`` in pairs of blocks. Links are counted in
-   the tasks, not listed.
+3. Connected candidates are then compared exactly by their whole sets, a component
+   of more than ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens in pairs of blocks. Within a
+   task sets are in order of size, and those of sizes that can't be similar are not
+   compared. Links are counted in the tasks, not listed.
 
 Words are runs of other bytes than ASCII white space. A text of one to four words
 has one token, all its words. Null and empty texts have no token and no link.
@@ -43,7 +44,9 @@ SKETCH = 64
 #: Of SKETCH smallest hashes, the share that two candidates have in common at least (similar sets have 0.8 or
 #: more, give or take 0.05).
 LOOSE = 0.5
-BUCKET, BLOCK = 512, 256
+BUCKET = 512
+#: Sets and tokens that a component has up to which one task compares it, and sets compared at a time.
+BLOCK, BLOCK_TOKENS, STEP = 1_024, 2_000_000, 256
 #: Members (of less than 1 KB each) up to which a bucket is compared within one task.
 IN_TASK = 20_000
 #: Members that a large bucket's others are compared with before the prefix filter, and entries it looks at at a time.
@@ -137,20 +140,21 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _common_counts(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """How many values each two of n sets have in common; flat holds the sets' values."""
+def _common_counts(flat: np.ndarray, owner: np.ndarray, n: int, left: int | None = None) -> np.ndarray:
+    """How many values each two of n sets have in common, or each of the ``left`` first with each other one; flat holds the sets' values."""
     _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
     use = count[code] > 1
     number = np.cumsum(count > 1) - 1
     column, row = number[code[use]], owner[use]
-    out = np.zeros((n, n), np.float32)
+    rows, columns = (slice(None), slice(None)) if left is None else (slice(left), slice(left, n))
+    out = np.zeros((n, n), np.float32)[rows, columns].copy()
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [low, low + 4096])
         m = np.zeros((n, 4096), np.float32)
         m[row[a:b], column[a:b] - low] = 1
-        out += m @ m.T
+        out += m[rows] @ m[columns].T
     return out
 
 
@@ -283,9 +287,8 @@ def _bucket_edges(table: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _in_blocks(rows: DataFrame, size: str, block: int, whole: Column) -> DataFrame:
-    """Rows of a group, sent to every pair of blocks (i <= j) that they are part of, with their own block; a whole group is one block."""
-    parts = F.when(whole, 1).otherwise(F.ceil(F.col(size) / block))
+def _in_blocks(rows: DataFrame, parts: Column) -> DataFrame:
+    """Rows of a group of so many blocks, sent to every pair of blocks (i <= j) that they are part of, with their own block."""
     own = rows.withColumns({"own": F.pmod(F.xxhash64("cid"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))})
     return own.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
@@ -325,7 +328,8 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         dealt = kept(dealt.select(F.xxhash64("path", "value").alias("path"), "cid", "like"), "dealt")
         tiles = tiles.unionByName(dealt.join(sizes(dealt), "path"))
     # what is not whole goes in pairs of blocks that fit a task
-    tiles = _in_blocks(tiles, "size", max(IN_TASK // 2, 1), F.col("size") <= IN_TASK).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch", "like")
+    parts = F.when(F.col("size") <= IN_TASK, 1).otherwise(F.ceil(F.col("size") / max(IN_TASK // 2, 1)))
+    tiles = _in_blocks(tiles, parts).join(sketches, "cid").select("path", "i", "j", "cid", "n", "sketch", "like")
     found = kept(map_groups(tiles, ["path", "i", "j"], _bucket_edges, "u long, v long"), "found")
     return judged.select(F.col("cid").alias("u"), F.col("first").alias("v")).unionByName(found)
 
@@ -341,15 +345,35 @@ def _exact_links(table: pa.Table) -> pa.RecordBatch | None:
         if n < 2:
             continue
         size = np.diff(at[a : b + 1])
-        common = np.rint(_common_counts(flat[at[a] : at[b]], np.repeat(np.arange(n), size), n)).astype(np.int64)
-        similar = DENOMINATOR * common >= NUMERATOR * (size[:, None] + size[None, :] - common)
-        np.fill_diagonal(similar, False)
-        if own[a:b].min() != own[a:b].max():  # pairs within one block are another task's
-            similar &= own[a:b][:, None] != own[a:b][None, :]
-        some = np.flatnonzero(similar.any(axis=1))
+        counted, root = np.zeros(n, np.int64), np.arange(n)
+        two = own[a:b].min() != own[a:b].max()  # pairs within one block are another task's
+        order = np.lexsort((size, own[a:b]))
+        cuts = np.searchsorted(own[a:b][order], [own[a:b].max()]) if two else []
+        steps = [part[k : k + STEP] for part in np.split(order, cuts) for k in range(0, len(part), STEP)]
+        for y, right in enumerate(steps):
+            for left in steps[: y + 1]:
+                if two and own[a + left[0]] == own[a + right[0]]:
+                    continue
+                low, high = (left, right) if size[left[0]] <= size[right[0]] else (right, left)
+                if DENOMINATOR * size[low[-1]] < NUMERATOR * size[high[0]]:
+                    continue
+                same = left is right
+                rows = left if same else np.concatenate([left, right])
+                tokens, ends = gather(flat, at[a + rows], size[rows])
+                owner = np.repeat(np.arange(len(rows)), np.diff(ends))
+                common = np.rint(_common_counts(tokens, owner, len(rows), None if same else len(left))).astype(np.int64)
+                similar = DENOMINATOR * common >= NUMERATOR * (size[left][:, None] + size[right][None, :] - common)
+                if same:
+                    np.fill_diagonal(similar, False)
+                counted[left] += similar @ copies[a + right]
+                if not same:
+                    counted[right] += similar.T @ copies[a + left]
+                x, z = np.nonzero(similar)
+                tied = np.unique(root[left[x]] * n + root[right[z]])
+                root = _roots(n, np.stack(np.divmod(tied, n), 1))[root]
+        some = np.flatnonzero(counted)
         if len(some):
-            root = _roots(n, np.argwhere(np.triu(similar)))
-            found.append((cid[a:b][some], similar[some] @ copies[a:b], cid[a:b][root[some]]))
+            found.append((cid[a:b][some], counted[some], cid[a:b][root[some]]))
     if not found:
         return None
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(3)], ["cid", "links", "root"])
@@ -381,14 +405,15 @@ def links(docs: DataFrame) -> DataFrame:
     rows = kept(described(docs), "sets")
     nodes = kept(rows.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "_c")).alias("one"), F.min("doc_id").alias("set_id")), "nodes")
     parts = components(candidate_edges(nodes)).withColumnRenamed("node", "cid")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    near = kept(nodes.select("cid", "copies", "one").join(parts.join(sizes, "component"), "cid"), "near")
+    near = kept(nodes.select("cid", "copies", "one", "n").join(parts, "cid"), "near")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    near = near.join(near.groupBy("component").agg(parts.alias("parts")), "component")
     texts = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_c")).alias("one"), "text")
     by_id = F.col("t.one.doc_id").eqNullSafe(F.col("w.one.doc_id")) & (F.col("t.one._c") == F.col("w.one._c"))
-    sets = _token_lists(texts.alias("t").join(near.alias("w").hint("merge"), by_id).select("text", "cid", "copies", "component", "size").dropDuplicates(["cid"]))
-    tiles = _in_blocks(sets, "size", BLOCK, F.lit(False)).select("component", "i", "j", "cid", "own", "copies", "size", "tokens")
+    sets = _token_lists(texts.alias("t").join(near.alias("w").hint("merge"), by_id).select("text", "cid", "copies", "component", "parts").dropDuplicates(["cid"]))
+    tiles = _in_blocks(sets, F.col("parts")).select("component", "i", "j", "cid", "own", "copies", "tokens")
     found = kept(map_groups(tiles, ["component", "i", "j"], _exact_links, "cid long, links long, root long", rows=2_000), "links")
-    many = near.filter(F.col("size") > BLOCK).select("cid")
+    many = near.filter("parts > 1").select("cid")
     if many.take(1):  # a class can reach over several block pairs
         wide = found.join(many, "cid")
         linked = components(wide.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), F.col("component").alias("root2"))

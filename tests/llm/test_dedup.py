@@ -107,6 +107,7 @@ def test_large_bucket_paths(docs, monkeypatch):
     want = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()}
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "STEP", 1)
     monkeypatch.setattr(jaccard_join, "IN_TASK", 2)
     assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(docs).collect()} == want
 
@@ -155,7 +156,7 @@ def test_a_large_bucket_loses_no_pair(spark, monkeypatch):
 
 
 def test_a_bucket_larger_than_a_task_loses_no_pair(spark, monkeypatch):
-    nodes = near_pairs(spark).withColumn("chosen", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    nodes = near_pairs(spark).withColumn("chosen", F.array(F.lit(1).cast("long"))).cache()
     of = {r.cid: r.doc_id for r in nodes.collect()}
     monkeypatch.setattr(jaccard_join, "BUCKET", 4)
     monkeypatch.setattr(jaccard_join, "IN_TASK", 40)
@@ -185,6 +186,23 @@ def test_sparse_and_dense_comparison_of_many_agree():
     assert roots[0] == roots[1] and 1 < len(set(roots[0])) < 900
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_exact_links_of_a_component_equal_brute_force(monkeypatch, blocks):
+    r = np.random.default_rng(17)
+    base = r.integers(0, 1 << 40, 400)
+    sets = [np.unique(np.concatenate([base[: r.integers(60, 400)], r.integers(0, 1 << 40, r.integers(0, 40))])) for _ in range(70)]
+    own, copies = r.integers(0, blocks, 70), r.integers(1, 4, 70)
+    table = pa.table({"component": np.zeros(70, np.int64), "i": np.zeros(70, np.int32), "j": np.full(70, blocks - 1, np.int32), "cid": np.arange(70), "own": own.astype(np.int32), "copies": copies, "tokens": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+    meets = [[a != b and (blocks == 1 or own[a] != own[b]) and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    root = jaccard_join._roots(70, np.argwhere(meets))
+    want = sorted((a, int(np.dot(meets[a], copies)), int(root[a])) for a in range(70) if any(meets[a]))
+    monkeypatch.setattr(jaccard_join, "STEP", 9)
+    got = jaccard_join._exact_links(table).to_pydict()
+    classes = dict(zip(got["cid"], got["root"], strict=True))
+    assert sorted(zip(got["cid"], got["links"], strict=True)) == [(a, n) for a, n, _ in want]
+    assert all((classes[a] == classes[b]) == (x == y) for a, _, x in want for b, _, y in want)
+
+
 def test_one_of_each_class(docs):
     out = jaccard_join.one_of_each(docs)
     assert out.columns == docs.columns
