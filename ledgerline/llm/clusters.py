@@ -57,17 +57,19 @@ class Centroids:
         order = np.argsort(c, axis=0, kind="stable")
         return c, order.T.copy(), np.take_along_axis(c, order, axis=0).T.copy()
 
-    def nearest(self, p: np.ndarray) -> tuple[np.ndarray, list[int] | np.ndarray]:
-        """The nearest centroid of each row of p (int64), the smaller number of ties, and its squared distance."""
+    def nearest(self, p: np.ndarray, distances: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each row of p (int64), the smaller number of ties, and its squared distance unless they aren't wanted."""
         found, distance = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         wide = np.ones(len(p), bool) if not self.narrow else (p.max(axis=1) >= self.safe) | (p.min(axis=1) <= -self.safe)
         for kind, rows in ((np.int64, np.flatnonzero(~wide)), (object, np.flatnonzero(wide))):
             for i in range(0, len(rows), TOGETHER):
                 part = rows[i : i + TOGETHER]
                 at, d = self._walk(p[part].astype(kind), kind)
-                if kind is object and max(d) >= 1 << 63:
-                    raise OverflowError("a squared distance doesn't fit in a long")
-                found[part], distance[part] = at, d.astype(np.int64)
+                found[part] = at
+                if distances:
+                    if kind is object and max(d) >= 1 << 63:
+                        raise OverflowError("a squared distance doesn't fit in a long")
+                    distance[part] = d.astype(np.int64)
         return found, distance
 
     def _walk(self, p: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def _moved(vectors: DataFrame, centroids: Centroids) -> Centroids:
             p = _matrix(batch.column(1), dims)
             if not len(p):
                 continue
-            at, _ = held.value.nearest(p)
+            at, _ = held.value.nearest(p, distances=False)
             exact = p if max(int(p.max()), -int(p.min())) < (1 << 62) // len(p) else p.astype(object)
             for number in np.unique(at).tolist():
                 own = exact[at == number]
