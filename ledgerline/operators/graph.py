@@ -8,31 +8,24 @@ written to the shared folder, so a lost executor costs no earlier round.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_agent_key, risk_manager_id
-from ..sources.files import shared_dir
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.files import settled
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """id, depth of the nodes that starts(id) lead to, themselves at depth 0."""
-    seen = _settled(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = settled(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in itertools.count(1):
         step = edges.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        front = _settled(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        front = settled(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
             return seen
-        seen = _settled(seen.unionByName(front))
+        seen = settled(seen.unionByName(front))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -79,10 +72,10 @@ def levels(edges: DataFrame, roots: DataFrame, rounds: int = 1_000) -> DataFrame
     best = roots.select("id").distinct().withColumn("level", F.lit(0))
     front = best
     for _ in range(rounds):
-        front = _settled(edges.join(front.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("level")))
+        front = settled(edges.join(front.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("level")))
         if not front.take(1):
             return best
-        best = _settled(best.unionByName(front).groupBy("id").agg(F.max("level").alias("level")))
+        best = settled(best.unionByName(front).groupBy("id").agg(F.max("level").alias("level")))
     raise ValueError("the graph has a cycle or a path beyond the rounds")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,55 @@ from .. import schemas
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse, which executors share too."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerline").rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse.
 
+    Without that setting the warehouse has to be a folder that executors share too: on a
+    cluster, one of the driver's own machine is an error.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and re.match(r"file:|/", warehouse):
+        raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is a folder of the driver's machine")
+    return f"{warehouse}/_ledgerline"
 
-def exists(spark: SparkSession, path: str) -> bool:
+
+def place(spark: SparkSession, path: str):
+    """A path and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, system = place(spark, path)
+    system.deleteOnExit(at)
+    return path
+
+
+def settled(df: DataFrame, name: str = "round") -> DataFrame:
+    """df, computed once: written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = place(spark, path)
+    return system.exists(at)
+
+
+def marked(spark: SparkSession, path: str) -> None:
+    """An empty file at path."""
+    at, system = place(spark, path)
+    system.create(at, True).close()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The sorted names in a folder; none if there is no such folder."""
+    at, system = place(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(at)) if system.exists(at) else []
 
 
 def rankings(spark: SparkSession, path: str) -> DataFrame:

@@ -1,25 +1,18 @@
-"""Progress events as streams: deduplication, keyed state, bounded history, ends and expiry.
+"""Progress events as streams: deduplication, results of drained streams, cancellation, ticks.
 
-Events have flow_id, agent, status, ts (a timestamp) and event_id, which orders
-them. Every operator has a batch twin that gives the same final rows.
+Keyed state is in ``state``, a run's events from start to end in ``bus``.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..sources.files import exists, shared_dir
-
-START = "START"
-STATE = "flow_id long, agent string, status string, n long, last_id long, history string"
 
+from ..sources.files import exists, shared_path
+from .state import state_settings
 
 def distinct_events(events: DataFrame, keys: list[str], within: str = "10 minutes") -> DataFrame:
     """Events without repeats of the keys; on a stream, repeats within the time."""
@@ -28,48 +21,6 @@ def distinct_events(events: DataFrame, keys: list[str], within: str = "10 minute
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_state(events: DataFrame, keep: int = 50, expire_ms: int | None = None) -> DataFrame:
-    """The state of each (flow_id, agent): last status, events since the last start, the last ``keep`` statuses.
-
-    A START event clears the state. With ``expire_ms``, a key in COMPLETE turns
-    IDLE when no event has come for so long (processing time).
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, n, last, history = state.get
-            state.update(("IDLE", n, last, history))
-            yield pd.DataFrame([(*key, "IDLE", n, last, history)], columns=["flow_id", "agent", "status", "n", "last_id", "history"])
-            return
-        status, n, last, history = state.get if state.exists else ("", 0, -1, "")
-        kept = history.split(",") if history else []
-        for row in pd.concat(list(batches)).sort_values("event_id").itertuples(index=False):
-            if row.status == START:
-                n, kept = 0, []
-            status, n, last = row.status, n + 1, row.event_id
-            kept = [*kept, row.status][-keep:]
-        history = ",".join(kept)
-        state.update((status, n, last, history))
-        if expire_ms and status == "COMPLETE":
-            state.setTimeoutDuration(expire_ms)
-        yield pd.DataFrame([(*key, status, n, last, history)], columns=["flow_id", "agent", "status", "n", "last_id", "history"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
-    slim = events.select("flow_id", "agent", "status", "event_id")
-    return slim.groupBy("flow_id", "agent").applyInPandasWithState(fold, STATE, "status string, n long, last_id long, history string", "update", timeout)
-
-
-def latest_state_batch(events: DataFrame, keep: int = 50) -> DataFrame:
-    """The batch twin of latest_state."""
-    w = Window.partitionBy("flow_id", "agent").orderBy("event_id")
-    runs = events.withColumn("_run", F.count_if(F.col("status") == START).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last_run = runs.withColumn("_last", F.max("_run").over(Window.partitionBy("flow_id", "agent"))).filter("_run = _last")
-    from_last = F.row_number().over(Window.partitionBy("flow_id", "agent").orderBy(F.desc("event_id")))
-    recent = F.array_sort(F.collect_list(F.when(F.col("_k") <= keep, F.struct("event_id", "status"))))
-    out = last_run.withColumn("_k", from_last).groupBy("flow_id", "agent").agg(F.max_by("status", "event_id").alias("status"), F.count("*").alias("n"), F.max("event_id").alias("last_id"), recent.alias("_last"))
-    return out.select("flow_id", "agent", "status", "n", "last_id", F.array_join(F.transform("_last", lambda x: x["status"]), ",").alias("history"))
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append", at_end: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """All that a stream yields from the input that is there now, as a batch frame.
 
@@ -78,14 +29,15 @@ def drained(stream: DataFrame, name: str, mode: str = "append", at_end: Callable
     between the last row and the final event.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = shared_path(spark, name)
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    with state_settings(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
     any_batch = exists(spark, f"{base}/rows")
     out = spark.read.schema(schema).parquet(f"{base}/rows/*") if any_batch else spark.createDataFrame([], schema)
     if at_end:
@@ -93,12 +45,6 @@ def drained(stream: DataFrame, name: str, mode: str = "append", at_end: Callable
     return out
 
 
-def final_rows(updates: DataFrame) -> DataFrame:
-    """Of the rows that latest_state has yielded over time, each key's last."""
-    fields = [c for c in updates.columns if c not in ("flow_id", "agent")]
-    return updates.groupBy("flow_id", "agent").agg(F.max_by(F.struct(*fields), F.struct("last_id", "n")).alias("s")).select("flow_id", "agent", "s.*")
-
-
 def cancel(query: StreamingQuery) -> None:
     """End a stream, as a client's leaving does."""
     query.stop()
