@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.numbering import numbered
 
@@ -110,4 +110,4 @@ class EventQueue(DataSource):
 def queue_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The queue's events as a stream, with their numbers in ``queue_offset``; schema is that of the published frames."""
     spark.dataSource.register(EventQueue)
-    return spark.readStream.format("event_queue").option("path", path).schema(StructType(schema.fields).add(OFFSET, "long")).load()
+    return spark.readStream.format("event_queue").option("path", path).schema(StructType([*schema.fields, StructField(OFFSET, LongType())])).load()
