@@ -115,7 +115,7 @@ def o01_final(spark, d):
 
 
 def o01_steps(spark, d):
-    return _r(ledger.steps(fx.decisions(spark, d)).select("run_id", "seq", "ticker", "executed", "cash", "margin_used", "long", "short"), "cash", "margin_used")
+    return _r(ledger.steps(fx.decisions(spark, d), TICKERS).select("run_id", "seq", "ticker", "executed", "cash", "margin_used", "long", "short"), "cash", "margin_used")
 
 
 def o02(spark, d):

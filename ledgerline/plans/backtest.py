@@ -28,20 +28,43 @@ def complete_days(priced: DataFrame, tickers: int) -> DataFrame:
     return priced.groupBy("date").agg(F.count_distinct("ticker").alias("n")).filter(F.col("n") == tickers).select("date")
 
 
-def trade_table(runs: DataFrame, calendar: DataFrame, priced: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Every run's decision for every priced day and ticker, hold by default, in trading order."""
+def trading(decisions: DataFrame, priced: DataFrame) -> DataFrame:
+    """The decisions that trade, with the day's price, in trading order: days, and a day's tickers by number."""
+    real = decisions.filter(F.col("action").isin(*ledger.TRADES) & (F.col("quantity") >= 1))
+    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("date", "ticker")).cast("long")
+    return real.join(priced, ["date", "ticker"]).select("run_id", "date", "ticker", "action", "quantity", F.col("close").alias("price")).withColumn("seq", seq)
+
+
+def details_of(runs: DataFrame, calendar: DataFrame, priced: DataFrame, decisions: DataFrame, steps: DataFrame, cash: float) -> DataFrame:
+    """A row for every run, priced day and ticker, hold by default: what was traded, and what the run has then.
+
+    Cash and margin stay as the run's last step has left them, a ticker's shares as the
+    ticker's last one, so days without a trade are filled from the step before.
+    """
     ends = [calendar.agg(f("date")).scalar() for f in (F.min, F.max)]
     days = runs.select("run_id", F.explode(F.sequence(*ends)).alias("date"))  # as many as the calendar is long
-    full = days.join(priced, "date").join(decisions, ["run_id", "date", "ticker"], "left")
-    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("date", "ticker")).cast("long")
-    return full.select("run_id", "date", "ticker", F.coalesce("action", F.lit("hold")).alias("action"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.col("close").alias("price")).withColumn("seq", seq)
+    given = decisions.select("run_id", "date", "ticker", "action")
+    traded = steps.select("run_id", "date", "ticker", "executed", "cash", "margin_used", "long", "short")
+    keys = ["run_id", "date", "ticker"]
+    full = days.join(priced, "date").join(given, keys, "left").join(traded, keys, "left")
+    of_run = Window.partitionBy("run_id").orderBy("date", "ticker")
+    of_ticker = Window.partitionBy("run_id", "ticker").orderBy("date")
+    last = lambda c, w, first: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(first)).alias(c)
+    return full.select(
+        "run_id", "date", "ticker", F.row_number().over(of_run).cast("long").alias("seq"), F.coalesce("action", F.lit("hold")).alias("action"), F.col("close").alias("price"), F.coalesce("executed", F.lit(0.0)).alias("executed"),
+        last("cash", of_run, cash), last("margin_used", of_run, 0.0), last("long", of_ticker, 0.0), last("short", of_ticker, 0.0),
+    )
 
 
 def backtest(runs: DataFrame, calendar: DataFrame, prices: DataFrame, decisions: DataFrame, tickers: int, cash: float = 100_000.0, margin: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Details (a row for each step), days (value and exposures) and one row of metrics for each run."""
+    """Details (a row for each day and ticker), days (value and exposures) and one row of metrics for each run.
+
+    The ledger folds only the decisions that trade.
+    """
     priced = asof_close(calendar, prices)
     priced = priced.join(complete_days(priced, tickers), "date", "left_semi")
-    details = ledger.steps(trade_table(runs, calendar, priced, decisions), cash, margin, carry=("date",))
+    steps = ledger.steps(trading(decisions, priced), tickers, cash, margin, carry=("date",))
+    details = details_of(runs, calendar, priced, decisions, steps, cash)
     days = metrics.exposures(details, ["run_id", "date"], F.max_by("cash", "seq").alias("cash")).withColumn("value", F.col("cash") + F.col("net_exposure"))
     days = days.withColumn("portfolio_return", 100 * (F.col("value") / cash - 1))
     return details, days, metrics.performance(with_seed(days, calendar, cash)).join(last_exposures(days), "run_id")
