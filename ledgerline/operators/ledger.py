@@ -5,7 +5,7 @@ result, ``steps`` the state after every trade as well. Portfolios are independen
 scales over them. A portfolio's own trades are sequential: up to ``CHUNK`` of them are one
 row's work; those of a longer run go in as many rounds, all runs side by side, each with the
 states that the round before has written, so no row holds a whole run. Within a row the
-history is kept in blocks of ``BLOCK`` steps, because every step copies its block.
+history is kept in blocks of ``BLOCK`` steps: every step copies its block, every block all before it.
 
 A buy or short beyond the cash is filled in part, a sell or cover beyond the
 holding is clipped; quantities are truncated; an unknown action, a price of 0
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import shared_path
 
-CHUNK, BLOCK = 50_000, 64
+CHUNK, BLOCK = 20_000, 128
 #: What moves shares; every other action leaves the state as it is.
 TRADES = ("buy", "sell", "short", "cover")
 
@@ -78,7 +78,7 @@ def _fold(tickers: int | str, cash: float, margin: float, history: dict[str, str
     fields = ", ".join(f"'{k}', n.{k}" for k in names)
     with_step = f"element_at(transform(array({_next_state(m)}), n -> named_struct({fields}, 'hist', array_append(s.hist, {step}))), 1)"
     of_block = "named_struct(" + ", ".join(f"'{k}', element_at(done, -1).{k}" for k in names) + f", 'hist', cast(array() as {hist}))"
-    block = f"aggregate(slice(xs, b * {BLOCK} + 1, {BLOCK}), {of_block}, (s, x) -> {bound(with_step)})"
+    block = f"aggregate(transform(sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size(xs)) - 1), at -> xs[at]), {of_block}, (s, x) -> {bound(with_step)})"
     start = f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, i.{k}' for k in names)}, 'hist', cast(array() as {hist}))"
     blocks = f"aggregate(sequence(0, (size(xs) - 1) div {BLOCK}), array(element_at(transform(array({init}), i -> {start}), 1)), (done, b) -> array_append(done, {block}))"
     final = "named_struct(" + ", ".join(f"'{k}', element_at(d, -1).{k}" for k in names) + ")"
