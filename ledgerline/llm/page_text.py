@@ -18,9 +18,9 @@ is what is left of its article, or of its candidates if it has none.
 Pages are parsed once and compared by hashes of their lines. They are put in
 order of (host, path, page_id) over range partitions, so a large host spreads over
 many of them, and each page is compared with the nearest different ones before and
-after in that order. The last two different pages of a partition also meet the
-first of the next, which are sent there, and the other way round; if a whole
-partition is copies of one page, what lies beyond it is not looked at.
+after in that order. A partition's first and last pages meet theirs too, from however
+many partitions away: one page for each side of a partition is looked up and sent there,
+so copies of a page may fill partitions, and the result doesn't depend on how pages are dealt.
 
 Null or empty html gives an empty text. Pages without a host, or alone on it, are
 not compared. Repeated rows each get a result.
@@ -283,16 +283,26 @@ def deletions(outlines: DataFrame) -> DataFrame:
     columns = "host string, path string, page_id long, content long, main long, hashes array<long>"
     rows = outlines.filter("host <> ''").select(*order, "main", "hashes")
     in_order = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, columns + ", part int, at long"), "outlines")
-    # the first and last pages of a partition, and the ones next to them that differ: two rows for each side of a partition
-    ends = in_order.groupBy("part").agg(F.min_by("main", "at").alias("first_main"), F.max_by("main", "at").alias("last_main"), F.max("at").alias("last"))
-    others = in_order.join(ends, "part").groupBy("part").agg(F.min(F.expr("CASE WHEN main <> first_main THEN at END")).alias("first_other"), F.max(F.expr("CASE WHEN main <> last_main THEN at END")).alias("last_other"))
-    by_part = Window.orderBy("part")  # one row for each partition
-    neighbours = ends.select("part", "last", F.lead("part").over(by_part).alias("next"), F.lag("part").over(by_part).alias("previous")).join(others, "part")
-    edge = in_order.join(neighbours, "part")
-    after, first_after = F.lit(2**62).cast("long"), F.lit(2**62 - 1).cast("long")
-    forward = edge.filter("next is not null and (at = last or at = last_other)").withColumns({"at": F.when(F.col("at") == F.col("last"), -1).otherwise(-2).cast("long"), "part": F.col("next")})
-    backward = edge.filter("previous is not null and (at = 0 or at = first_other)").withColumns({"at": F.when(F.col("at") == 0, first_after).otherwise(after), "part": F.col("previous")})
-    run = in_order.unionByName(forward.select(*in_order.columns)).unionByName(backward.select(*in_order.columns))
+    # a row for each partition: its first and last page, and the places next to them where another one comes
+    page = F.struct("host", "main")
+    ends = in_order.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"), F.max("at").alias("end"))
+    others = in_order.join(ends, "part").groupBy("part").agg(F.min(F.when(page != F.col("first"), F.col("at"))).alias("first_other"), F.max(F.when(page != F.col("last"), F.col("at"))).alias("last_other"))
+    at = lambda part, place: F.struct(F.col(part).alias("part"), F.col(place).alias("at"))
+    w = Window.orderBy("part")
+    parts = ends.join(others, "part").withColumn("begin", F.lit(0).cast("long")).select("*", at("part", "begin").alias("a"), at("part", "end").alias("z"))
+    parts = parts.select("*", *(f(c).over(w).alias(f"{n}_{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("first", "last", "a", "z")))
+    # the last page that differs from a partition's last one, and the first that differs from its first: where one page
+    # fills the partition that of the partition next to it, or what that one has, and so on
+    from_last = F.when(F.col("last_other").isNotNull(), at("part", "last_other")).when(F.col("before_last") != F.col("last"), F.col("before_z"))
+    from_first = F.when(F.col("first_other").isNotNull(), at("part", "first_other")).when(F.col("after_first") != F.col("first"), F.col("after_a"))
+    parts = parts.withColumn("low", F.last(from_last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first(from_first, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    before = F.when(F.col("before_last") != F.col("first"), F.col("before_z")).otherwise(F.lag("low").over(w))
+    after = F.when(F.col("after_first") != F.col("last"), F.col("after_a")).otherwise(F.lead("high").over(w))
+    sides = parts.select("part", before.alias("before"), after.alias("after"))
+    sides = sides.select("part", F.explode(F.array(F.struct(F.col("before").alias("of"), F.lit(-1).cast("long").alias("to")), F.struct(F.col("after").alias("of"), F.lit(2**62).cast("long").alias("to")))).alias("s"))
+    sent = sides.filter("s.of is not null").select(F.col("s.of.part").alias("part"), F.col("s.of.at").alias("at"), F.col("part").alias("_part"), F.col("s.to").alias("_at"))
+    edge = in_order.join(F.broadcast(sent), ["part", "at"]).withColumns({"part": F.col("_part"), "at": F.col("_at")})  # two rows for each partition
+    run = in_order.unionByName(edge.select(*in_order.columns))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pages come by part and place; copies of each other that follow one another are finished when the next page has been seen."""

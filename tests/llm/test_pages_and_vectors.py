@@ -111,6 +111,24 @@ def test_query_equals_brute_force(spark):
     assert page_text.deletions(page_text.parsed(pages)).agg(F.sum(F.size("shared"))).first()[0] > 100
 
 
+@pytest.mark.parametrize("parts", [1, 4, 7, 50])
+def test_copies_may_fill_partitions(spark, parts):
+    """60 copies of a page between two others, and next to another host's; the dealing changes nothing."""
+    page = lambda k: f"<body><div>Menu</div><p>own {k}</p><div>Legal</div></body>"
+    rows = [(0, "https://a.org/a", page("first")), *((1 + i, f"https://a.org/b{i:02d}", page("copy")) for i in range(60)), (99, "https://a.org/c", page("last"))]
+    rows += [(200 + i, f"https://b.org/b{i:02d}", page("copy")) for i in range(9)] + [(300, "https://c.org/x", page("alone"))]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset(coalesce)
+    assert sorted((x.page_id, x.text) for x in got) == sorted(brute_texts(rows))
+    assert sum(x.text == "own copy" for x in got) == 60
+
+
 def test_common_subsequences_in_linear_memory(monkeypatch):
     r = np.random.default_rng(2)
     a, b = ([str(x) for x in r.integers(0, 6, 90)] for _ in range(2))
