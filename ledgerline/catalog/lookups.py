@@ -10,7 +10,9 @@ from ..functions import scalars as X
 from ..operators import graph as G
 from ..operators import lookups as L
 from ..plans import agents as A
+from ..sources import files
 from ..sources import fixtures as fx
+from ..sources import vendor as V
 from .metadata import AGENTS, _agents
 from .performance import BARS, EVENTS
 
@@ -72,8 +74,7 @@ def f11(spark, d):
 
 
 def f16(spark, d):
-    groups = _part(spark, d).groupBy("p_brand").agg(F.collect_list("p_size").alias("items"))  # one group for each of 25 brands
-    return L.filtered_groups(groups, "items", lambda x: x == 50).select("p_brand", F.size("items").alias("n"))
+    return L.nonempty_groups(_part(spark, d), "p_brand", F.col("p_size") == 50)
 
 
 def l04(spark, d):
@@ -86,7 +87,66 @@ def l07(spark, d):
 
 
 def l12(spark, d):
-    return _agents(spark, d).select("id").distinct().orderBy(F.lower("id"), "id")
+    """In the order of a collation that puts case behind letters."""
+    named = _agents(spark, d).select("id").distinct().unionByName(_agents(spark, d).select(F.initcap("id").alias("id")).distinct())
+    return named.orderBy(F.collate("id", "UNICODE"), "id")
+
+
+def l12_groups(spark, d):
+    """Names that a collation without case or accents takes as one."""
+    p = _part(spark, d).select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type")).alias("name"))
+    return p.groupBy(F.collate("name", "UNICODE_CI").alias("k")).agg(F.count("*").alias("n"), F.lower(F.min("name").cast("string")).alias("name")).select("name", "n")
+
+
+def _vendor(spark, d, kind: str):
+    """The vendor's files of a kind, written from the tables, in order of ticker and date."""
+    e = fx.table(spark, d, "events")
+    rows = {
+        "prices": lambda: fx.bars(spark, d),
+        "metrics": lambda: fx.bars(spark, d).select("ticker", "date", (F.col("close") / 7).alias("pe")),
+        "insider_trades": lambda: fx.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"),
+        "news": lambda: e.select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "event_id"),
+    }[kind]()
+    path = files.shared_path(spark, kind)
+    rows.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date").write.parquet(path)
+    return V.vendor(spark, path, rows.schema)
+
+
+def sc02_prices(spark, d):
+    return V.prices(_vendor(spark, d, "prices"), "1999-12-31", tickers=[1, 3, 8])
+
+
+def sc02_metrics(spark, d):
+    return V.newest_of(_vendor(spark, d, "metrics"), "metrics", "1999-12-31")
+
+
+def sc02_trades(spark, d):
+    return V.newest_of(_vendor(spark, d, "insider_trades"), "insider_trades", "1999-12-31", "1998-06-01")
+
+
+def sc02_news(spark, d):
+    return V.newest_of(_vendor(spark, d, "news"), "news", "2024-01-20", "2024-01-03").groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("oldest"), F.max("date").alias("latest"))
+
+
+def uf01_opaque(spark, d):
+    """An opaque agent on each of three levels; every one hears what all before have said."""
+    state = fx.stocks(spark, d).select("ticker", "cap_value")
+    first = A.opaque(lambda rows: pd.DataFrame({"ticker": rows["ticker"], "signal": ["bullish" if v > 200 else "bearish" for v in rows["cap_value"]], "confidence": 50.0}))
+    return A.run_agents(state, [("first", 0), ("second", 1), ("third", 2)], {"first": first, "second": A.opaque(_client), "third": A.opaque(_client)})
+
+
+def g08_flow(spark, d):
+    """Balances of suppliers, added up by nations and then by regions, each with one of its own, by an opaque step."""
+    nodes, edges = fx.graph(spark, d)
+    upwards = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    leaves = nodes.join(edges.select(F.col("source").alias("id")).distinct(), "id", "left_anti").select("id")
+
+    def add(rows):
+        for r in rows:
+            yield pd.DataFrame({"id": r["id"], "total": r["inbox"].fillna(0) + 1, "level": r["level"]})
+
+    step = lambda ready, level: ready.select("id", "level", F.col("inbox").cast("double").alias("inbox")).mapInPandas(add, "id string, total double, level int")
+    return A.dataflow(nodes, upwards, leaves, step, {"inbox": F.sum("total")}).withColumn("total", F.col("total").cast("long"))
 
 
 def u04(spark, d):
@@ -96,8 +156,9 @@ def u04(spark, d):
 
 
 def u08(spark, d):
-    nested = _part(spark, d).groupBy("p_brand").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("models"))
-    return nested.select(F.col("p_brand").alias("provider"), F.inline("models"))
+    """Models in lists of up to 100 of a provider, flattened again."""
+    lists = L.nested(_part(spark, d).select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", 100)
+    return lists.select(F.col("p_brand").alias("provider"), F.inline("items"))
 
 
 def u09(spark, d):
@@ -200,7 +261,14 @@ QUERIES = {
     "f16_nonempty_groups": (f16, "SELECT p_brand, CAST(count(*) AS INT) AS n FROM part WHERE p_size = 50 GROUP BY 1"),
     "l04_by_provider": (l04, "SELECT p_brand AS provider, count(*) AS n FROM part GROUP BY 1 ORDER BY 1"),
     "l07_sector_totals": (l07, "WITH s AS (SELECT CAST(p_partkey // 30 AS BIGINT) AS run_id, p_type AS sector, count(*) AS n FROM part GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY n DESC, sector) AS INT) AS place FROM s"),
-    "l12_by_name": (l12, f"WITH {AGENTS} SELECT DISTINCT id FROM named"),
+    "l12_by_name": (l12, f"WITH {AGENTS} SELECT DISTINCT id FROM named UNION ALL SELECT DISTINCT upper(id[1]) || lower(id[2:]) FROM named"),
+    "l12_same_names": (l12_groups, "SELECT lower(p_type) AS name, count(*) AS n FROM part GROUP BY 1"),
+    "sc02_prices": (sc02_prices, f"WITH {BARS} SELECT ticker, date, close FROM bars WHERE ticker IN (1, 3, 8) AND date BETWEEN DATE '1998-12-31' AND DATE '1999-12-31'"),
+    "sc02_metrics": (sc02_metrics, f"WITH {BARS}, k AS (SELECT ticker, date, close / 7 AS pe, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE date <= DATE '1999-12-31') SELECT ticker, date, pe FROM k WHERE k <= 10"),
+    "sc02_insider_trades": (sc02_trades, "WITH k AS (SELECT l_returnflag || l_linestatus AS ticker, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1998-06-01' AND DATE '1999-12-31') SELECT * EXCLUDE (k) FROM k WHERE k <= 1000"),
+    "sc02_news": (sc02_news, "WITH k AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE) DESC, event_id) AS k FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20') SELECT ticker, count(*) AS n, min(date) AS oldest, max(date) AS latest FROM k WHERE k <= 1000 GROUP BY 1"),
+    "uf01_opaque_levels": (uf01_opaque, "WITH v AS (SELECT 'T' || p_partkey AS ticker, CASE WHEN p_retailprice * p_size / 200 > 200 THEN 1 ELSE -1 END AS h FROM part) SELECT 'first' AS agent, ticker, CASE WHEN h > 0 THEN 'bullish' ELSE 'bearish' END AS signal, 50.0::DOUBLE AS confidence FROM v UNION ALL SELECT 'second', ticker, CASE WHEN h > 0 THEN 'bullish' ELSE 'neutral' END, h * 10.0 FROM v UNION ALL SELECT 'third', ticker, CASE WHEN h > 0 THEN 'bullish' ELSE 'neutral' END, CASE WHEN h > 0 THEN 20.0 ELSE -10.0 END FROM v"),
+    "g08_dataflow": (g08_flow, "WITH s AS (SELECT s_suppkey, s_nationkey FROM supplier), n AS (SELECT n_nationkey, n_regionkey, count(s_suppkey) + 1 AS total, CASE WHEN count(s_suppkey) > 0 THEN 1 ELSE 0 END AS level FROM nation LEFT JOIN s ON n_nationkey = s_nationkey GROUP BY 1, 2) SELECT 's_' || s_suppkey AS id, 1 AS total, 0 AS level FROM s UNION ALL SELECT 'n_' || n_nationkey, total, level FROM n UNION ALL SELECT 'r_' || r_regionkey, CAST(coalesce(sum(total), 0) + 1 AS BIGINT), coalesce(max(level) + 1, 0) FROM region LEFT JOIN n ON r_regionkey = n_regionkey GROUP BY 1"),
     "u04_cloud_and_local": (u04, "SELECT p_brand AS provider, p_name AS model FROM part WHERE p_size > 40 UNION ALL SELECT 'Local', p_name FROM part WHERE p_size < 4"),
     "u08_flat_models": (u08, "SELECT p_brand AS provider, p_partkey, p_name FROM part"),
     "u09_flat_details": (u09, f"WITH {EVENTS} SELECT date, ticker, arg_max(value, (ts, event_id)) AS close FROM ev WHERE value > 0 GROUP BY 1, 2"),

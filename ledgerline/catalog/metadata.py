@@ -100,8 +100,10 @@ def a12(spark, d):
 
 
 def a30(spark, d):
-    models = fx.table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), 1, 5), lambda m: m["p_name"]), "|").alias("models"))
-    return models.select(F.col("p_brand").alias("provider"), "models")
+    """The first five models of each provider; only they are put in a list."""
+    first = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    models = fx.table(spark, d, "part").select("p_brand", "p_partkey", "p_name", first.alias("k")).filter("k <= 5").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("m"))
+    return models.select(F.col("p_brand").alias("provider"), F.array_join(F.transform("m", lambda m: m["p_name"]), "|").alias("models"))
 
 
 def a36(spark, d):
@@ -210,6 +212,18 @@ def g03(spark, d):
     return G.on_paths(edges, spark.createDataFrame([("r_1",)], "id string"), spark.createDataFrame([("s_5",), ("s_9",)], "id string"))
 
 
+def g03_cyclic(spark, d):
+    """The nations of a region as a ring, with some shortcuts back; from regions to the suppliers that are in debt."""
+    n, sup = fx.table(spark, d, "nation"), fx.table(spark, d, "supplier")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    ring = n.select("n_regionkey", "n_nationkey", F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(w)).alias("next"), F.lag("n_nationkey", 2).over(w).alias("back"), F.row_number().over(w).alias("k"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = ring.select(name("n_", "n_nationkey").alias("source"), name("n_", "next").alias("target")).unionByName(ring.filter("back is not null").select(name("n_", "n_nationkey").alias("source"), name("n_", "back").alias("target")))
+    edges = edges.unionByName(ring.filter("k = 1").select(name("r_", "n_regionkey").alias("source"), name("n_", "n_nationkey").alias("target"))).unionByName(sup.select(name("n_", "s_nationkey").alias("source"), name("s_", "s_suppkey").alias("target")))
+    start = fx.table(spark, d, "region").select(name("r_", "r_regionkey").alias("id"))
+    return G.on_paths(edges, start, sup.filter("s_acctbal < 0").select(name("s_", "s_suppkey").alias("id")))
+
+
 def g05(spark, d):
     nodes, edges = fx.graph(spark, d)
     managers = nodes.filter("type = 'nation'").select("id")
@@ -278,6 +292,10 @@ QUERIES = {
     "x23_dates": (x23, "SELECT o_orderkey, CAST(o_orderdate AS DATE) - 30 AS d30, CAST(CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH AS DATE) AS y1, CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 MONTH AS DATE) AS m3 FROM orders"),
     "g01_reachable": (g01, f"{_R} SELECT id, min(depth) AS depth FROM reach GROUP BY 1"),
     "g02_subgraph": (g02, f"{_R} SELECT source, target FROM edges WHERE source IN (SELECT id FROM reach) AND target IN (SELECT id FROM reach)"),
+    "g03_cyclic_paths": (g03_cyclic, """WITH RECURSIVE ring AS (SELECT n_regionkey AS r, n_nationkey AS n, coalesce(lead(n_nationkey) OVER w, first(n_nationkey) OVER w) AS next, lag(n_nationkey, 2) OVER w AS back, row_number() OVER w AS k FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)),
+ edges AS (SELECT DISTINCT * FROM (SELECT 'n_' || n AS source, 'n_' || next AS target FROM ring UNION ALL SELECT 'n_' || n, 'n_' || back FROM ring WHERE back IS NOT NULL UNION ALL SELECT 'r_' || r, 'n_' || n FROM ring WHERE k = 1 UNION ALL SELECT 'n_' || s_nationkey, 's_' || s_suppkey FROM supplier WHERE s_acctbal < 0) WHERE source <> target),
+ paths AS (SELECT 'r_' || r_regionkey AS id, ['r_' || r_regionkey] AS path FROM region UNION ALL SELECT target, list_append(path, target) FROM paths JOIN edges ON source = id WHERE NOT list_contains(path, target))
+ SELECT DISTINCT unnest(path) AS id FROM paths WHERE id LIKE 's_%'"""),
     "g03_on_path": (g03, f"{_R}, back AS (SELECT id FROM (VALUES ('s_5'), ('s_9')) t(id) UNION SELECT e.source FROM back b JOIN edges e ON e.target = b.id) SELECT DISTINCT id FROM reach WHERE id IN (SELECT id FROM back)"),
     "g05_rewrite": (g05, f"WITH {NODES}, m AS (SELECT id FROM nodes WHERE type = 'nation'), l AS (SELECT source, arg_max(target, k) AS target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS k FROM edges) WHERE target IN (SELECT id FROM m) GROUP BY 1) SELECT source, target FROM edges WHERE target NOT IN (SELECT id FROM m) UNION ALL SELECT source, 'risk_management_agent_' || string_split(target, '_')[-1] FROM l UNION ALL SELECT 'risk_management_agent_' || string_split(id, '_')[-1], id FROM m"),
     "g06_roots": (g06, f"WITH {NODES} SELECT source, target FROM edges UNION ALL SELECT 'start_node', id FROM nodes WHERE id NOT IN (SELECT target FROM edges) UNION ALL SELECT id, 'END' FROM nodes WHERE type = 'supplier'"),

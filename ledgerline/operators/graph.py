@@ -8,35 +8,100 @@ written to the shared folder, so a lost executor costs no earlier round.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_agent_key, risk_manager_id
-from ..sources.files import settled
+from ..sources.files import settled, shared_path
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """id, depth of the nodes that starts(id) lead to, themselves at depth 0."""
-    seen = settled(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in itertools.count(1):
-        step = edges.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        front = settled(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+    """id, depth of the nodes that starts(id) lead to, themselves at depth 0.
+
+    Each round writes its front only; what has been seen is all fronts together.
+    """
+    spark, base = edges.sparkSession, shared_path(edges.sparkSession, "reachable")
+    seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
+    schema = seen.schema
+    for depth in itertools.count():
+        front = seen if depth == 0 else step.distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        front.write.parquet(f"{base}/round={depth}")
+        front = spark.read.schema(schema).parquet(f"{base}/round={depth}")
+        seen = spark.read.schema(schema).parquet(*(f"{base}/round={n}" for n in range(depth + 1)))
         if not front.take(1):
             return seen
-        seen = settled(seen.unionByName(front))
+        step = edges.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id"))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
-def on_paths(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
-    """id of the nodes between start and end, both included; exact on acyclic graphs."""
+def between(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
+    """id of the nodes that a start leads to and that lead to an end, both included."""
     return reachable(edges, start).select("id").join(reachable(reversed_edges(edges), end).select("id"), "id", "left_semi")
 
 
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (its largest node) of nodes(id): those that lead to each other share one.
+
+    In rounds over what is left: every node takes the largest node that leads to it as its
+    colour, and the nodes that lead back to that one within the colour are its component.
+    """
+    left, done = settled(nodes.select("id").distinct(), "left"), []
+    while left.take(1):
+        inner = settled(induced(edges, left).distinct(), "inner")
+        colour = left.withColumn("colour", F.col("id"))
+        while True:
+            sent = inner.join(colour.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), "colour")
+            new = settled(colour.unionByName(sent).groupBy("id").agg(F.max("colour").alias("colour")), "colour")
+            changed = new.join(colour.withColumnRenamed("colour", "old"), "id").filter("colour <> old").take(1)
+            colour = new
+            if not changed:
+                break
+        of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}"))
+        same = inner.join(of("source"), "source").join(of("target"), "target").filter("_source = _target").select("source", "target")
+        back = reachable(reversed_edges(same), colour.filter("id = colour").select("id")).select("id")
+        found = settled(back.join(colour, "id").select("id", F.col("colour").alias("component")), "component")
+        done.append(found)
+        left = settled(left.join(found, "id", "left_anti"), "left")
+    return reduce(DataFrame.unionByName, done) if done else nodes.select("id", F.col("id").alias("component"))
+
+
+def on_paths(edges: DataFrame, start: DataFrame, end: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """id of the nodes on a path from a start to an end that comes to no node twice, both included.
+
+    On acyclic graphs those are the nodes between them. In general a path crosses each
+    strongly connected component once, from a node where it enters to one where it leaves,
+    and components on its way are different ones; so only within a component with cycles
+    paths are followed, all of them side by side. More than ``bound`` paths at a time in all
+    components are an error: their number can grow exponentially with a component's size.
+    """
+    inside = settled(between(edges, start, end), "between")
+    inner = settled(induced(edges, inside).filter("source <> target").distinct(), "inner")
+    placed = settled(strong_components(inside, inner), "placed")
+    cyclic = placed.groupBy("component").count().filter("count > 1").select("component")
+    members = settled(placed.join(cyclic, "component", "left_semi"), "members")
+    free = inside.join(members.select("id"), "id", "left_anti")
+    at = lambda name: members.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
+    marked = inner.join(at("source"), "source", "left").join(at("target"), "target", "left")
+    within = settled(marked.filter("_source = _target").select("source", "target"), "within")
+    across = marked.filter("_source is null or _target is null or _source <> _target")
+    enters = across.filter("_target is not null").select(F.col("target").alias("id")).unionByName(start.select("id").join(members, "id", "left_semi")).distinct()
+    leaves = settled(across.filter("_source is not null").select(F.col("source").alias("id")).unionByName(end.select("id").join(members, "id", "left_semi")).distinct(), "leaves")
+    paths = settled(enters.select("id", F.array("id").alias("path")), "paths")
+    found = []
+    while n := paths.count():
+        if n > bound:
+            raise ValueError(f"{n} paths within strongly connected components; the bound is {bound}")
+        found.append(settled(paths.join(leaves, "id", "left_semi").select(F.explode("path").alias("id")).distinct(), "found"))
+        grown = paths.join(within.withColumnRenamed("source", "id"), "id").filter(~F.array_contains("path", F.col("target")))
+        paths = settled(grown.select(F.col("target").alias("id"), F.array_append("path", F.col("target")).alias("path")), "paths")
+    return reduce(DataFrame.unionByName, [free, *found]).distinct()
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """The edges with both ends among ids(id)."""
     both = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
@@ -67,16 +132,18 @@ def with_start_and_end(nodes: DataFrame, edges: DataFrame, managers: DataFrame)
     return edges.select("source", "target").unionByName(roots).unionByName(managers.select(F.col("id").alias("source"), F.lit("END").alias("target")))
 
 
-def levels(edges: DataFrame, roots: DataFrame, rounds: int = 1_000) -> DataFrame:
-    """id, level: the longest path from a root, the stage in which a node can run; the graph has to be acyclic."""
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, level: the longest path from a root, the stage in which a node can run; a cycle is an error."""
     best = roots.select("id").distinct().withColumn("level", F.lit(0))
     front = best
-    for _ in range(rounds):
+    for level in itertools.count(1):
+        if level > 1 and level % 16 == 0 and level > best.count():
+            break  # a path longer than there are nodes
         front = settled(edges.join(front.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("level")))
         if not front.take(1):
             return best
         best = settled(best.unionByName(front).groupBy("id").agg(F.max("level").alias("level")))
-    raise ValueError("the graph has a cycle or a path beyond the rounds")
+    raise ValueError("the graph has a cycle")
 
 
 def sources_of(edges: DataFrame, nodes: DataFrame, type_: str) -> DataFrame:

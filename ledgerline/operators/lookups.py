@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def newest(rows: DataFrame, key: str, by: str, n: int, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """The n newest rows of each key between start and end; ties in by go by the other columns."""
@@ -47,11 +49,23 @@ def filtered_groups(groups: DataFrame, items: str, wanted: Callable[[Column], Co
     return groups.withColumn(items, F.filter(items, wanted)).filter(F.size(items) > 0)
 
 
+def nonempty_groups(rows: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """key, n of the groups that have wanted rows: filtered_groups for rows that aren't nested, before they are grouped."""
+    return rows.filter(wanted).groupBy(key).agg(F.count("*").cast("int").alias("n"))
+
+
+def nested(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
+    """key, block, items: each key's rows in lists of at most ``size``, so a key of any number of rows has many lists."""
+    others = [c for c in rows.columns if c != key]
+    block = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).alias("block")
+    return rows.select("*", block).groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(*others))).alias("items"))
+
+
 def inserted(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """table and rows, which get the next free keys in order. rows are those of one request: few."""
-    place = F.row_number().over(Window.orderBy(order))
-    least = F.coalesce(table.agg(F.max(key)).scalar(), F.lit(0))
-    return table.unionByName(rows.withColumn(key, (least + place).cast(table.schema[key].dataType)).select(*table.columns))
+    """table and rows, which get the next free keys in order; rows may be as many as the table's."""
+    least = table.agg(F.max(key)).first()[0] or 0
+    new = numbered(rows.drop(key) if key != order else rows.withColumnRenamed(key, "_order"), [order if key != order else "_order"], key, start=least + 1)
+    return table.unionByName(new.withColumn(key, F.col(key).cast(table.schema[key].dataType)).select(*table.columns))
 
 
 def running(updates: DataFrame, key: str, order: list[str], ended: Column) -> DataFrame:

@@ -1,13 +1,22 @@
 import json
+import os
+import random
+import uuid
 
 import numpy as np
+import pandas as pd
+import pyspark.sql.datasource as DS
 import pytest
 from ledgerline.functions import scalars as X
 from ledgerline.operators import graph as G
+from ledgerline.operators import lookups as L
 from ledgerline.operators import metadata as M
 from ledgerline.operators import selection as S
+from ledgerline.operators.numbering import numbered
+from ledgerline.plans import agents as A
 from ledgerline.plans import reports
 from ledgerline.sources import files
+from ledgerline.sources import vendor as V
 from pyspark.sql import functions as F
 
 
@@ -65,7 +74,97 @@ def test_graphs_with_cycles(spark):
     start = spark.createDataFrame([("a",)], "id string")
     assert {tuple(r) for r in G.reachable(edges, start).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     with pytest.raises(ValueError):
-        G.levels(edges, start, rounds=6)
+        G.levels(edges, start)
+
+
+def simple_paths(edges, starts, ends):
+    found, stack = set(), [[s] for s in starts]
+    while stack:
+        path = stack.pop()
+        if path[-1] in ends:
+            found |= set(path)
+        stack += [[*path, t] for s, t in edges if s == path[-1] and t not in path]
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nodes_on_simple_paths(spark, seed):
+    """Cyclic graphs with components of several sizes, against all paths."""
+    r = random.Random(seed)
+    nodes = [f"n{i}" for i in range(14)]
+    edges = sorted({(nodes[i], nodes[j]) for i in range(14) for j in range(14) if r.random() < (0.3 if i // 5 == j // 5 else 0.06 if i < j else 0)} | {("n1", "n1")})
+    starts, ends = r.sample(nodes, 2), r.sample(nodes, 3)
+    df = spark.createDataFrame([*edges, edges[0]], "source string, target string")
+    ids = lambda x: spark.createDataFrame([(v,) for v in x], "id string")
+    assert {x.id for x in G.on_paths(df, ids(starts), ids(ends)).collect()} == simple_paths(edges, starts, ends)
+    with pytest.raises(ValueError, match="bound"):
+        G.on_paths(spark.createDataFrame([(a, b) for a in nodes[:5] for b in nodes[:5] if a != b], "source string, target string"), ids(["n0"]), ids(["n1"]), bound=10)
+
+
+def test_strong_components(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e")], "source string, target string")
+    got = {x.id: x.component for x in G.strong_components(spark.createDataFrame([(v,) for v in "abcdef"], "id string"), df).collect()}
+    assert got == {"a": "b", "b": "b", "c": "d", "d": "d", "e": "e", "f": "f"}
+
+
+def test_a_client_is_asked_once_for_each_row(spark, tmp_path):
+    """Opaque steps on three levels, and in a dataflow whose nodes are read by several others."""
+    asked = str(tmp_path)
+
+    def ask(rows):
+        for t in rows["ticker"]:
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        return pd.DataFrame({"ticker": rows["ticker"], "signal": "bullish", "confidence": rows["heard"] * 1.0})
+
+    state = spark.createDataFrame([(f"T{i}",) for i in range(10)], "ticker string").repartition(3)
+    out = A.run_agents(state, [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("odd", 2)], dict.fromkeys("abcd", A.opaque(ask)))
+    assert {(r.agent, r.confidence) for r in out.collect()} == {("a", 0.0), ("b", 0.0), ("c", 2.0), ("d", 3.0)} and out.count() == 40
+    assert len(os.listdir(asked)) == 40
+
+    def step(parts):
+        for rows in parts:
+            for _ in rows["id"]:
+                open(f"{asked}/{uuid.uuid4().hex}", "w").close()
+            yield pd.DataFrame({"id": rows["id"], "n": rows["below"].fillna(0) + 1})
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e")], "source string, target string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdez"], "id string")
+    flow = A.dataflow(nodes, edges, spark.createDataFrame([("a",)], "id string"), lambda ready, level: ready.select("id", F.col("below").cast("double").alias("below")).mapInPandas(step, "id string, n double"), {"below": F.sum("n")})
+    assert {tuple(x) for x in flow.collect()} == {("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", 6.0), ("e", 7.0)} and flow.count() == 5
+    assert len(os.listdir(asked)) == 45
+
+
+def test_a_missing_match_fails(spark):
+    left, right = spark.range(5).withColumnRenamed("id", "k"), spark.range(4).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    with pytest.raises(Exception, match="no row of k 4"):
+        L.all_matched(left, right, "k").collect()
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    got = numbered(rows, ["v"], "n", start=5)
+    assert [(r.v, r.n) for r in got.orderBy("n").collect()] == [(i, i + 5) for i in range(1000)]
+    table = spark.createDataFrame([(3, "a")], "k int, v string")
+    assert sorted(map(tuple, L.inserted(table, spark.createDataFrame([(9, "c"), (8, "b")], "k int, v string"), "k", "v").collect())) == [(3, "a"), (4, "b"), (5, "c")]
+    plan = L.inserted(rows, rows, "id", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_vendor_takes_filters(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("cast(id % 40 as int) as ticker", "date_add(date'2024-01-01', cast(id / 40 as int)) as date", "id as v")
+    path = str(tmp_path / "prices")
+    rows.repartitionByRange(8, "ticker", "date").sortWithinPartitions("ticker", "date").write.option("parquet.block.size", 1024).parquet(path)
+    source = V.vendor(spark, path, rows.schema)
+    wanted = V.prices(source, "2024-02-01", tickers=[3, 5], years=1).filter("v % 2 = 1")
+    assert sorted(map(tuple, wanted.collect())) == sorted(map(tuple, rows.filter("ticker in (3, 5) and date <= '2024-02-01' and v % 2 = 1").collect()))
+    reader = V.VendorReader(path, rows.schema)
+    assert list(reader.pushFilters([DS.In(("ticker",), (3, 5)), DS.StringContains(("ticker",), "x")])) == [DS.StringContains(("ticker",), "x")]
+    assert 1 <= len(reader.partitions()) <= 3  # of eight files
+    assert V.vendor(spark, path, rows.schema).filter("ticker = 77").count() == 0
+    plan = V.vendor(spark, path, rows.schema).filter("ticker = 3")._jdf.queryExecution().executedPlan().toString()
+    assert ") Filter" not in plan and "- Filter" not in plan  # the source has taken it
+    assert V.newest_of(source, "metrics", "2024-03-01").groupBy("ticker").count().filter("count <> 10").count() == 0
 
 
 def test_updates(spark):
