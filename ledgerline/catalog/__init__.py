@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import lookups, metadata, performance, selection, streams
+from . import files, lookups, metadata, performance, selection, streams
 
-REGISTRY = performance.QUERIES | selection.QUERIES | metadata.QUERIES | streams.QUERIES | lookups.QUERIES
+REGISTRY = performance.QUERIES | selection.QUERIES | metadata.QUERIES | streams.QUERIES | lookups.QUERIES | files.QUERIES

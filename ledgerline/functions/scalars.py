@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Labels of signals, combined signals and capitalisation buckets.
 SIGNAL_LABELS = {"bullish": "매수", "bearish": "매도", "neutral": "중립"}
 STATUS_COLOURS = {"COMPLETE": "green", "IN_PROGRESS": "amber", "ERROR": "red", "IDLE": "gray"}
+SIGNAL_COLOURS = {"BULLISH": "green", "BEARISH": "red", "NEUTRAL": "primary"}
+ACTION_COLOURS = {"BUY": "green", "COVER": "green", "SELL": "red", "SHORT": "red", "HOLD": "primary"}
+#: Fixed value: a sentence ends with its marks and the space after them; a point before digits ends none.
+SENTENCE = r"[^.!?]+(?:\.\d+[^.!?]*|[.!?]+\s*)"
 
 
 def _c(x: Column | str) -> Column:
@@ -41,9 +45,10 @@ def cap_bucket(value: Column | str) -> Column:
     return F.when(v > 200, "mega").when(v > 10, "large").when(v > 2, "mid").otherwise("small")
 
 
-def label(key: Column | str, labels: dict[str, str]) -> Column:
+def label(key: Column | str, labels: dict[str, str], other: str | None = None) -> Column:
+    """The label of a key; of one without a label, itself or ``other``."""
     mapping = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
-    return F.coalesce(F.try_element_at(mapping, _c(key)), _c(key))
+    return F.coalesce(F.try_element_at(mapping, _c(key)), _c(key) if other is None else F.lit(other))
 
 
 def percent_text(x: Column | str, signed: bool = False) -> Column:
@@ -92,12 +97,31 @@ def is_json(text: Column | str) -> Column:
     return F.try_parse_json(mended).isNotNull()
 
 
-def sentences(text: Column | str) -> Column:
-    """The paragraphs of a text: its lines, or groups of three sentences where it has only one line."""
-    t = _c(text)
-    found = F.regexp_extract_all(t, F.lit("[^.!?]+[.!?]*"), 0)
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / 3), F.lit(0)).cast("int")), lambda i: F.trim(F.array_join(F.slice(found, i * 3 + 1, 3), "")))
-    return F.filter(F.when(F.contains(t, F.lit("\n")), F.transform(F.split(t, "\n+"), lambda x: F.trim(x))).otherwise(groups), lambda x: x != "")
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def paragraphs(text: Column | str) -> Column:
+    """A text in short paragraphs: its lines, each in groups of two or three sentences.
+
+    Two sentences are a group if the second ends with a point and one space, and no digit
+    before them; else three are. What follows a line's last sentence mark is left out, but a
+    line without any is one sentence. Blank lines and null texts give nothing.
+    """
+    group = "named_struct('done', cast(array() as array<string>), 'open', '', 'n', 0)"
+
+    def of_line(line: Column) -> Column:
+        found = F.regexp_extract_all(line, F.lit(SENTENCE), 0)
+        whole = F.when(F.size(found) == 0, F.array(line)).otherwise(found)
+        return F.aggregate(whole, F.expr(group), grown, lambda s: F.array_append(s["done"], s["open"]))
+
+    def grown(s: Column, x: Column) -> Column:
+        end = (s["n"] == 2) | ((s["n"] == 1) & x.endswith(". ") & ~x.rlike(r"[0-9]\.\s*$"))
+        both = F.concat(s["open"], x)
+        return F.struct(F.when(end, F.array_append(s["done"], both)).otherwise(s["done"]).alias("done"), F.when(end, "").otherwise(both).alias("open"), F.when(end, 0).otherwise(s["n"] + 1).alias("n"))
+
+    lines = F.filter(F.split(_c(text), "\n"), lambda line: line.rlike(r"\S"))
+    return F.filter(F.transform(F.flatten(F.transform(lines, of_line)), _trimmed), lambda p: p != "")
 
 
 def clock_text(ts: Column | str) -> Column:

@@ -15,6 +15,12 @@ def evaluated(scores: DataFrame) -> DataFrame:
     return scores.withColumns({"signal": X.investor_signal("score"), "confidence": X.investor_confidence("score")})
 
 
+def joined_analyses(stocks: DataFrame, analyses: DataFrame, investors: list[str]) -> DataFrame:
+    """run_id, ticker, investor, signal, confidence for every stock and investor; both last ones null where there is no analysis."""
+    each = stocks.select("run_id", "ticker", F.explode(F.array(*map(F.lit, investors))).alias("investor"))
+    return each.join(analyses.select("ticker", "investor", "signal", "confidence"), ["ticker", "investor"], "left").select("run_id", "ticker", "investor", "signal", "confidence")
+
+
 def consensus(evaluated_: DataFrame, evaluators: int = 3, majority: int = 2) -> DataFrame:
     """run_id, ticker and the votes; the mean confidence divides by the number of evaluators, whoever is missing."""
     n = lambda s: F.count_if(F.col("signal") == s)

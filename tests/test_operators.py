@@ -64,9 +64,9 @@ def test_caps_converge():
 def test_scalars(spark):
     row = spark.range(1).select(
         X.base_agent_key(F.lit("ben_graham")).alias("a"), X.base_agent_key(F.lit("warren_buffett_abc123")).alias("b"), X.investor_confidence(F.lit(None).cast("double")).alias("c"), X.investor_signal(F.lit(7.0)).alias("d"),
-        X.currency(F.lit("$1,234.50")).alias("e"), X.percent_text(F.lit(3.25), True).alias("f"), F.size(X.parse_decisions(F.lit("nope"))).alias("g"), X.sentences(F.lit("A b. C d! E? F.")).alias("h"), X.display_name(F.lit("warren_buffett_agent_x1y2z3")).alias("i"), X.is_json(F.lit('{"a": NaN}')).alias("j"),
+        X.currency(F.lit("$1,234.50")).alias("e"), X.percent_text(F.lit(3.25), True).alias("f"), F.size(X.parse_decisions(F.lit("nope"))).alias("g"), X.paragraphs(F.lit("A b. C d! E? F. \n\nrate 2.5 of x. Then 3. So? tail")).alias("h"), X.display_name(F.lit("warren_buffett_agent_x1y2z3")).alias("i"), X.is_json(F.lit('{"a": NaN}')).alias("j"),
     ).first()
-    assert tuple(row) == ("ben", "warren_buffett", 90.0, "bullish", 1234.5, "+3.2%", 0, ["A b. C d! E?", "F."], "Warren Buffett", True)
+    assert tuple(row) == ("ben", "warren_buffett", 90.0, "bullish", 1234.5, "+3.2%", 0, ["A b. C d! E?", "F.", "rate 2.5 of x Then 3. So?"], "Warren Buffett", True)
 
 
 def test_graphs_with_cycles(spark):
