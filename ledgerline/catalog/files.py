@@ -10,7 +10,7 @@ from ..operators import selection as S
 from ..plans import reports
 from ..sources import files
 from ..sources import fixtures as fx
-from .selection import CONSENSUS, EVALUATED, STOCKS
+from .selection import CONSENSUS, EVALUATED, STOCKS, WATERFALL
 
 
 def _lists(rows: DataFrame, group, path: str) -> str:
@@ -94,6 +94,24 @@ def sk01(spark, d):
     return out
 
 
+def sk02(spark, d):
+    """The text report of every run, written as text in order and read back."""
+    lines = reports.text_report(fx.stocks(spark, d), S.evaluated(fx.scores(spark, d)), list(fx.INVESTORS))
+    folder = files.shared_path(spark, "report")
+    text = F.concat_ws("\t", "run_id", "section", "line_no", "line").alias("value")
+    lines.repartitionByRange("run_id").sortWithinPartitions("run_id", "section", "line_no").select(text).write.text(folder)
+    parts = F.split("value", "\t", 4)
+    return spark.read.text(folder).select(parts[0].cast("long").alias("run_id"), parts[1].cast("int").alias("section"), parts[2].cast("int").alias("line_no"), parts[3].alias("line"))
+
+
+def x09_full(spark, d):
+    """Every investor's sentence on each stock."""
+    both = S.evaluated(fx.scores(spark, d)).join(fx.stocks(spark, d).select("run_id", "ticker", "rank", "sector", "expected_return", "pe"), ["run_id", "ticker"])
+    factors = F.when(F.col("rank") % 4 != 0, F.array("sector", "ticker", F.lit("third"))).otherwise(F.array().cast("array<string>"))
+    peg = F.try_divide("pe", F.nullif(F.col("expected_return"), F.lit(0.0)))
+    return both.select("run_id", "ticker", "investor", X.full_reasoning("investor", "signal", F.col("pe") * 2, "pe", F.when(F.col("rank") % 5 == 0, F.lit(None)).otherwise(peg), "expected_return", "score", factors).alias("reasoning"))
+
+
 def x18(spark, d):
     t = fx.messages(spark, d)
     return t.select("conv_id", "turn", F.posexplode(X.paragraphs("text")).alias("place", "paragraph"))
@@ -111,7 +129,61 @@ def x22_actions(spark, d):
 
 _ANALYSED = f"{EVALUATED}, an AS (SELECT ticker, investor, signal, confidence FROM ev WHERE score IS NOT NULL)"
 _FULL = f"WITH {_ANALYSED}, st AS (SELECT CAST(p_partkey // 30 AS BIGINT) AS run_id, 'T' || p_partkey AS ticker FROM part), fl AS (SELECT run_id, st.ticker, i.investor, an.signal, an.confidence FROM st CROSS JOIN (VALUES ('buffett'), ('lynch'), ('fisher')) i(investor) LEFT JOIN an ON an.ticker = st.ticker AND an.investor = i.investor)"
+def _num(x: str, digits: int = 1) -> str:
+    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+
+
+def _signed(x: str) -> str:
+    return f"coalesce(printf('%+.1f%%', round_even({x}, 1)), 'N/A')"
+
+
+def _reasons_sql() -> str:
+    """The sentences, with the figures of x09_full."""
+    figures = {
+        "roe": "coalesce(printf('%.1f%%', round_even(pe * 2, 1)), 'N/A')", "pe": f"coalesce({_num('pe')}, 'N/A')", "growth": "coalesce(printf('%.1f%%', round_even(expected_return, 1)), 'N/A')",
+        "peg": f"coalesce(CASE WHEN rank % 5 <> 0 THEN {_num('pe / nullif(expected_return, 0)')} END, 'N/A')", "momentum": f"coalesce({_num('score')}, 'N/A')", "factors": f"CASE WHEN rank % 4 <> 0 THEN sector || '; ' || ticker ELSE '{X.NO_FACTORS}' END",
+    }
+    cases = []
+    for (investor, signal), text in X.REASONS.items():
+        for name, value in figures.items():
+            text = text.replace(f"{{{name}}}", f"' || {value} || '")
+        cases.append(f"WHEN investor = '{investor}' AND signal = '{signal}' THEN '{text}'")
+    return f"WITH {STOCKS}, {EVALUATED} SELECT run_id, ticker, investor, CASE {' '.join(cases)} END AS reasoning FROM ev JOIN stocks USING (run_id, ticker)"
+
+
+def _report_sql() -> str:
+    mean = lambda x: f"coalesce(sum(weight * coalesce({x}, 0)) / nullif(sum(weight), 0), 0)"
+    bucket = "CASE WHEN cap_value > 200 THEN 'mega' WHEN cap_value > 10 THEN 'large' WHEN cap_value > 2 THEN 'mid' ELSE 'small' END"
+    first = f"concat_ws(' ', place, ticker, {_num('weight')} || '%', {bucket}, sig, {_num('combined_confidence', 0)} || '%', {_signed('expected_return')}, coalesce({_num('pe')}, 'N/A'), bullish_count || '/3')"
+    facts = [("held ", "held || '/' || universe"), ("confidence ", _num("confidence", 0)), ("return ", _signed("expected")), ("strong buy ", _num("strong")), ("buy ", _num("rest")), ("cash ", _num("cash"))]
+    cash, total = f"'CASH ' || {_num('cash')} || '%'", f"'total ' || {_num('invested + cash')} || '% avg ' || {_num('confidence', 0)} || '% avg ' || {_signed('expected')}"
+    parts = [
+        f"SELECT run_id, 1 AS section, place AS line_no, {first} AS line FROM rk",
+        f"SELECT run_id, 1, 1000000, {cash} FROM fg WHERE cash > 0.01",
+        f"SELECT run_id, 1, 1000001, {total} FROM fg",
+        "SELECT run_id, 2, rank, ticker || ' ' || said FROM stocks JOIN sd USING (run_id, ticker)",
+        "SELECT run_id, 3, place, ticker || ' ' || sig || ' ' || said FROM rk JOIN sd USING (run_id, ticker) WHERE place <= 5",
+        *(f"SELECT run_id, 4, {i}, '{name}' || {value} FROM fg JOIN un USING (run_id)" for i, (name, value) in enumerate(facts)),
+        "SELECT run_id, 5, 0, 'all: ' || coalesce(string_agg(ticker, ', ' ORDER BY place) FILTER (bullish_count = 3), '') FROM rk GROUP BY 1",
+        "SELECT run_id, 5, 1, 'most: ' || coalesce(string_agg(ticker, ', ' ORDER BY place) FILTER (bullish_count < 3), '') FROM rk GROUP BY 1",
+        f"SELECT run_id, 6, k, sector || ' ' || {_num('w')} || CASE WHEN w > 30 AND w <= 35.5 THEN ' (within the cap of 35)' ELSE '' END FROM sr",
+        f"SELECT run_id, 6, 1000000, {cash} FROM fg WHERE cash > 0.01",
+        "SELECT run_id, 7, rank, concat_ws(' ', ticker, rank, bullish_count || '/3') FROM stocks JOIN con USING (run_id, ticker) WHERE NOT included",
+        f"SELECT run_id, 8, 0, 'top 5 ' || {_num('sum(weight) FILTER (place <= 5)')} FROM rk GROUP BY 1",
+        f"SELECT run_id, 8, 1, concat_ws(' ', 'largest', ticker, {_num('weight')}) FROM rk WHERE place = 1",
+        f"SELECT run_id, 8, 2, concat_ws(' ', 'largest sector', sector, {_num('w')}) FROM sr WHERE k = 1",
+        "SELECT run_id, 9, rank, ticker || ' ' || said FROM stocks JOIN con USING (run_id, ticker) JOIN sd USING (run_id, ticker) WHERE bullish_count >= 1 AND bearish_count >= 1",
+    ]
+    with_ = f"""WITH {WATERFALL}, rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY weight DESC, rank) AS place, CASE WHEN bullish_count = 3 THEN 'strong buy' ELSE 'buy' END AS sig FROM pos),
+ sd AS (SELECT run_id, ticker, string_agg(signal || '(' || printf('%.0f', confidence) || ')', ' ' ORDER BY CASE investor WHEN 'buffett' THEN 1 WHEN 'lynch' THEN 2 ELSE 3 END) AS said FROM ev GROUP BY 1, 2),
+ fg AS (SELECT run_id, sum(weight) AS invested, greatest(100 - sum(weight), 0.0::DOUBLE) AS cash, count(*) AS held, coalesce(sum(weight) FILTER (bullish_count = 3), 0) AS strong, coalesce(sum(weight) FILTER (bullish_count < 3), 0) AS rest, {mean('combined_confidence')} AS confidence, {mean('expected_return')} AS expected FROM pos GROUP BY 1),
+ un AS (SELECT run_id, count(*) AS universe FROM stocks GROUP BY 1), sr AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY w DESC, sector) AS k FROM (SELECT run_id, sector, sum(weight) AS w FROM pos GROUP BY 1, 2))"""
+    return f"{with_} {' UNION ALL '.join(parts)}"
+
+
 QUERIES = {
+    "x09_reasoning_text": (x09_full, _reasons_sql()),
+    "sk02_text_report": (sk02, _report_sql()),
     "sc03_predictions": (sc03, f"WITH {STOCKS} SELECT 'run ' || run_id AS analysis_date, rank, ticker, round(cap_value, 4) AS cap, pe FROM stocks"),
     "sc04_analyses": (sc04, f"WITH {_ANALYSED} SELECT investor, ticker, signal, confidence, 'because of ' || ticker AS reasoning FROM an"),
     "sc05_literal": (sc05, f"WITH {EVALUATED}, l(investor, label) AS (VALUES ('buffett', 'Warren Buffett'), ('lynch', 'Peter Lynch'), ('fisher', 'Phil Fisher'), ('graham', NULL)) SELECT l.investor, label, count(score) AS n FROM l LEFT JOIN ev USING (investor) GROUP BY 1, 2"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,6 +149,37 @@ def reasoning(investor: Column | str, signal: Column | str, score: Column | str)
     return F.format_string("%s: %s at %.1f of 10", _c(investor), verdict, F.bround(F.coalesce(_c(score), F.lit(0.0)), 1))
 
 
+#: The sentences by investor and signal; {name} is a figure, {factors} the first two factors.
+REASONS = {
+    ("buffett", "bullish"): "ROE {roe}와 품질 지표가 강해 경제적 해자 관점에서 우호적입니다. P/E {pe} 기준 안전마진은 별도 확인이 필요합니다.",
+    ("buffett", "bearish"): "장기 보유 관점의 품질·예측가능성 점수가 낮습니다. {factors}에도 불구하고 안전마진 근거가 부족합니다.",
+    ("buffett", "neutral"): "일부 품질 요인은 확인되지만 버핏식 확신에는 부족합니다. {factors}.",
+    ("lynch", "bullish"): "매출 성장 {growth}과 성장 스토리가 뚜렷해 GARP 후보입니다. PEG {peg} 기준 가격 대비 성장 매력도도 함께 확인됩니다.",
+    ("lynch", "bearish"): "PEG·밸류에이션 확인이 부족하고 린치식 10배주 조건을 충족하지 못했습니다. 성장률 {growth}만으로는 과반 매수 근거가 약합니다.",
+    ("lynch", "neutral"): "성장 단서는 있으나 PEG와 밸류에이션 검증이 제한적입니다. {factors}.",
+    ("fisher", "bullish"): "성장 품질과 장기 경쟁력 신호가 양호합니다. 매출 성장 {growth}, 모멘텀 {momentum}점이 피셔 관점의 긍정 근거입니다.",
+    ("fisher", "bearish"): "장기 성장 품질과 경영·R&D 우위의 증거가 충분하지 않습니다. {factors}.",
+    ("fisher", "neutral"): "성장성은 일부 확인되지만 피셔식 장기 확신에는 추가 검증이 필요합니다. {factors}.",
+}
+NO_FACTORS = "핵심 재무 데이터 제한"
+
+
+def full_reasoning(investor: Column | str, signal: Column | str, roe: Column | str, pe: Column | str, peg: Column | str, growth: Column | str, momentum: Column | str, factors: Column | str) -> Column:
+    """The sentence for an investor and a signal (neutral, if it is another), with N/A for missing figures; other investors get the factors."""
+    two = F.when(F.size(_c(factors)) > 0, F.array_join(F.slice(_c(factors), 1, 2), "; ")).otherwise(NO_FACTORS)
+    figures = {"roe": percent_text(roe), "pe": number_text(pe), "peg": number_text(peg), "growth": percent_text(growth), "momentum": number_text(momentum), "factors": two}
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", text)
+        return F.concat(*(figures[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+    out = F.when(F.lit(False), "")
+    for name in dict.fromkeys(i for i, _ in REASONS):
+        known = F.when(_c(signal) == "bullish", filled(REASONS[name, "bullish"])).when(_c(signal) == "bearish", filled(REASONS[name, "bearish"])).otherwise(filled(REASONS[name, "neutral"]))
+        out = out.when(_c(investor) == name, known)
+    return out.otherwise(two)
+
+
 def new_id(key: Column | str, seed: Column | str) -> Column:
     """key and six characters that depend on key and seed only."""
     return F.concat(_c(key), F.lit("_"), F.substring(F.sha2(F.concat_ws(":", _c(key), _c(seed).cast("string")), 256), 1, 6))
