@@ -16,9 +16,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse, which executors share too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerline"
+    """The folder that the cluster names in spark.checkpoint.dir, or else one in the warehouse.
+
+    Without that setting the warehouse has to be a folder that executors share too: on a
+    cluster, one of the driver's own machine is an error.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is a folder of the driver's machine")
+    return f"{warehouse}/_ledgerline"
 
 
 def _place(spark: SparkSession, path: str):

@@ -137,6 +137,20 @@ def test_common_subsequences_in_linear_memory(monkeypatch):
     assert sum(page_text.shared_lines(a, b)) == want
 
 
+def test_a_page_of_several_megabytes(spark):
+    body = "".join(f"<p>paragraph {i} of a long page &amp; more</p>" for i in range(60_000))
+    pages = spark.createDataFrame([(1, "https://a.org/x", f"<body><nav>menu</nav><article>{body}</article></body>"), (2, "https://a.org/y", "<p>other</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(pages).collect()}
+    assert got == {1: "\n".join(f"paragraph {i} of a long page & more" for i in range(60_000)), 2: "other"}
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Rows that share an id are candidates of their own; as a query an id has one answer, the nearest of any of its rows, without them."""
+    rows = [(i % 30, [float(i), 1.0]) for i in range(60)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, 3)
+    assert all(r.vec_id != r.query_id for r in got.collect()) and sorted(r.vec_id for r in got.collect()) == [27, 28, 29]
+
+
 @pytest.mark.parametrize("shard_rows", [150, 10_000])
 def test_recall_and_order(spark, shard_rows):
     r = np.random.default_rng(3)

@@ -31,8 +31,18 @@ def test_stages_take_effect(spark):
     assert suffix_dedup.LENGTH == 400
 
 
+def test_empty_table_and_clashing_columns(spark, docs, monkeypatch):
+    """The whole pipeline over a table without rows, and over one whose extra columns have the operators' own names."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for rows in (docs.limit(0), docs):
+        monkeypatch.setattr(corpus_pipeline, "read", lambda spark, d, name, rows=rows: rows if name == "documents" else labels)
+        out = corpus_pipeline.run(spark, SF)
+        ids = [r.doc_id for r in rows.select("doc_id").collect()]
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= set(ids) and (ids or not out.count())
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_every_stage_equals_brute_force(spark):

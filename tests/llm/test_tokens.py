@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerline.llm import bpe, chunked_bpe, packing, token_counts, wavelet
+from ledgerline.llm import bpe, chunked_bpe, jaccard_join, packing, quality_model, token_counts, wavelet
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -155,3 +155,22 @@ def test_empty_tables(docs):
     assert chunked_bpe.round_trip(none, BYTE).count() == 0
     assert packing.packed(none, BYTE).count() == 0
     assert wavelet.written_and_read(none, WORD).count() == 0
+
+
+def test_texts_beyond_a_block(spark):
+    """A text of several blocks, in one row, through every operator that takes texts in blocks."""
+    r = random.Random(9)
+    words = ["alpha", "beta,", "gamma.", "naïve", "Überraschung", "42", "\n", "x y", "quick brown"]
+    text = " ".join(r.choice(words) for _ in range(420_000))
+    assert len(text.encode()) > bpe.BLOCK_BYTES
+    docs = spark.createDataFrame([(1, "short one", "en", "s"), (2, text, "en", "s"), (3, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    ids = {path: library(path, text) for path in (BYTE, WORD)}
+    assert {x.doc_id: x.n_tokens for x in token_counts.token_counts(docs, BYTE).collect()}[2] == len(ids[BYTE])
+    trip = {x.doc_id: x for x in chunked_bpe.round_trip(docs, BYTE).collect()}[2]
+    assert trip.ids_sha256 == hashlib.sha256(",".join(map(str, ids[BYTE])).encode()).hexdigest() and trip.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert {x.doc_id: x.ids_crc32 for x in wavelet.written_and_read(docs, WORD, 1).collect()}[2] == crc([*ids[WORD], 1])
+    pieces = sorted((x.start, x.length, x.ids_crc32) for x in packing.packed(docs, BYTE, 2, 1024).collect() if x.doc_id == 2)
+    assert all(crc([*ids[BYTE], 2][a : a + n]) == c for a, n, c in pieces) and sum(n for _, n, _ in pieces) == len(ids[BYTE]) + 1
+    one = [x for x in quality_model.scored(docs, quality_model.Machine.untrained()).collect()]
+    assert [x["_score"] for x in one] == [0.5] * 3
+    assert {x.doc_id: x.n_links for x in jaccard_join.links(docs).collect()} == {1: 0, 2: 0, 3: 0}
