@@ -1,9 +1,12 @@
 """BPE encoding with content-defined chunk reuse, and decoding.
 
-A rolling hash over 16 bytes cuts texts into chunks, so passages that documents
-share give the same chunks wherever they lie. A worker encodes each distinct
-chunk once and remembers ``REMEMBERED_BYTES`` of them; chunks are not sent
-between workers, for ids of all chunks would be several times the input.
+A rolling hash over 16 bytes cuts texts into chunks, so passages that documents share give
+the same chunks wherever they lie. Chunks are counted over all documents by their hashes (8
+bytes for about 512); those that come more than once are encoded once, into a table, and
+their ids are joined back to the texts that have them. What is met once is encoded where it
+lies. Only texts with shared chunks are moved: two bitmaps of ``BITS`` bits, of their keys
+and of the shared hashes, tell tasks which ones they are (a full bitmap moves more, and
+changes no result).
 
 Near a cut a chunk's own tokens can differ from the text's; so each join is
 encoded anew, between two safe places: changes from something else to white
@@ -23,14 +26,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .bpe import BLOCK_BYTES, SPACE, Encoder, in_parts, pretokens
+from .bpe import BLOCK_BYTES, SPACE, Encoder, classes, in_parts, pretokens
 from .ragged import U64, blocks, from_arrow, gather, prefix_hash, span_hash
-from .tables import map_batches
+from .tables import kept, map_batches
 from .token_counts import byte_symbols
 
 WINDOW = 16
@@ -38,6 +43,22 @@ WINDOW = 16
 MEAN_CHUNK = 512
 #: Bytes of distinct chunks that a worker remembers before it starts afresh.
 REMEMBERED_BYTES = 12_000_000
+#: Bits of a bitmap of shared chunks or of texts that have some: 8 MB, whatever the corpus.
+BITS = 1 << 26
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of the chunks of rows."""
+    n = len(data)
+    prefix = prefix_hash(data)
+    at = np.zeros(n + 1, bool)
+    place = np.arange(WINDOW, n)
+    at[WINDOW:n] = (span_hash(prefix, place - WINDOW, place) & U64(MEAN_CHUNK - 1)) == 0
+    at[:n] &= (data & 0xC0) != 0x80
+    at[offsets] = True
+    start = np.flatnonzero(at)[:-1]
+    length = np.diff(np.append(start, n))
+    return start, length, span_hash(prefix, start, start + length)
 
 
 class ChunkEncoder:
@@ -53,6 +74,7 @@ class ChunkEncoder:
         self.piece_length = np.array(list(map(len, ordered)), np.int64)
         self.piece_start = np.cumsum(self.piece_length) - self.piece_length
         self.decimal = [str(i) for i in range(len(ordered))]
+        self.id_type = np.dtype("<u2" if len(ordered) <= 1 << 16 else "<u4")
         self.forget()
 
     def forget(self) -> None:
@@ -61,6 +83,48 @@ class ChunkEncoder:
         self.ids: list[np.ndarray] = []
         self.facts: list[np.ndarray] = []  # start among ids, number, first and last safe place, ids before either; the same four of the second and the last but one
         self.n_ids = 0
+        self.given: dict[int, bool] = {}  # chunks that came with their ids, and whether they have been compared
+
+    def give(self, hashes: list[int], ids: list[bytes], facts: np.ndarray) -> None:
+        """Take over chunks that have been encoded elsewhere, until forget."""
+        new = list({h: k for k, h in enumerate(hashes) if h not in self.row}.values())
+        if not new:
+            return
+        held = [np.frombuffer(ids[k], self.id_type).astype(np.uint32) for k in new]
+        counts = np.array(list(map(len, held)), np.int64)
+        self.facts.append(np.concatenate([(self.n_ids + np.cumsum(counts) - counts)[None, :], facts[new].T]))
+        self.ids.append(np.concatenate(held))
+        self.n_ids += int(counts.sum())
+        self.row.update(zip([hashes[k] for k in new], range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.given.update(dict.fromkeys((hashes[k] for k in new), False))
+
+    def _test(self, keys: list[int], data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Forget the given ids of a chunk that stand for other bytes: two chunks have one hash."""
+        for k, h in enumerate(keys):
+            if self.given.get(h) is False:
+                if len(self.facts) > 1:
+                    self.facts, self.ids = [np.concatenate(self.facts, axis=1)], [np.concatenate(self.ids)]
+                first, count = self.facts[0][:2, self.row[h]]
+                if self._bytes(self.ids[0][first : first + count]) == data[start[k] : start[k] + length[k]].tobytes():
+                    self.given[h] = True
+                else:
+                    # its place stays, so that the others keep theirs
+                    self.row[-1 - h] = self.row.pop(h)
+                    del self.given[h]
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return gather(self.piece_bytes, self.piece_start[ids], self.piece_length[ids])[0].tobytes()
+
+    def learned(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of chunks as bytes, and what give() has to know of each."""
+        self.forget()
+        data, length = np.frombuffer(b"".join(chunks), np.uint8), np.array(list(map(len, chunks)), np.int64)
+        self._learn(data, classes(data), np.cumsum(length) - length, length)
+        start, count = self.facts[0][:2]
+        ids = [self.ids[0][a : a + n].astype(self.id_type).tobytes() for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+        facts = self.facts[0][1:].T
+        self.forget()
+        return ids, facts
 
     def _learn(self, data: np.ndarray, kind: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         text, offsets = gather(data, start, length)
@@ -88,18 +152,12 @@ class ChunkEncoder:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        prefix = prefix_hash(data)
-        cut = np.zeros(n + 1, bool)
-        place = np.arange(WINDOW, n)
-        cut[WINDOW:n] = (span_hash(prefix, place - WINDOW, place) & U64(MEAN_CHUNK - 1)) == 0
-        cut[:n] &= (data & 0xC0) != 0x80
-        cut[offsets] = True
-        start = np.flatnonzero(cut)[:-1]
-        length = np.diff(np.append(start, n))
-        distinct, where, inverse = np.unique(span_hash(prefix, start, start + length), return_index=True, return_inverse=True)
-        if self.bytes_held + n > REMEMBERED_BYTES:
+        start, length, hashes = cut(data, offsets)
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.bytes_held + n > REMEMBERED_BYTES and not self.given:
             self.forget()
         keys = distinct.tolist()
+        self._test(keys, data, start[where], length[where])
         new = [i for i, h in enumerate(keys) if h not in self.row]
         if new:
             at = where[new]
@@ -171,8 +229,7 @@ class ChunkEncoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that ids stand for; bytes that are no text become the replacement character."""
-        raw = gather(self.piece_bytes, self.piece_start[ids], self.piece_length[ids])[0].tobytes()
-        return raw.decode(errors="replace").encode()
+        return self._bytes(ids).decode(errors="replace").encode()
 
     def digest(self, ids: np.ndarray) -> str:
         return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids.tolist())).encode()).hexdigest()
@@ -188,27 +245,149 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")
+
+
+def _bitmap(keys: DataFrame, name: str) -> np.ndarray:
+    """BITS bits, of which those of the keys are set; at most BITS / 8 bytes come to the driver."""
+    place = F.col(name).bitwiseAND(BITS - 1)
+    parts = keys.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits")).collect()
+    out = np.zeros(max(BITS >> 15, 1) << 12, np.uint8)
+    for r in parts:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a bitmap."""
+    place = keys.view(np.int64) & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7) & 1).astype(bool)
+
+
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """k, h, n: the chunks of each text, by keys and hashes, and how often it has them in all rows."""
+
+    def none(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, U64), np.zeros(len(texts), np.int64)
+
+    def plain(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        start, _, hashes = cut(data, offsets)
+        return hashes, np.searchsorted(start, offsets)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = from_arrow(batch.column(1))
+        keys = np.asarray(batch.column(0))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, j in blocks(offsets, BLOCK_BYTES):
+            hashes, ends = in_parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], plain, none)
+            row = np.repeat(np.arange(i, j), np.diff(ends))
+            order = np.lexsort((hashes, row))
+            hashes, row = hashes[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, np.int64)
+            out.append((keys[row[first]], hashes[first].view(np.int64), np.diff(np.append(first, len(row)))))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["k", "h", "n"])
+
+    return map_batches(docs.select(_text_key(), "text"), work, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+
+
+def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
+    """k, chunks: for each text with shared chunks their hashes, ids and facts; and the bitmap of those texts' keys.
+
+    A chunk is shared if it comes more than once in all rows, in one text or in several.
+    """
+    counts = kept(chunk_counts(docs), "chunk_counts")
+    shared = kept(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "shared")
+    wanted = kept(counts.join(shared, "h").select("k", "h"), "wanted")
+    texts_with, hashes_of = _bitmap(wanted, "k"), _bitmap(shared, "h")
+    held = docs.sparkSession.sparkContext.broadcast((texts_with, hashes_of))
+
+    def none(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            taken: list[tuple[int, bytes]] = []
+
+            def plain(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                if len(data):
+                    start, length, hashes = cut(data, offsets)
+                    for c in np.flatnonzero(_set(held.value[1], hashes)).tolist():
+                        h = int(hashes[c].view(np.int64))
+                        if h not in seen:
+                            seen.add(h)
+                            taken.append((h, data[start[c] : start[c] + length[c]].tobytes()))
+                return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+
+            if len(seen) > 1_000_000:
+                seen.clear()
+            rows = batch.filter(pa.array(_set(held.value[0], np.asarray(batch.column(0)))))
+            data, offsets = from_arrow(rows.column(1))
+            for i, j in blocks(offsets, BLOCK_BYTES):
+                in_parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], plain, none)
+            if taken:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in taken], pa.int64()), pa.array([c for _, c in taken], pa.binary())], ["h", "chunk"])
+
+    each = docs.select(_text_key(), "text").mapInArrow(found, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk")).join(shared, "h", "left_semi")
+
+    def learn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, facts = chunk_encoder(path).learned(batch.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(facts.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["h", "ids", "facts"])
+
+    once = kept(map_batches(each, learn, "h long, ids binary, facts array<int>"), "chunks")
+    return wanted.join(once, "h").groupBy("k").agg(F.collect_list(F.struct("h", "ids", "facts")).alias("chunks")), texts_with
+
+
+def _with_ids(docs: DataFrame, path: str, result: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``result`` makes of the doc_ids and ids of docs' rows."""
+    lists, bits = shared_chunks(docs, path)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(_text_key(), "doc_id", "text")
+
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(~_set(held.value, np.asarray(batch.column(0)))))
+        return result(batch.column(1), chunk_encoder(path).encode(*from_arrow(batch.column(2)))) if batch.num_rows else None
+
+    def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_set(held.value, np.asarray(batch.column(0)))))
+
+    def together(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = chunk_encoder(path)
+        coder.forget()  # what is given lasts for one batch
+        given = batch.column(2).flatten()
+        if len(given):
+            coder.give(given.field("h").to_numpy(zero_copy_only=False).view(U64).tolist(), given.field("ids").to_pylist(), np.asarray(given.field("facts").flatten(), dtype=np.int64).reshape(len(given), -1))
+        out = result(batch.column(0), coder.encode(*from_arrow(batch.column(1))))
+        coder.forget()
+        return out
+
+    lone = map_batches(rows, alone, schema)
+    with_lists = map_batches(rows, moved, rows.schema).join(lists, "k", "left").select("doc_id", "text", F.coalesce("chunks", F.array().cast(lists.schema["chunks"].dataType)).alias("chunks"))
+    return lone.unionByName(map_batches(with_lists, together, schema))
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int> of every row of docs(doc_id, text, ...)."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = chunk_encoder(path).encode(*from_arrow(batch.column(1)))
+    def result(doc_ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
         at = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(r) for r in rows], out=at[1:])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], ["doc_id", "ids"])
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, ids array<int>")
+    return _with_ids(docs, path, result, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (decimal, comma between) and of the text decoded from them."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def result(doc_ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
         coder = chunk_encoder(path)
-        rows = coder.encode(*from_arrow(batch.column(1)))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(map(coder.digest, rows), pa.string()), pa.array([hashlib.sha256(coder.decode(r)).hexdigest() for r in rows], pa.string())],
+            [doc_ids, pa.array([len(r) for r in rows], pa.int64()), pa.array(map(coder.digest, rows), pa.string()), pa.array([hashlib.sha256(coder.decode(r)).hexdigest() for r in rows], pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _with_ids(docs, path, result, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm import bpe, chunked_bpe, jaccard_join, packing, quality_model, token_counts, wavelet
@@ -157,6 +158,40 @@ def test_empty_tables(docs):
     assert wavelet.written_and_read(none, WORD).count() == 0
 
 
+def test_shared_chunks_are_encoded_once(spark, tmp_path, monkeypatch):
+    """A passage in several partitions is learned once, whatever the dealing, and ids are the library's."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta,", "gamma.", "délta", "one", "two", "42"]) + str(r.randint(0, 999)) for _ in range(n))
+    passage = prose(900)
+    texts = [f"{prose(40)} {passage} {prose(60)}" for _ in range(9)] + [passage, passage, None, ""] + [prose(300) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    counts = chunked_bpe.chunk_counts(docs).groupBy("h").agg(F.sum("n").alias("n"))
+    n_shared = counts.filter("n > 1").count()
+    lists, bits = chunked_bpe.shared_chunks(docs, BYTE)
+    given = lists.select(F.explode("chunks.h").alias("h"))
+    assert n_shared > 5 and given.select("h").distinct().count() == n_shared and lists.count() == 10
+    got = {x.doc_id: list(x.ids) for x in chunked_bpe.encoded(docs, BYTE).collect()}
+    assert got == {i: library(BYTE, t) for i, t in enumerate(texts)}
+    # what a task is given it doesn't learn again; ids that stand for other bytes are not used
+    coder = chunked_bpe.ChunkEncoder(BYTE)
+    raw = np.frombuffer(texts[0].encode(), np.uint8)
+    start, length, hashes = chunked_bpe.cut(raw, np.array([0, len(raw)]))
+    ids, facts = coder.learned([raw[a : a + n].tobytes() for a, n in zip(start, length, strict=True)])
+    learned = []
+    monkeypatch.setattr(coder, "_learn", lambda data, kind, at, size, real=coder._learn: (learned.extend(size.tolist()), real(data, kind, at, size)))
+    coder.give(hashes.tolist(), ids, facts)
+    assert coder.encode(raw, np.array([0, len(raw)]))[0].tolist() == library(BYTE, texts[0]) and not learned
+    coder.forget()
+    coder.give(hashes.tolist(), [ids[-1], *ids[1:]], np.concatenate([facts[-1:], facts[1:]]))
+    assert coder.encode(raw, np.array([0, len(raw)]))[0].tolist() == library(BYTE, texts[0]) and learned == [length[0]]
+
+
+@pytest.mark.parametrize("bits", [1 << 15])
+def test_full_bitmaps_change_nothing(docs, monkeypatch, bits):
+    monkeypatch.setattr(chunked_bpe, "BITS", bits)
+    assert {(x.doc_id, tuple(x.ids)) for x in chunked_bpe.encoded(docs, BYTE).collect()} == {(x.doc_id, tuple(library(BYTE, x.text))) for x in docs.collect()}
+
+
 def test_texts_beyond_a_block(spark):
     """A text of several blocks, in one row, through every operator that takes texts in blocks."""
     r = random.Random(9)
