@@ -130,8 +130,12 @@ def fit(texts: np.ndarray, languages: list[str]) -> Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS) -> Model:
     """Fit on documents with a language that are not held out."""
     known = docs.select("doc_id", F.col("lang").alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # tasks keep their first rows of a language before any are sent
+    # of a language only rows are ranked whose hash is under a bound: about four times as many as are wanted, at any size
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(rows)  # bounded, so it can be broadcast
+    hash_ = F.xxhash64("doc_id")
+    low = hash_.cast("double") < -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), 4 * per_language / F.col("_n"))
+    known = known.join(F.broadcast(sizes), "_lang").filter(low | (F.col("_n") <= 4 * per_language)).select("doc_id", "_lang")
+    by_hash = Window.partitionBy("_lang").orderBy(hash_, "doc_id")
     sample = known.withColumn("_k", F.row_number().over(by_hash)).filter(F.col("_k") <= per_language).select("doc_id", "_lang", "_k").orderBy("_k", "_lang").limit(rows)
     chosen = docs.select("doc_id", "text", F.col("lang").alias("_lang")).join(F.broadcast(sample.select("doc_id", "_lang").distinct()), ["doc_id", "_lang"])
     texts = chosen.groupBy("doc_id", "_lang").agg(F.min("text").alias("text")).filter(_has_letter("text"))
