@@ -43,6 +43,8 @@ WINDOW = 16
 MEAN_CHUNK = 512
 #: Bytes of distinct chunks that a worker remembers before it starts afresh.
 REMEMBERED_BYTES = 12_000_000
+#: Bytes of texts that are encoded at a time with the ids that are given for them.
+SLICE_BYTES = 4_000_000
 #: Bits of a bitmap of shared chunks or of texts that have some: 8 MB, whatever the corpus.
 BITS = 1 << 26
 
@@ -347,22 +349,31 @@ def _with_ids(docs: DataFrame, path: str, result: Callable[[pa.Array, list[np.nd
     held = docs.sparkSession.sparkContext.broadcast(bits)
     rows = docs.select(_text_key(), "doc_id", "text")
 
+    def in_slices(batch: pa.RecordBatch, text: int, work: Callable[[pa.RecordBatch, ChunkEncoder], pa.RecordBatch]) -> pa.RecordBatch | None:
+        """work for so many rows at a time as have SLICE_BYTES: a batch of long texts and their ids takes little memory."""
+        coder, out = chunk_encoder(path), []
+        for i, j in blocks(from_arrow(batch.column(text))[1], SLICE_BYTES):
+            out.append(work(batch.slice(i, j - i), coder))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
     def alone(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         batch = batch.filter(pa.array(~_set(held.value, np.asarray(batch.column(0)))))
-        return result(batch.column(1), chunk_encoder(path).encode(*from_arrow(batch.column(2)))) if batch.num_rows else None
+        return in_slices(batch, 2, lambda part, coder: result(part.column(1), coder.encode(*from_arrow(part.column(2)))))
 
     def moved(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_set(held.value, np.asarray(batch.column(0)))))
 
-    def together(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = chunk_encoder(path)
-        coder.forget()  # what is given lasts for one batch
-        given = batch.column(2).flatten()
-        if len(given):
-            coder.give(given.field("h").to_numpy(zero_copy_only=False).view(U64).tolist(), given.field("ids").to_pylist(), np.asarray(given.field("facts").flatten(), dtype=np.int64).reshape(len(given), -1))
-        out = result(batch.column(0), coder.encode(*from_arrow(batch.column(1))))
-        coder.forget()
-        return out
+    def together(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        def work(part: pa.RecordBatch, coder: ChunkEncoder) -> pa.RecordBatch:
+            coder.forget()  # what is given lasts for one slice
+            given = part.column(2).flatten()
+            if len(given):
+                coder.give(given.field("h").to_numpy(zero_copy_only=False).view(U64).tolist(), given.field("ids").to_pylist(), np.asarray(given.field("facts").flatten(), dtype=np.int64).reshape(len(given), -1))
+            out = result(part.column(0), coder.encode(*from_arrow(part.column(1))))
+            coder.forget()
+            return out
+
+        return in_slices(batch, 1, work)
 
     lone = map_batches(rows, alone, schema)
     with_lists = map_batches(rows, moved, rows.schema).join(lists, "k", "left").select("doc_id", "text", F.coalesce("chunks", F.array().cast(lists.schema["chunks"].dataType)).alias("chunks"))
