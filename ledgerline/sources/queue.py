@@ -32,7 +32,7 @@ OFFSET = "queue_offset"
 
 def _index(path: str) -> list[dict]:
     """The entries of the queue's index, first segments first."""
-    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, folder = fs.FileSystem.from_uri(path)
     found = system.get_file_info(fs.FileSelector(f"{folder}/index", allow_not_found=True))
     entries = []
     for name in sorted(x.path for x in found if x.path.endswith(".json")):
@@ -60,7 +60,7 @@ def publish(events: DataFrame, path: str, order: list[str]) -> int:
     if not files:
         return first
     count = files[-1]["last"] + 1 - first
-    system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, folder = fs.FileSystem.from_uri(path)
     system.create_dir(f"{folder}/index")
     with system.open_output_stream(f"{folder}/index/{first:020d}.tmp") as f:
         f.write(json.dumps({"first": first, "count": count, "files": [[r["file"], r["first"], r["last"] + 1] for r in files]}).encode())

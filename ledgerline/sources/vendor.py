@@ -63,7 +63,7 @@ class VendorReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """One for each file; its row groups are chosen by their statistics."""
-        system, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, folder = fs.FileSystem.from_uri(self.path)
         found = ds.dataset(folder, filesystem=system, format="parquet", exclude_invalid_files=True)
         wanted = self._wanted()
         groups = [(part.path, [g.id for g in part.subset(wanted).row_groups] if wanted is not None else None) for part in found.get_fragments()]
@@ -75,7 +75,7 @@ class VendorReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([], schema=schema)
             return
         path, groups = partition.value
-        system, _ = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, _ = fs.FileSystem.from_uri(self.path)
         fragment = ds.ParquetFileFormat().make_fragment(path, filesystem=system, row_groups=groups)
         any_batch = False
         for batch in fragment.to_batches(columns=schema.names, filter=self._wanted()):
