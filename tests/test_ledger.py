@@ -52,7 +52,7 @@ def test_asof_and_seed(spark):
     assert got == {("2024-01-04", 5.0), ("2024-01-05", 6.0), ("2024-01-08", 7.0)}
 
 
-@pytest.mark.parametrize("chunk,block", [(7, 3), (20_000, 128), (60, 1)])
+@pytest.mark.parametrize("chunk,block", [(7, 3), (60, 1)])
 def test_runs_in_chunks(spark, monkeypatch, chunk, block):
     """Runs of several chunks, of exactly one, of less, give what one row gives."""
     r = random.Random(4)

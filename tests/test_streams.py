@@ -53,7 +53,7 @@ def test_absent_fields_keep_their_value(spark):
     (r,) = streamed(spark, first, again, keep=3).collect()
     assert (r.status, r.ticker, r.message, r.analysis, r.n, r.last_id) == ("busy, waiting", "T2", "three", "x", 5, 5)
     assert [(m.message, m.ticker) for m in r.messages] == [("one", "T1"), ("two", None), ("three", "T2")]  # the repeat of two isn't there
-    (r,) = streamed(spark, first, again, events(spark, [("a", 6, 20, "START", None, None, None)]), keep=3).collect()
+    (r,) = streamed(spark, first.unionByName(again), events(spark, [("a", 6, 20, "START", None, None, None)]), keep=3).collect()
     assert (r.status, r.ticker, r.message, r.n, r.messages) == ("START", None, None, 1, [])
 
 
