@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.numbering import numbered
+from .registry import known
 
 OFFSET = "queue_offset"
 
@@ -109,5 +110,5 @@ class EventQueue(DataSource):
 
 def queue_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The queue's events as a stream, with their numbers in ``queue_offset``; schema is that of the published frames."""
-    spark.dataSource.register(EventQueue)
+    known(spark, EventQueue)
     return spark.readStream.format("event_queue").option("path", path).schema(StructType([*schema.fields, StructField(OFFSET, LongType())])).load()

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.lookups import newest
+from .registry import known
 
 #: Newest rows of a ticker that are asked for, and years of prices before the end.
 LIMITS = {"metrics": 10, "insider_trades": 1000, "news": 1000}
@@ -97,7 +98,7 @@ class Vendor(DataSource):
 def vendor(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """All rows of one kind; filters on it are pushed down."""
     spark.conf.set(PUSHDOWN, "true")
-    spark.dataSource.register(Vendor)
+    known(spark, Vendor)
     return spark.read.format("vendor").option("path", path).schema(schema).load()
 
 

@@ -2,6 +2,7 @@ import json
 import os
 import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -167,6 +168,16 @@ def test_vendor_takes_filters(spark, tmp_path):
     assert V.newest_of(source, "metrics", "2024-03-01").groupBy("ticker").count().filter("count <> 10").count() == 0
 
 
+def test_vendor_is_asked_by_several_threads(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id % 4 as int) as ticker", "date'2024-01-01' as date")
+    path = str(tmp_path / "prices")
+    rows.write.parquet(path)
+    session = spark.newSession()  # one that knows no source yet
+    with ThreadPoolExecutor(8) as threads:
+        found = list(threads.map(lambda n: V.vendor(session, path, rows.schema).filter(f"ticker = {n % 4}").count(), range(16)))
+    assert found == [10] * 16
+
+
 def test_updates(spark):
     table = spark.createDataFrame([(1, "a", "n"), (2, "b", "n")], "k int, v string, w string")
     new = spark.createDataFrame([(2, "c", None, 1), (2, "d", None, 2), (3, "e", "z", 3)], "k int, v string, w string, o int")
