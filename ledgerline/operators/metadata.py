@@ -76,8 +76,12 @@ def key_map(keys: DataFrame) -> DataFrame:
 
 
 def model_config(agents: DataFrame, configs: DataFrame, default: str) -> DataFrame:
-    """agents(id, base) with model: of configs(pos, agent, model) the first whose agent is the id or the base, else the default."""
+    """agents(id, base) with model: of configs(pos, agent, model) the first whose agent is the id or the base, else the default.
+
+    Only the first config of each agent is joined, so an agent meets two of them at most.
+    """
     agents = agents.select("id", "base")
+    configs = configs.groupBy("agent").agg(F.min_by(F.struct("pos", "model"), "pos").alias("c")).select("agent", "c.*")
     exact = agents.join(configs.withColumnRenamed("agent", "id"), "id").select("id", "pos", "model")
     base = agents.join(configs.withColumnRenamed("agent", "base"), "base").select("id", "pos", "model")
     first = exact.unionByName(base).groupBy("id").agg(F.min_by("model", "pos").alias("model"))

@@ -207,3 +207,27 @@ def test_workbook(spark, tmp_path):
     reports.write_workbook({k: sheets[k] for k in ("portfolio", "risk")}, str(tmp_path))
     total = spark.read.parquet(str(tmp_path / "portfolio")).groupBy("run_id").agg(F.sum("weight").alias("w"))
     assert total.filter("abs(w - 100) > 0.02").count() == 0
+
+
+def _rows_out(plan):
+    """The rows that each node of an executed plan gave."""
+    found = plan.metrics().get("numOutputRows")
+    here = [found.get().value()] if found.isDefined() else []
+    children = plan.children()
+    return here + [n for i in range(children.size()) for n in _rows_out(children.apply(i))]
+
+
+def test_an_agent_meets_few_configs(spark):
+    """Of 300 configs for one base only the first is joined with its 400 agents."""
+    agents = spark.range(400).select(F.format_string("base_%06d", "id").alias("id"), F.lit("base").alias("base"))
+    configs = spark.range(300).select(F.col("id").alias("pos"), F.when(F.col("id") % 30 == 29, "base_000007").otherwise("base").alias("agent"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = M.model_config(agents, configs.filter("pos > 20"), "none")
+        got = df.collect()
+        assert max(_rows_out(df._jdf.queryExecution().executedPlan())) <= 800
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(got) == 400 and {r.model for r in got} == {"m21"}
+    assert {r.model for r in M.model_config(agents, configs.filter("agent <> 'base'"), "none").filter("id = 'base_000007'").collect()} == {"m29"}
