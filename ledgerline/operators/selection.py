@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 
 
+def exact_sum(x: Column | str, window: WindowSpec | None = None) -> Column:
+    """An aggregate, or one over a window: the sum of doubles, rounded once, so that it is the same in any order of the rows.
+
+    Decimals of 20 places are added; values that aren't finite, or are beyond them, are added as doubles.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    places = x.try_cast("decimal(38,20)")
+    over = lambda a: a if window is None else a.over(window)
+    return F.coalesce(F.when(over(F.count(places)) == over(F.count(x)), over(F.try_sum(places)).cast("double")), over(F.sum(x)))
+
+
 def evaluated(scores: DataFrame) -> DataFrame:
     """scores(run_id, ticker, investor, score) with signal and confidence."""
     return scores.withColumns({"signal": X.investor_signal("score"), "confidence": X.investor_confidence("score")})
@@ -44,10 +55,10 @@ def waterfall(included: DataFrame, confidence: str = "combined_confidence", cap:
     step = included.withColumn("_base", base).withColumns({"_i": i, "_rest": F.sum("_base").over(rest)})
     capped = F.coalesce(F.try_divide(F.col("_base") * (100 - cap * (F.col("_i") - 1)), F.col("_rest")) > cap, F.lit(False))
     step = step.withColumn("_capped", capped)
-    step = step.withColumns({"_k": F.count_if("_capped").over(whole), "_free": F.sum(F.when(~F.col("_capped"), F.col("_base"))).over(whole)})
+    step = step.withColumns({"_k": F.count_if("_capped").over(whole), "_free": exact_sum(F.when(~F.col("_capped"), F.col("_base")), whole)})
     weight = F.when(F.col("_capped"), F.lit(cap)).otherwise(F.coalesce(F.try_divide(F.col("_base") * (100 - cap * F.col("_k")), F.col("_free")), F.lit(0.0)))
     step = step.withColumn("_w", weight).withColumn("_w", F.when(F.col("_w") < floor, 0.0).otherwise(F.col("_w")))
-    of_group = F.sum("_w").over(Window.partitionBy("run_id", group))
+    of_group = exact_sum("_w", Window.partitionBy("run_id", group))
     step = step.withColumn("weight", F.when(of_group > group_cap, F.col("_w") * group_cap / of_group).otherwise(F.col("_w")))
     return step.drop("_base", "_i", "_rest", "_capped", "_k", "_free", "_w")
 
@@ -95,7 +106,7 @@ def iterative_caps(eligible: DataFrame, confidence: str = "adjusted_confidence",
 
 def weighted_average(x: str, weight: str = "weight") -> Column:
     """An aggregate; missing values count as 0, and so does an empty group."""
-    return F.coalesce(F.try_divide(F.sum(F.col(weight) * F.coalesce(F.col(x), F.lit(0.0))), F.sum(weight)), F.lit(0.0))
+    return F.coalesce(F.try_divide(exact_sum(F.col(weight) * F.coalesce(F.col(x), F.lit(0.0))), exact_sum(weight)), F.lit(0.0))
 
 
 def hhi(weight: str = "weight") -> Column:
@@ -108,22 +119,23 @@ def ranked_by_weight(positions: DataFrame) -> DataFrame:
 
 def concentration(positions: DataFrame) -> DataFrame:
     """Weights of the largest 1, 3, 5 and 10 positions, and HHI without cash."""
-    top = lambda k: F.coalesce(F.sum(F.when(F.col("place") <= k, F.col("weight"))), F.lit(0.0)).alias(f"top{k}")
+    top = lambda k: F.coalesce(exact_sum(F.when(F.col("place") <= k, F.col("weight"))), F.lit(0.0)).alias(f"top{k}")
     return ranked_by_weight(positions).groupBy("run_id").agg(*(top(k) for k in (1, 3, 5, 10)), hhi().alias("hhi"))
 
 
 def cash(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("run_id").agg(F.greatest(100 - F.sum("weight"), F.lit(0.0)).alias("weight"))
+    return positions.groupBy("run_id").agg(F.greatest(100 - exact_sum("weight"), F.lit(0.0)).alias("weight"))
 
 
 def group_weights(positions: DataFrame, group: Column) -> DataFrame:
     """run_id, bucket, weight, with a row of cash where there is any."""
-    sums = positions.groupBy("run_id", group.alias("bucket")).agg(F.sum("weight").alias("weight"))
+    sums = positions.groupBy("run_id", group.alias("bucket")).agg(exact_sum("weight").alias("weight"))
     rest = cash(positions).filter("weight > 0.01").select("run_id", F.lit("cash").alias("bucket"), "weight")
     return sums.unionByName(rest)
 
 
 def largest_group(positions: DataFrame, group: str = "sector") -> DataFrame:
-    sums = positions.groupBy("run_id", group).agg(F.sum("weight").alias("w"))
+    """The largest group of a run, the first by name of equal ones, its weight and that of the largest three."""
+    sums = positions.groupBy("run_id", group).agg(exact_sum("weight").alias("w"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("w"), group))
-    return sums.withColumn("_p", place).groupBy("run_id").agg(F.max(F.when(F.col("_p") == 1, F.col(group))).alias("largest"), F.max("w").alias("largest_weight"), F.sum(F.when(F.col("_p") <= 3, F.col("w"))).alias("top3_groups"))
+    return sums.withColumn("_p", place).groupBy("run_id").agg(F.max(F.when(F.col("_p") == 1, F.col(group))).alias("largest"), F.max("w").alias("largest_weight"), exact_sum(F.when(F.col("_p") <= 3, F.col("w"))).alias("top3_groups"))

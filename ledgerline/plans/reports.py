@@ -23,7 +23,7 @@ def risk_panel(consensus: DataFrame, positions: DataFrame) -> DataFrame:
 
 def summary_panel(consensus: DataFrame, positions: DataFrame) -> DataFrame:
     """run_id, metric, value."""
-    w = F.sum("weight")
+    w = S.exact_sum("weight")
     sums = positions.groupBy("run_id").agg(F.count("*").alias("positions"), w.alias("invested"), F.greatest(100 - w, F.lit(0.0)).alias("cash"), S.weighted_average("expected_return").alias("weighted_return"), S.weighted_average("combined_confidence").alias("weighted_confidence"))
     wide = sums.join(consensus.groupBy("run_id").agg(F.count("*").alias("universe")), "run_id").withColumn("inclusion", F.col("positions") / F.col("universe"))
     return reshape.metric_rows(wide, "run_id", ["positions", "invested", "cash", "weighted_return", "weighted_confidence", "universe", "inclusion"])
@@ -70,8 +70,8 @@ def text_report(stocks: DataFrame, evaluated: DataFrame, investors: list[str]) -
     numbered = lambda *by: F.row_number().over(Window.partitionBy("run_id").orderBy(*by))
     first = F.concat_ws(" ", F.col("place"), "ticker", F.concat(_one(F.col("weight")), F.lit("%")), X.cap_bucket("cap_value"), signal, F.concat(_one(F.col("combined_confidence"), 0), F.lit("%")), X.percent_text("expected_return", True), X.number_text("pe"), votes)
     sums = positions.groupBy("run_id").agg(
-        F.sum("weight").alias("invested"), F.greatest(100 - F.sum("weight"), F.lit(0.0)).alias("cash"), S.weighted_average("combined_confidence").alias("confidence"), S.weighted_average("expected_return").alias("expected"), F.count("*").alias("held"),
-        F.coalesce(F.sum(F.when(F.col("bullish_count") == n, F.col("weight"))), F.lit(0.0)).alias("strong"), F.coalesce(F.sum(F.when(F.col("bullish_count") < n, F.col("weight"))), F.lit(0.0)).alias("rest"),
+        S.exact_sum("weight").alias("invested"), F.greatest(100 - S.exact_sum("weight"), F.lit(0.0)).alias("cash"), S.weighted_average("combined_confidence").alias("confidence"), S.weighted_average("expected_return").alias("expected"), F.count("*").alias("held"),
+        F.coalesce(S.exact_sum(F.when(F.col("bullish_count") == n, F.col("weight"))), F.lit(0.0)).alias("strong"), F.coalesce(S.exact_sum(F.when(F.col("bullish_count") < n, F.col("weight"))), F.lit(0.0)).alias("rest"),
     )
     universe = consensus.groupBy("run_id").agg(F.count("*").alias("universe"))
     figures = sums.join(universe, "run_id")
@@ -82,7 +82,7 @@ def text_report(stocks: DataFrame, evaluated: DataFrame, investors: list[str]) -
     everyone = stocks.join(said, ["run_id", "ticker"])
     names = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("place", "ticker")))), lambda x: x["ticker"]), ", ")
     agreed = ranked.groupBy("run_id").agg(names(F.col("bullish_count") == n).alias("all"), names(F.col("bullish_count") < n).alias("most"))
-    sectors = positions.groupBy("run_id", "sector").agg(F.sum("weight").alias("w"))
+    sectors = positions.groupBy("run_id", "sector").agg(S.exact_sum("weight").alias("w"))
     left_out = stocks.join(consensus, ["run_id", "ticker"]).filter("not included")
     top = S.concentration(positions).join(S.largest_group(positions), "run_id").join(ranked.filter("place = 1").select("run_id", "ticker"), "run_id")
     split = stocks.join(consensus.filter("bullish_count >= 1 and bearish_count >= 1"), ["run_id", "ticker"]).join(said, ["run_id", "ticker"])
