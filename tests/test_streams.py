@@ -1,6 +1,8 @@
 import datetime
+import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerline.catalog import streams
@@ -70,6 +72,66 @@ def test_complete_turns_idle(spark):
         assert {r.agent: r.status for r in streamed(spark, *parts, expire_ms=30_000).collect()} == {"a": "IDLE", "b": "IDLE", "c": "ERROR"}
 
 
+class _Store:
+    """A handle whose states are kept here, and that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def containsKey(self, item):
+        self.calls += 1
+        return item in self.map
+
+    def updateValue(self, item, _):
+        self.calls += 1
+        self.map.add(item)
+
+    def clear(self):
+        self.calls += 1
+        self.map.clear()
+
+
+def test_a_key_is_read_and_written_once():
+    """Whatever its events, as long as the distinct messages since the start are no more than it holds; more of them are all known too."""
+    event = lambda i, message: Row(event=json.dumps([str(i), str(i * 10**6), "START" if i % 40 == 0 else None, None, message, None]))
+    node, store = S.NodeState(5, None), _Store()
+    node.init(store)
+    (r,) = node.handleInputRows((1, "a"), [event(i, f"m{i}") for i in range(100)], None)
+    assert store.calls == 2 and r.n == 20 and [m[1] for m in r.messages] == [f"m{i}" for i in range(95, 100)]
+    (r,) = node.handleInputRows((1, "a"), [event(i, f"m{i}") for i in range(81, 100)], None)  # again
+    assert store.calls == 4 and len(store.value[-1]) == 20
+    many = [e for i in range(1000) for e in [Row(event=json.dumps([str(1000 + i), str(i), None, None, f"x{i}", None]))]]
+    node.handleInputRows((1, "a"), many, None).__next__()
+    assert len(store.value[-1]) <= 2 * S.RECENT and len(store.map) + len(store.value[-1]) == 1020
+    (r,) = node.handleInputRows((1, "a"), many, None)
+    assert len(store.map) + len(store.value[-1]) == 1020 and [m[1] for m in r.messages] == [f"x{i}" for i in range(995, 1000)]
+    node.handleInputRows((1, "a"), [event(1040, "new")], None).__next__()
+    assert not store.map and len(store.value[-1]) == 1
+
+
+def test_many_messages_of_a_key(spark):
+    """More than a key's value holds, in two batches, and all again."""
+    rows = [("a", i, i, "START" if i == 0 else None, None, f"m{i}", None) for i in range(300)]
+    again = [("a", 300 + i, i, None, None, f"m{i}", None) for i in range(0, 300, 7)] + [("a", 900, 900, None, None, "last", None)]
+    parts = events(spark, rows[:200]), events(spark, rows[200:] + again)
+    got = streamed(spark, *parts, keep=80)
+    assert rows_of(got) == rows_of(S.node_states_batch(parts[0].unionByName(parts[1]), keep=80))
+
+
 def test_ended_downloads_leave_the_state(spark):
     up = spark.createDataFrame([("m", 1, at(0), "downloading", 10.0), ("m", 2, at(1), "completed", 100.0), ("n", 3, at(2), "downloading", 20.0), ("o", 4, at(3), "downloading", 1.0), ("p", 5, at(63), "starting", 0.0)], "model string, event_id long, ts timestamp, status string, percentage double")
     path = files.shared_path(spark, "queue")
