@@ -7,6 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pyspark.sql.datasource as DS
 import pytest
 from ledgerline.functions import scalars as X
@@ -20,6 +22,7 @@ from ledgerline.plans import reports
 from ledgerline.sources import files
 from ledgerline.sources import vendor as V
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def loop_waterfall(bases, groups):
@@ -169,6 +172,22 @@ def test_vendor_takes_filters(spark, tmp_path):
     assert V.newest_of(source, "metrics", "2024-03-01").groupBy("ticker").count().filter("count <> 10").count() == 0
 
 
+def test_vendor_holds_a_batch_of_a_file(tmp_path):
+    """Of a file of one row group and 12 MB no more than some pages are in memory at a time."""
+    n = 1_500_000
+    table = pa.table({"ticker": pa.array(np.arange(n) // 1000, pa.int64()), "v": np.random.default_rng(1).random(n)})
+    path = str(tmp_path / "part-0.parquet")
+    pq.write_table(table, path, row_group_size=n)
+    reader = V.VendorReader(str(tmp_path), StructType().add("ticker", "long").add("v", "double"))
+    assert list(reader.pushFilters([DS.GreaterThanOrEqual(("ticker",), 1)])) == []
+    del table
+    (part,), first = reader.partitions(), pa.total_allocated_bytes()
+    rows, most = 0, 0
+    for batch in reader.read(part):
+        rows, most = rows + batch.num_rows, max(most, pa.total_allocated_bytes() - first)
+    assert rows == n - 1000 and most < 10_000_000
+
+
 def test_vendor_is_asked_by_several_threads(spark, tmp_path):
     rows = spark.range(40).selectExpr("cast(id % 4 as int) as ticker", "date'2024-01-01' as date")
     path = str(tmp_path / "prices")
