@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .bpe import BLOCK_BYTES, SPACE, Encoder, classes, in_parts, pretokens
+from .bpe import SPACE, Encoder, classes, in_parts, pretokens
 from .ragged import U64, blocks, from_arrow, gather, prefix_hash, span_hash
 from .tables import kept, map_batches
 from .token_counts import byte_symbols
@@ -42,7 +43,9 @@ WINDOW = 16
 #: A cut comes once in so many bytes on average; a power of two.
 MEAN_CHUNK = 512
 #: Bytes of distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED_BYTES = 12_000_000
+REMEMBERED_BYTES = 4_000_000
+#: Bytes of texts whose arrays are held at a time, about 70 bytes for each.
+BLOCK_BYTES = 500_000
 #: Bytes of texts that are encoded at a time with the ids that are given for them.
 SLICE_BYTES = 4_000_000
 #: Bits of a bitmap of shared chunks or of texts that have some: 8 MB, whatever the corpus.
@@ -247,6 +250,21 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def _release() -> None:
+    """Give back what Arrow keeps of batches that are done, which is more than one batch takes."""
+    pa.default_memory_pool().release_unused()
+
+
+def lean_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """map_batches for workers that have to stay small."""
+
+    def lean(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        _release()
+        return work(batch)
+
+    return map_batches(df, lean, schema)
+
+
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")
 
@@ -292,7 +310,7 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
             out.append((keys[row[first]], hashes[first].view(np.int64), np.diff(np.append(first, len(row)))))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["k", "h", "n"])
 
-    return map_batches(docs.select(_text_key(), "text"), work, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    return lean_batches(docs.select(_text_key(), "text"), work, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
 
 
 def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
@@ -324,7 +342,8 @@ def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
                             taken.append((h, data[start[c] : start[c] + length[c]].tobytes()))
                 return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
 
-            if len(seen) > 1_000_000:
+            _release()
+            if len(seen) > 200_000:
                 seen.clear()
             rows = batch.filter(pa.array(_set(held.value[0], np.asarray(batch.column(0)))))
             data, offsets = from_arrow(rows.column(1))
@@ -336,10 +355,12 @@ def shared_chunks(docs: DataFrame, path: str) -> tuple[DataFrame, np.ndarray]:
     each = docs.select(_text_key(), "text").mapInArrow(found, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk")).join(shared, "h", "left_semi")
 
     def learn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, facts = chunk_encoder(path).learned(batch.column(1).to_pylist())
+        coder, chunks = chunk_encoder(path), batch.column(1)
+        parts = [coder.learned(chunks.slice(i, j - i).to_pylist()) for i, j in blocks(from_arrow(chunks)[1], BLOCK_BYTES)]
+        ids, facts = [x for p, _ in parts for x in p], np.concatenate([f for _, f in parts])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(facts.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["h", "ids", "facts"])
 
-    once = kept(map_batches(each, learn, "h long, ids binary, facts array<int>"), "chunks")
+    once = kept(lean_batches(each, learn, "h long, ids binary, facts array<int>"), "chunks")
     return wanted.join(once, "h").groupBy("k").agg(F.collect_list(F.struct("h", "ids", "facts")).alias("chunks")), texts_with
 
 
@@ -375,9 +396,9 @@ def _with_ids(docs: DataFrame, path: str, result: Callable[[pa.Array, list[np.nd
 
         return in_slices(batch, 1, work)
 
-    lone = map_batches(rows, alone, schema)
-    with_lists = map_batches(rows, moved, rows.schema).join(lists, "k", "left").select("doc_id", "text", F.coalesce("chunks", F.array().cast(lists.schema["chunks"].dataType)).alias("chunks"))
-    return lone.unionByName(map_batches(with_lists, together, schema))
+    lone = lean_batches(rows, alone, schema)
+    with_lists = lean_batches(rows, moved, rows.schema).join(lists, "k", "left").select("doc_id", "text", F.coalesce("chunks", F.array().cast(lists.schema["chunks"].dataType)).alias("chunks"))
+    return lone.unionByName(lean_batches(with_lists, together, schema))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

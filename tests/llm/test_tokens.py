@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -91,6 +92,27 @@ def test_only_stretches_that_are_not_plain_go_to_the_library(monkeypatch):
     assert seen == [" \u0915\u093f here".encode(), b" <|x"]
 
 
+def test_workers_stay_small():
+    """Remembered pre-tokens take few bytes each, and arrays are held for a small part of the texts."""
+    words = [f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) + "qu" for i in range(120_000)]
+    data, offsets = as_rows([" ".join(words[i : i + 300]) for i in range(0, len(words), 300)] * 3)
+    coder = chunked_bpe.ChunkEncoder(BYTE)
+    tracemalloc.start()
+    try:
+        for i in range(0, len(offsets) - 1, 25):
+            part = offsets[i : i + 26]
+            coder.words.encode(data[part[0] : part[-1]], part - part[0])
+        remembered = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        ids = coder.encode(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert remembered < 80 * len(words)
+    assert len(data) > 2_000_000 and peak - remembered < 25 * len(data)
+    assert ids[7].tolist() == library(BYTE, data[offsets[7] : offsets[8]].tobytes().decode())
+
+
 def test_round_trip_digests(docs):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in chunked_bpe.round_trip(docs, BYTE).collect()}
     tok = Tokenizer.from_file(BYTE)
