@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 
 
-def exact_sum(x: Column | str, window: WindowSpec | None = None) -> Column:
-    """An aggregate, or one over a window: the sum of doubles, rounded once, so that it is the same in any order of the rows.
+def exact_sum(x: Column | str) -> Column:
+    """An aggregate: the sum of doubles, rounded once, so that it is the same in any order of the rows.
 
     Decimals of 20 places are added; values that aren't finite, or are beyond them, are added as doubles.
     """
     x = F.col(x) if isinstance(x, str) else x
     places = x.try_cast("decimal(38,20)")
-    over = lambda a: a if window is None else a.over(window)
-    return F.coalesce(F.when(over(F.count(places)) == over(F.count(x)), over(F.try_sum(places)).cast("double")), over(F.sum(x)))
+    return F.coalesce(F.when(F.count(places) == F.count(x), F.try_sum(places).cast("double")), F.sum(x))
 
 
 def evaluated(scores: DataFrame) -> DataFrame:
@@ -46,19 +45,22 @@ def waterfall(included: DataFrame, confidence: str = "combined_confidence", cap:
     With the bases in falling order, name i is capped just if its share of what i - 1
     capped names leave, among the names from i on, is over the cap. Names under the
     floor get 0 and their share stays cash, then groups over the group's cap shrink.
+    Sums are of doubles in that falling order, whatever the order of the rows, since
+    weights that are equal but for a last bit are told apart by rank.
     """
     base = F.col(confidence) * (1 + F.coalesce("expected_return", F.lit(0.0)) / 100)
     order = Window.partitionBy("run_id").orderBy(F.desc("_base"), "rank")
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy("run_id")
+    falling = lambda *by: Window.partitionBy(*by).orderBy(F.desc("_base"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = falling("run_id")
     i = F.row_number().over(order)
     step = included.withColumn("_base", base).withColumns({"_i": i, "_rest": F.sum("_base").over(rest)})
     capped = F.coalesce(F.try_divide(F.col("_base") * (100 - cap * (F.col("_i") - 1)), F.col("_rest")) > cap, F.lit(False))
     step = step.withColumn("_capped", capped)
-    step = step.withColumns({"_k": F.count_if("_capped").over(whole), "_free": exact_sum(F.when(~F.col("_capped"), F.col("_base")), whole)})
+    step = step.withColumns({"_k": F.count_if("_capped").over(whole), "_free": F.sum(F.when(~F.col("_capped"), F.col("_base"))).over(whole)})
     weight = F.when(F.col("_capped"), F.lit(cap)).otherwise(F.coalesce(F.try_divide(F.col("_base") * (100 - cap * F.col("_k")), F.col("_free")), F.lit(0.0)))
     step = step.withColumn("_w", weight).withColumn("_w", F.when(F.col("_w") < floor, 0.0).otherwise(F.col("_w")))
-    of_group = exact_sum("_w", Window.partitionBy("run_id", group))
+    of_group = F.sum("_w").over(falling("run_id", group))
     step = step.withColumn("weight", F.when(of_group > group_cap, F.col("_w") * group_cap / of_group).otherwise(F.col("_w")))
     return step.drop("_base", "_i", "_rest", "_capped", "_k", "_free", "_w")
 

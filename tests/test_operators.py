@@ -264,3 +264,13 @@ def test_sums_of_weights_in_any_order(spark):
     nan = spark.createDataFrame([(float("nan"),), (1.0,)], "weight double").agg(S.exact_sum("weight")).first()[0]
     assert (tenths, large) == (1.0, 1e300) and nan != nan
     assert spark.createDataFrame([], "weight double").agg(S.exact_sum("weight")).first()[0] is None
+
+
+def test_weights_are_of_sums_in_falling_order(spark):
+    """Bases of a run of part at 60 times sf0.1: by the SQL's sum the fifth has a share of just 15, as the four capped ones have."""
+    bases = {18: (111.77999999999999, "a"), 24: (104.52000000000001, "b"), 1: (98.69000000000001, "c"), 7: (95.04, "d"), 15: (93.83999999999999, "e"), 10: (82.0, "f"), 2: (74.39999999999999, "g")}
+    for ranks in (sorted(bases), sorted(bases, reverse=True), [10, 18, 2, 7, 15, 24, 1]):
+        rows = [(1, r, bases[r][0], 0.0, bases[r][1]) for r in ranks]
+        w = S.waterfall(spark.createDataFrame(rows, "run_id long, rank int, combined_confidence double, expected_return double, sector string").coalesce(1))
+        got = {x["rank"]: x for x in S.ranked_by_weight(w).collect()}
+        assert got[15].weight == 15.0 and [r for r, _ in sorted(got.items(), key=lambda x: x[1].place)] == [1, 7, 15, 18, 24, 10, 2]
