@@ -136,8 +136,14 @@ def group_weights(positions: DataFrame, group: Column) -> DataFrame:
     return sums.unionByName(rest)
 
 
+def group_sums(positions: DataFrame, group: str = "sector") -> DataFrame:
+    """run_id, group, w: the weights of a group, added as doubles from the largest down, as its cap was measured."""
+    falling = Window.partitionBy("run_id", group).orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return positions.select("run_id", group, F.sum("weight").over(falling).alias("w")).groupBy("run_id", group).agg(F.max("w").alias("w"))
+
+
 def largest_group(positions: DataFrame, group: str = "sector") -> DataFrame:
     """The largest group of a run, the first by name of equal ones, its weight and that of the largest three."""
-    sums = positions.groupBy("run_id", group).agg(exact_sum("weight").alias("w"))
+    sums = group_sums(positions, group)
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("w"), group))
     return sums.withColumn("_p", place).groupBy("run_id").agg(F.max(F.when(F.col("_p") == 1, F.col(group))).alias("largest"), F.max("w").alias("largest_weight"), exact_sum(F.when(F.col("_p") <= 3, F.col("w"))).alias("top3_groups"))

@@ -274,3 +274,12 @@ def test_weights_are_of_sums_in_falling_order(spark):
         w = S.waterfall(spark.createDataFrame(rows, "run_id long, rank int, combined_confidence double, expected_return double, sector string").coalesce(1))
         got = {x["rank"]: x for x in S.ranked_by_weight(w).collect()}
         assert got[15].weight == 15.0 and [r for r, _ in sorted(got.items(), key=lambda x: x[1].place)] == [1, 7, 15, 18, 24, 10, 2]
+
+
+def test_groups_are_added_from_the_largest_down(spark):
+    """A run of part at 60 times sf0.1: by sums in falling order both groups have 35, by sums of decimals the second a last bit more."""
+    groups = {"ECONOMY": [12.31788322507248, 11.764284927887262, 10.917831847040256], "LARGE": [14.091364197308735, 11.625005027338137, 9.283630775353132]}
+    rows = [(i, g, w[j]) for i, p in enumerate(itertools.permutations(range(3))) for g, w in groups.items() for j in p]
+    positions = spark.createDataFrame(rows, "run_id int, sector string, weight double").coalesce(1)
+    assert {(r.sector, r.w) for r in S.group_sums(positions).collect()} == {("ECONOMY", 35.0), ("LARGE", 35.0)}
+    assert {r.largest for r in S.largest_group(positions).collect()} == {"ECONOMY"}
