@@ -82,7 +82,7 @@ def text_report(stocks: DataFrame, evaluated: DataFrame, investors: list[str]) -
     everyone = stocks.join(said, ["run_id", "ticker"])
     names = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("place", "ticker")))), lambda x: x["ticker"]), ", ")
     agreed = ranked.groupBy("run_id").agg(names(F.col("bullish_count") == n).alias("all"), names(F.col("bullish_count") < n).alias("most"))
-    sectors = positions.groupBy("run_id", "sector").agg(S.exact_sum("weight").alias("w"))
+    sectors = S.group_sums(positions)
     left_out = stocks.join(consensus, ["run_id", "ticker"]).filter("not included")
     top = S.concentration(positions).join(S.largest_group(positions), "run_id").join(ranked.filter("place = 1").select("run_id", "ticker"), "run_id")
     split = stocks.join(consensus.filter("bullish_count >= 1 and bearish_count >= 1"), ["run_id", "ticker"]).join(said, ["run_id", "ticker"])

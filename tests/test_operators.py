@@ -20,6 +20,7 @@ from ledgerline.operators.numbering import numbered
 from ledgerline.plans import agents as A
 from ledgerline.plans import reports
 from ledgerline.sources import files
+from ledgerline.sources import fixtures as fx
 from ledgerline.sources import vendor as V
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -283,3 +284,17 @@ def test_groups_are_added_from_the_largest_down(spark):
     positions = spark.createDataFrame(rows, "run_id int, sector string, weight double").coalesce(1)
     assert {(r.sector, r.w) for r in S.group_sums(positions).collect()} == {("ECONOMY", 35.0), ("LARGE", 35.0)}
     assert {r.largest for r in S.largest_group(positions).collect()} == {"ECONOMY"}
+
+
+def test_report_has_sectors_in_the_order_of_the_sql(spark, tmp_path):
+    """Run 1118 of part at 60 times sf0.1: two sectors have their cap of 35, and the second by name a last bit more."""
+    sizes = [42, 7, 32, 50, 2, 48, 4, 4, 29, 19, 13, 48, 20, 14, 39, 43, 33, 27, 22, 41, 33, 34, 50, 41, 39, 18, 39, 50, 36, 20]
+    types = {"S": "SMALL", "P": "PROMO", "M": "MEDIUM", "L": "LARGE", "E": "ECONOMY", "T": "STANDARD"}
+    kinds = "PSPPMPLEMSSSSLTTPSLTELTLTPLTMP"
+    rows = [(33540 + i, types[k], n, 954 + i / 10) for i, (k, n) in enumerate(zip(kinds, sizes, strict=True))]
+    part = spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    lines = reports.text_report(fx.stocks(spark, str(tmp_path)), S.evaluated(fx.scores(spark, str(tmp_path))), list(fx.INVESTORS))
+    got = {(r.section, r.line_no): r.line for r in lines.filter("section in (6, 8)").collect()}
+    assert got[6, 1] == "STANDARD 35.0 (within the cap of 35)" and got[6, 2] == "PROMO 35.0 (within the cap of 35)"
+    assert got[8, 2] == "largest sector STANDARD 35.0"
